@@ -67,6 +67,16 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
+def row_ranges(column: pa.Array, most: int = 1 << 22):
+    """(lo, hi, bytes, offsets) for ranges of rows of about `most` bytes, one row at least."""
+    raw, offs = text_buffer(column)
+    lo, n = 0, len(offs) - 1
+    while lo < n:
+        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
+        yield lo, hi, raw[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+        lo = hi
+
+
 @dataclass
 class Words:
     """Words of a batch: byte ranges, hashes and, per text, the range of words."""

@@ -19,7 +19,6 @@ of 6 rows it is 1.2e-5 at similarity 0.85.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,21 +58,10 @@ def _coefficients(cfg: MinHashConfig) -> tuple[np.ndarray, np.ndarray]:
     return a, b
 
 
-def _batches(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row ranges of a batch of about `most` bytes (one row at least), lowered."""
-    raw, offs = K.text_buffer(batch.column("text"))
-    lo = 0
-    n = len(offs) - 1
-    while lo < n:
-        hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + most, "right")) - 1)
-        yield lo, hi, K.lowered(raw[offs[lo] : offs[hi]]), offs[lo : hi + 1] - offs[lo]
-        lo = hi
-
-
 def _sets(batch: pa.RecordBatch, size: int):
     """(lo, hi, sizes, bounds, hashes, k1, k2) for row ranges of a batch."""
-    for lo, hi, raw, offs in _batches(batch):
-        owner, h = K.shingles(K.words(raw, offs), size)
+    for lo, hi, raw, offs in K.row_ranges(batch.column("text")):
+        owner, h = K.shingles(K.words(K.lowered(raw), offs), size)
         bounds = np.searchsorted(owner, np.arange(hi - lo + 1))
         sizes = np.diff(bounds)
         k1 = np.zeros(hi - lo, np.uint64)

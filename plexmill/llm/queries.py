@@ -6,11 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """3-word shingles, similarity of 0.85 or more."""
     from .minhash import MinHashConfig, near_duplicates
@@ -18,8 +26,70 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), MinHashConfig(shingle=3, similarity_percent=85, bands=24, rows=6))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_minhash_near_dedup": op1_minhash_near_dedup,
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards under the law that doc_id and the number of shards decide."""
+    from .sharding import digest, shard
+
+    return digest(shard(_read(spark, sf_dir, "documents")))
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of 2048, 1024, 512 and 256 tokens, all full."""
+    from .packing import digest, pack
+
+    return digest(pack(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores by the nearest labelled examples that aren't held out."""
+    from .toxicity import decisions, score_toxicity
+
+    return decisions(score_toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoding by the 50k ranks, and back."""
+    import public_tokenizers
+
+    from .bytebpe import digest, encode_and_decode
+
+    docs = _read(spark, sf_dir, "documents")
+    return digest(encode_and_decode(docs, _vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of the 32k piece vocabulary."""
+    from .fst import token_counts
+
+    return token_counts(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of 0.93 or more among equal labels."""
+    from .embeddings import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and covered licence templates."""
+    from .licenses import scan_licenses
+
+    return scan_licenses(_read(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES: dict[str, Query] = {
+    q.__name__: q
+    for q in (
+        op1_minhash_near_dedup,
+        op2_shards,
+        op3_packing,
+        op5_toxicity,
+        op6_byte_bpe,
+        op7_token_counts,
+        op9_embedding_dedup,
+        op10_license_scan,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {}

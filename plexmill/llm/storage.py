@@ -38,12 +38,12 @@ class Workspace:
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         """Write `df` as Parquet and return a DataFrame that reads it."""
         self._n += 1
         to = f"{self.path}/{self._n:03d}-{name}"
         schema = df.schema
-        df.write.parquet(to)
+        df.write.parquet(to, partitionBy=partition_by)
         out = self.spark.read.schema(schema).parquet(to)
         out._plexmill_path = to
         return out
