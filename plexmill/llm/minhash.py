@@ -417,3 +417,20 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     return full.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     )
+
+
+def keep_one_of_each_group(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
+    """The rows of `docs`, all columns, of the documents that `near_duplicates` keeps.
+
+    One document of each group stays, the one with the smallest doc_id.  Of rows that
+    repeat a kept doc_id one stays, whatever their texts; rows with a null doc_id all stay.
+    """
+    work = Workspace(docs.sparkSession, "keep")
+    kept = near_duplicates(docs, cfg).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    kept = work.save(kept.withColumnRenamed("doc_id", "_kept"), "kept")
+    on = F.col("doc_id").cast("long") == F.col("_kept")
+    single = docs.join(kept.where("n = 1"), on, "left_semi")
+    repeated = docs.join(kept.where("n > 1"), on, "left_semi")
+    order = F.struct(F.xxhash64("text"), F.col("text"))
+    one = repeated.groupBy("doc_id").agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
+    return single.unionByName(one).unionByName(docs.where(F.col("doc_id").cast("long").isNull()))

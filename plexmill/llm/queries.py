@@ -40,6 +40,13 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(pack(_read(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, and the verdict by distances from the languages' references."""
+    from .quality import judge
+
+    return judge(_read(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores by the nearest labelled examples that aren't held out."""
     from .toxicity import decisions, score_toxicity
@@ -64,6 +71,13 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_read(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak labels of all documents and the scorer learnt from them."""
+    from .weaklabel import classify
+
+    return classify(_read(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cosine of 0.93 or more among equal labels."""
     from .embeddings import near_duplicates
@@ -78,17 +92,27 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents")).drop("spans")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_minhash_near_dedup,
         op2_shards,
         op3_packing,
+        op4_quality_rules,
         op5_toxicity,
         op6_byte_bpe,
         op7_token_counts,
+        op8_quality_classifier,
         op9_embedding_dedup,
         op10_license_scan,
+        pipeline,
     )
 }
 

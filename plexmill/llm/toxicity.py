@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernels as K
 from .storage import Workspace
@@ -279,8 +280,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Tox
     shared = docs.sparkSession.sparkContext.broadcast(index)  # at most `sample` examples over `terms` terms
     keep = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in carry)]
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text")
-    return rows.mapInArrow(_scored(terms, shared, cfg), f"{schema}, score double, evidence array<long>")
+    schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("score", "double").add("evidence", T.ArrayType(T.LongType()))
+    return rows.mapInArrow(_scored(terms, shared, cfg), schema)
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
+    """The rows of `docs`, all columns, that score below the threshold."""
+    whole = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row")
+    )
+    return score_toxicity(whole, labels, cfg, carry=("row",)).where(F.col("score") < cfg.threshold).select("row.*")
 
 
 def decisions(scored: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
