@@ -151,14 +151,12 @@ def judge(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
 def keep_good(docs: DataFrame, cfg: QualityConfig = QualityConfig()) -> DataFrame:
     """The rows of `docs`, all columns, that the rules keep.
 
-    Histograms are taken twice, for the references and for the verdicts, which costs
-    less than to write the texts once more.
+    The rows wait in the shared folder, beside their histograms, for the references.
     """
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     whole = docs.select("doc_id", F.col("text").cast("string").alias("text"), lang.alias("lang"), F.struct("*").alias("row"))
-    work = Workspace(docs.sparkSession, "quality")
-    refs = work.save(references(features(docs, cfg), cfg), "references")
-    return _verdict(features(whole, cfg, ("row",)), refs, cfg, ("row",)).where("kept").select("row.*")
+    rows = Workspace(docs.sparkSession, "quality").save(features(whole, cfg, ("row",)), "features")
+    return _verdict(rows, references(rows, cfg), cfg, ("row",)).where("kept").select("row.*")
 
 
 def _verdict(rows: DataFrame, refs: DataFrame, cfg: QualityConfig, carry: tuple[str, ...] = ()) -> DataFrame:
