@@ -5,6 +5,8 @@ for each pre-token, the codes numbering the block's distinct pre-tokens.  These
 distinct pre-tokens alone are shuffled by their hash to buckets, where each word
 of the corpus is encoded once, whatever blocks it comes from.  The ids go back
 to the blocks that asked, and every document is put together by position.
+Texts are split twice, once for the words and once for the positions: keeping
+the positions meanwhile would take more disk than the texts themselves.
 Decoding looks ids up in the table of token bytes.
 
 A frequent word costs one entry a block, so no bucket or block gets more than
@@ -22,19 +24,18 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .storage import Workspace
 
 
 @dataclass(frozen=True)
 class BpeConfig:
     block_mb: int = 8
     step_mb: int = 2
-    buckets: int = 48
+    buckets_per_partition: int = 2
+    most_buckets: int = 4096
 
 
 #: Character kinds below U+0250, where Unicode is settled: space, letter, number, other.
@@ -173,10 +174,14 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def _exploded(pattern: str, cfg: BpeConfig):
-    """Documents to blocks: one row of positions and, by bucket, rows of distinct words."""
+def _exploded(pattern: str, cfg: BpeConfig, buckets: int, kind: str):
+    """Documents to blocks: one row of positions, or rows of distinct words by bucket.
 
-    def block_rows(block: int, parts: list[tuple]) -> list[tuple]:
+    A block's number is a hash of its contents, so rows of other blocks can't be
+    taken for its own, and equal blocks share their words.
+    """
+
+    def block_rows(parts: list[tuple]) -> list[tuple]:
         hashes = np.concatenate([p[0] for p in parts])
         size = np.concatenate([p[1] for p in parts])
         words, where, back = np.unique(hashes, return_index=True, return_inverse=True)
@@ -185,27 +190,32 @@ def _exploded(pattern: str, cfg: BpeConfig):
         code = np.empty(len(words), np.int64)
         code[order] = np.arange(len(words))
         first_of = np.cumsum([0, *(len(p[0]) for p in parts)])
+        bucket = (words[order] % np.uint64(buckets)).astype(np.int32)
+        block = int(K.mix64(K.mix64(words[order] + np.arange(len(words), dtype=np.uint64))).sum(dtype=np.uint64).view(np.int64))
+        if kind == "codes":
+            codes = np.concatenate([code[back[first_of[k] : first_of[k + 1]]][p[5]] for k, p in enumerate(parts)])
+            ids = [d for p in parts for d in p[6]]
+            counts = np.concatenate([p[7] for p in parts])
+            return [("codes", block, -1, _packed(ids, counts, _planes(codes), bucket.astype(np.uint16)))]
         owner = np.searchsorted(first_of, where[order], "right") - 1
         texts: list[bytes] = []
-        data = [p[2] for p in parts]
         for o, i in zip(owner.tolist(), (where[order] - first_of[owner]).tolist(), strict=True):
-            s, e = parts[o][3], parts[o][4]
-            texts.append(data[o][s[i] : e[i]])
-        bucket = (words[order] % np.uint64(cfg.buckets)).astype(np.int32)
-        codes = np.concatenate([code[back[first_of[k] : first_of[k + 1]]][p[5]] for k, p in enumerate(parts)])
-        ids = [d for p in parts for d in p[6]]
-        counts = np.concatenate([p[7] for p in parts])
-        rows = [("codes", block, -1, _packed(ids, counts, _planes(codes), bucket.astype(np.uint16)))]
+            texts.append(parts[o][2][parts[o][3][i] : parts[o][4][i]])
+        rows = []
         by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(cfg.buckets + 1))
-        for b in range(cfg.buckets):
+        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
+        for b in range(buckets):
             own = [texts[i] for i in by[cuts[b] : cuts[b + 1]].tolist()]
             if own:
                 rows.append(("words", block, b, _packed(b"".join(own), np.array([len(t) for t in own], np.uint32))))
         return rows
 
+    def out(parts):
+        rows = block_rows(parts)
+        if rows:
+            yield _rows(rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
         parts: list[tuple] = []
         held = 0
         for batch in batches:
@@ -220,10 +230,10 @@ def _exploded(pattern: str, cfg: BpeConfig):
                 )
                 held += len(raw)
                 if held >= cfg.block_mb << 20:
-                    yield _rows(block_rows(block, parts))
-                    block, parts, held = block + 1, [], 0
+                    yield from out(parts)
+                    parts, held = [], 0
         if parts:
-            yield _rows(block_rows(block, parts))
+            yield from out(parts)
 
     return run
 
@@ -280,43 +290,50 @@ def _assembled(path: str):
     """Blocks (one row of positions, rows of ids by bucket) to documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, byte_at, byte_n = _token_bytes(path)
         for group in K.sorted_groups(batches, ["block"]):
-            parts = sorted(zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True))
-            names, counts, planes, bucket_of = _unpacked(parts[0][1])
-            codes = _from_planes(planes)
-            n = np.zeros(len(bucket_of), np.int64)
-            at = np.zeros(len(bucket_of), np.int64)
-            ids, filled = [], 0
-            for b, payload in parts[1:]:
-                data, own, wide = _unpacked(payload)
-                mine = np.flatnonzero(bucket_of == b)
-                n[mine] = own
-                at[mine] = filled + np.cumsum(own, dtype=np.int64) - own
-                ids.append(np.frombuffer(data, wide))
-                filled += len(ids[-1])
-            ids = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
-            doc_ends = np.cumsum(counts)
-            lo = 0
-            while lo < len(names):  # some documents at a time, to bound memory
-                begin = doc_ends[lo] - counts[lo]
-                hi = max(lo + 1, int(np.searchsorted(doc_ends, begin + (1 << 18), "right")))
-                part = codes[begin : doc_ends[hi - 1]]
-                tokens, ends = _gather(ids, at[part], n[part])
-                text, byte_ends = _gather(pool, byte_at[tokens], byte_n[tokens])
-                cut = np.append(0, ends)[np.append(0, np.cumsum(counts[lo:hi]))]
-                byte_cut = np.append(0, byte_ends)[cut]
-                tokens = tokens.astype("<u4")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(names[lo:hi], pa.int64()),
-                        pa.array(np.diff(cut)),
-                        pa.array([tokens[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-                        pa.array([text[s:e].tobytes() for s, e in zip(byte_cut[:-1], byte_cut[1:], strict=True)], pa.binary()),
-                    ],
-                    ["doc_id", "n_tokens", "ids", "decoded"],
-                )
-                lo = hi
+            rows = list(zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True))
+            words = dict(sorted(r for r in rows if r[0] >= 0))
+            for payload in (p for b, p in rows if b < 0):
+                yield from documents(_unpacked(payload), words)
+
+    def documents(positions, words):
+        pool, byte_at, byte_n = _token_bytes(path)
+        names, counts, planes, bucket_of = positions
+        if set(np.unique(bucket_of).tolist()) != set(words):
+            raise RuntimeError("a block's words are missing: the input gives other rows when read again")
+        codes = _from_planes(planes)
+        n = np.zeros(len(bucket_of), np.int64)
+        at = np.zeros(len(bucket_of), np.int64)
+        ids, filled = [], 0
+        for b, payload in words.items():
+            data, own, wide = _unpacked(payload)
+            mine = np.flatnonzero(bucket_of == b)
+            n[mine] = own
+            at[mine] = filled + np.cumsum(own, dtype=np.int64) - own
+            ids.append(np.frombuffer(data, wide))
+            filled += len(ids[-1])
+        ids = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
+        doc_ends = np.cumsum(counts)
+        lo = 0
+        while lo < len(names):  # some documents at a time, to bound memory
+            begin = doc_ends[lo] - counts[lo]
+            hi = max(lo + 1, int(np.searchsorted(doc_ends, begin + (1 << 18), "right")))
+            part = codes[begin : doc_ends[hi - 1]]
+            tokens, ends = _gather(ids, at[part], n[part])
+            text, byte_ends = _gather(pool, byte_at[tokens], byte_n[tokens])
+            cut = np.append(0, ends)[np.append(0, np.cumsum(counts[lo:hi]))]
+            byte_cut = np.append(0, byte_ends)[cut]
+            tokens = tokens.astype("<u4")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(names[lo:hi], pa.int64()),
+                    pa.array(np.diff(cut)),
+                    pa.array([tokens[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                    pa.array([text[s:e].tobytes() for s, e in zip(byte_cut[:-1], byte_cut[1:], strict=True)], pa.binary()),
+                ],
+                ["doc_id", "n_tokens", "ids", "decoded"],
+            )
+            lo = hi
 
     return run
 
@@ -327,16 +344,17 @@ def encode_and_decode(
     """doc_id, n_tokens, ids (unsigned 32-bit, little-endian), decoded (bytes) for each row of `docs`.
 
     Ids are those of the tiktoken library for the rank file and pattern, without
-    special tokens.  Defined cases: a null or empty text has no ids and decodes to no
+    special tokens.  `docs` is read twice and must give the same partitions both times, as
+    files do; if it doesn't, the run fails.  Defined cases: a null or empty text has no ids and decodes to no
     bytes; a null doc_id stays null; repeated rows are returned as often as they
     occur; an empty table gives an empty result; other columns are ignored.
     """
-    work = Workspace(docs.sparkSession, "bytebpe")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    blocks = work.save(rows.mapInArrow(_exploded(pattern, cfg), _SCHEMA), "blocks", "kind")
-    words = blocks.where("kind = 'words'").repartition(cfg.buckets, "bucket").sortWithinPartitions("bucket")
-    ids = words.select("kind", "block", "bucket", "payload").mapInArrow(_encoded(rank_file, pattern), _SCHEMA)
-    codes = blocks.where("kind = 'codes'").select("kind", "block", "bucket", "payload")
+    buckets = min(cfg.most_buckets, max(8, cfg.buckets_per_partition * rows.rdd.getNumPartitions()))
+    blocks = lambda kind: rows.mapInArrow(_exploded(pattern, cfg, buckets, kind), _SCHEMA)
+    words = blocks("words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    ids = words.mapInArrow(_encoded(rank_file, pattern), _SCHEMA)
+    codes = blocks("codes")
     both = codes.unionByName(ids).select("block", "bucket", "payload").repartition("block").sortWithinPartitions("block")
     return both.mapInArrow(_assembled(rank_file), "doc_id long, n_tokens long, ids binary, decoded binary")
 
