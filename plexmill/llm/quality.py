@@ -42,7 +42,8 @@ class QualityConfig:
     most_repeat_percent: int = 50
     guard_words: int = 50  # below this no distance is taken
     most_char_distance: float = 0.27
-    most_word_distance: float = 0.31
+    most_word_distance: float = 0.29
+    sampling: float = 3.5  # squared word distance that chance gives a text, times its words
     words: dict[str, str] = field(default_factory=lambda: dict(COMMON_WORDS))
 
 
@@ -177,7 +178,7 @@ def _verdict(rows: DataFrame, refs: DataFrame, cfg: QualityConfig, carry: tuple[
         100 * F.col("n_repeat_words") > cfg.most_repeat_percent * F.col("n_words")
     )
     near = (F.coalesce("char_distance", F.lit(0.0)) <= cfg.most_char_distance) & (
-        F.coalesce("word_distance", F.lit(0.0)) <= cfg.most_word_distance
+        F.coalesce("word_distance", F.lit(0.0)) <= F.sqrt(cfg.most_word_distance**2 + cfg.sampling / F.col("n_words"))
     )
     return judged.select(
         "doc_id",
