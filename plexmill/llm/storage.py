@@ -54,8 +54,3 @@ class Workspace:
             jvm = self.spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def source_files(df: DataFrame) -> int:
-    """Partitions that `df` will be read in; no job is run."""
-    return max(1, df.rdd.getNumPartitions())
