@@ -200,19 +200,21 @@ def _scored(terms: np.ndarray, index, cfg: ToxicityConfig):
     def run(it):
         idx = index.value
         for batch in it:
+            got = []
             for lo, hi, raw, offs in K.row_ranges(batch.column("text")):
                 owner, term, n = _counts(raw, offs, terms, cfg.prefix)
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
                 term, n = term.astype("<i4"), n.astype("<i4")
-                got = [idx.score(term[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(batch.column(c).slice(lo, hi - lo) for c in batch.schema.names if c != "text"),
-                        pa.array([min(1.0, max(0.0, g[0])) for g in got], pa.float64()),
-                        pa.array([g[1] for g in got], pa.list_(pa.int64())),
-                    ],
-                    [*(c for c in batch.schema.names if c != "text"), "score", "evidence"],
-                )
+                got += [idx.score(term[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            keep = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(c) for c in keep),  # whole: a slice of a struct would be sent with all of its texts
+                    pa.array([min(1.0, max(0.0, g[0])) for g in got], pa.float64()),
+                    pa.array([g[1] for g in got], pa.list_(pa.int64())),
+                ],
+                [*keep, "score", "evidence"],
+            )
 
     return run
 
