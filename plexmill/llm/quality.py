@@ -33,6 +33,7 @@ SYMBOLS = "#*$%&|<>"
 PUNCTUATION = ".,;:!?'\"()-"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = "0123456789"
+_IN_CLASS = r".,;:!?'\"()\-"  # PUNCTUATION, as it stands in a character class
 _CODES = "abcdefghijklmnopqrst"
 
 
@@ -75,24 +76,27 @@ def features(docs: DataFrame, cfg: QualityConfig = QualityConfig(), carry: tuple
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), *carry, text.alias("_t"))
-    d = d.withColumn("_w", F.filter(F.split("_t", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    d = d.withColumn("_b", F.btrim("_t", F.lit(WHITE)))
+    d = d.withColumn("_w", F.when(F.col("_b") != "", F.split("_b", r"[\x20\x09-\x0D]+")).otherwise(F.array().cast("array<string>")))
     d = d.withColumn("n_words", F.size("_w").cast("long"))
     n_windows = F.greatest(F.col("n_words") - 2, F.lit(0)).cast("int")
     window = lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
     starts = F.when(n_windows > 0, F.sequence(F.lit(0), n_windows - 1)).otherwise(F.array().cast("array<int>"))
     d = d.withColumn("_k", F.transform(starts, window))
     # Windows by hash and place: equal ones lie side by side.
-    tagged = F.array_sort(F.transform("_k", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
+    tagged = F.sort_array(F.transform("_k", lambda k, i: F.struct(k.alias("k"), i.alias("i"))))
     d = d.withColumn("_s", F.when(F.size(F.array_distinct("_k")) < F.size("_k"), tagged))
     twice = F.filter(
         "_s", lambda x, j: (F.get("_s", j - 1)["k"] == x["k"]) | F.coalesce(F.get("_s", j + 1)["k"] == x["k"], F.lit(False))
     )
-    d = d.withColumn("_p", F.array_sort(F.transform(twice, lambda x: x["i"])))
+    d = d.withColumn("_p", F.sort_array(F.transform(twice, lambda x: x["i"])))
     gaps = F.transform("_p", lambda p, j: F.least(F.lit(3), F.coalesce(F.get("_p", j + 1) - p, F.lit(3))))
     covered = F.aggregate(gaps, F.lit(0), lambda a, g: a + g)
-    lines = F.filter(F.split("_t", "\n"), lambda x: _without(x, WHITE) != "")
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     d = d.withColumn("_l", lines)
     size = F.length("_t")
+    # One pass leaves the few characters that the classes count.
+    d = d.withColumn("_r", F.regexp_replace("_t", f"[^{UPPER}{DIGITS}{SYMBOLS}{_IN_CLASS}]++", ""))
     # Common words as one letter each, by their place in the language's list.
     lists = F.lit(None).cast("array<string>")
     for name, words in cfg.words.items():
@@ -102,13 +106,13 @@ def features(docs: DataFrame, cfg: QualityConfig = QualityConfig(), carry: tuple
     letter = lambda w: F.substring(F.lit(_CODES), F.array_position("_list", w).cast("int"), F.lit(1))
     d = d.withColumn("_c", F.array_join(F.transform("_c", letter), ""))
     counted = [(F.length("_c") - F.length(F.replace("_c", F.lit(c), F.lit("")))).cast("long") for c in _CODES]
-    dropped = lambda chars: (size - F.length(_without(F.col("_t"), chars))).cast("long")
+    dropped = lambda chars: (F.length("_r") - F.length(_without(F.col("_r"), chars))).cast("long")
     d = d.select(
         "doc_id",
         "lang",
         *carry,
         "n_words",
-        F.length(_without(F.col("_t"), WHITE)).cast("long").alias("word_chars"),
+        F.length(F.array_join("_w", "")).cast("long").alias("word_chars"),
         dropped(SYMBOLS).alias("n_symbols"),
         (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
