@@ -44,6 +44,15 @@ def _share(hit: np.ndarray, owner: np.ndarray, n: int, of: np.ndarray) -> np.nda
     return np.bincount(owner, hit, n) / np.maximum(of, 1)
 
 
+def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Distinct hashes of each owner, told apart by 44 bits."""
+    key = (owner.astype(np.uint64) << np.uint64(44)) | (K.mix64(h) >> np.uint64(20))
+    key.sort()
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return np.bincount((key[new] >> np.uint64(44)).astype(np.int64), minlength=n)
+
+
 def votes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Votes (texts by labellers) of 1 good, -1 bad, 0 none."""
     n = len(offsets) - 1
@@ -59,17 +68,16 @@ def votes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     common = _common_hashes()
     at = np.minimum(np.searchsorted(common, w.hash), len(common) - 1)
     usual = _share(common[at] == w.hash, owner, n, count)
-    shingle_owner, _ = K.shingles(w, 3)
-    windows = np.maximum(count - 2, np.minimum(count, 1))
-    fresh = np.bincount(shingle_owner, minlength=n) / np.maximum(windows, 1)
+    # Windows of three words, those across texts left out.
+    inner = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else np.zeros(0, np.int64)
+    window = w.hash[inner] * np.uint64(3) + w.hash[inner + 1] * np.uint64(0x9E3779B97F4A7C15) + w.hash[inner + 2] * np.uint64(0xC2B2AE3D27D4EB4F)
+    fresh = _distinct(owner[inner], window, n) / np.maximum(count - 2, 1)
+    fresh[count < 3] = 1.0
     line_class = np.ones(256, bool)
     line_class[10] = False
     lines = K.words(raw, offsets, line_class)
-    line_owner = np.repeat(np.arange(n), lines.counts())
-    pairs = np.unique(np.stack([line_owner.astype(np.uint64), lines.hash], axis=1), axis=0) if len(line_owner) else np.zeros((0, 2), np.uint64)
-    own_lines = np.bincount(pairs[:, 0].astype(np.int64), minlength=n) / np.maximum(lines.counts(), 1)
-    kinds = np.unique(np.stack([owner.astype(np.uint64), w.hash], axis=1), axis=0) if len(owner) else np.zeros((0, 2), np.uint64)
-    variety = np.bincount(kinds[:, 0].astype(np.int64), minlength=n) / np.maximum(count, 1)
+    own_lines = _distinct(np.repeat(np.arange(n), lines.counts()), lines.hash, n) / np.maximum(lines.counts(), 1)
+    variety = _distinct(owner, w.hash, n) / np.maximum(count, 1)
 
     def vote(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
         return good.astype(np.int8) - (bad & ~good).astype(np.int8)
@@ -117,19 +125,19 @@ def fit_labellers(patterns: np.ndarray, counts: np.ndarray, rounds: int) -> tupl
 
 
 def hashed(raw: np.ndarray, offsets: np.ndarray, dims: int) -> np.ndarray:
-    """Unit rows of hashed counts of words and of two- and three-byte stretches."""
+    """Unit rows of square roots of hashed counts of three-byte stretches."""
     n = len(offsets) - 1
-    low = K.lowered(raw)
     out = np.zeros((n, dims), np.float32)
+    if len(raw) < 3:
+        return out
+    b = K.lowered(raw).astype(np.uint32)
+    slots = (b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA77) + b[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(12)
+    slots = (slots % np.uint32(dims)).astype(np.int64)
     for i in range(n):
-        b = low[offsets[i] : offsets[i + 1]].astype(np.uint64)
-        if len(b) < 3:
-            continue
-        two = (b[:-1] * np.uint64(257) + b[1:]) * np.uint64(0x9E3779B97F4A7C15)
-        three = (two[:-1] + b[2:] * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x9FB21C651E98DF25)
-        slots = np.concatenate([two, three]) >> np.uint64(40)
-        row = np.sqrt(np.bincount((slots % np.uint64(dims)).astype(np.int64), minlength=dims))
-        out[i] = row / np.linalg.norm(row)
+        lo, hi = offsets[i], offsets[i + 1] - 2  # stretches don't reach into the next text
+        if hi > lo:
+            row = np.sqrt(np.bincount(slots[lo:hi], minlength=dims))
+            out[i] = row / np.sqrt((row * row).sum())
     return out
 
 
