@@ -1,12 +1,22 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and their first characters.  The terms that tell labels apart (a
-bounded number, by likelihood ratio over a bounded sample of labelled rows) span
-the space.  The sample's vectors, equal ones merged, form an inverted index in
-blocks with the largest weight of each term in each block.  A query adds up these
-bounds, takes blocks from the highest bound down and stops when no further block
-can hold a nearer example: the result is the exact top k.  Neighbours vote with
-weights that fall with distance; a prior keeps few and far ones from certainty.
+Terms are words of letters and their first characters.  A bounded sample of labelled
+rows is searched in two spaces, in both for the exact top k.
+
+The space of whole texts has every term.  Frequent terms are a dense matrix, the
+others an inverted index; both parts add up to the cosine with every example, and
+the nearest are computed again in double precision.
+
+The space of telling terms has those that tell labels apart (a bounded number, by
+likelihood ratio).  Its vectors, equal ones merged, form an inverted index in blocks
+with the largest weight of each term in each block.  A query adds up these bounds,
+takes blocks from the highest bound down and stops when no further block can hold a
+nearer example.
+
+Neighbours vote with weights that fall with distance; a prior keeps few and far ones
+from certainty.  The vote by telling terms is the prior of the vote by whole texts,
+which may raise the score but not lower it: a few toxic words in a text that is
+otherwise like clean ones stay toxic.
 """
 
 from __future__ import annotations
@@ -33,6 +43,9 @@ class ToxicityConfig:
     block: int = 64
     sharpness: int = 4
     prior_votes: float = 0.5
+    frequent: float = 0.05  # share of the examples from which on a term is in the dense matrix
+    most_frequent: int = 1024
+    softness: float = 0.05  # added to the distance of whole texts that a vote is divided by
     threshold: float = 0.7
 
 
@@ -77,26 +90,35 @@ def _term_rows(cfg: ToxicityConfig):
 
 
 def _counts(raw: np.ndarray, offsets: np.ndarray, terms: np.ndarray, prefix: int):
-    """(owner, term index, frequency) of the terms in `terms` (sorted), by owner and term."""
+    """(owner, term index, frequency) of the terms in `terms` (sorted), by owner and term; and (owner, hash, frequency) of the others."""
     owner, h = _terms(raw, offsets, prefix)
-    at = np.searchsorted(terms, h)
-    at[at == len(terms)] = 0
-    hit = terms[at] == h if len(terms) else np.zeros(len(h), bool)
+    if len(terms):
+        seen, back = np.unique(h, return_inverse=True)
+        at = np.minimum(np.searchsorted(terms, seen), len(terms) - 1)
+        at, hit = at[back], (terms[at] == seen)[back]
+    else:
+        at, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
     key, n = np.unique(owner[hit] * len(terms) + at[hit], return_counts=True)
-    return key // max(1, len(terms)), key % max(1, len(terms)), n
+    other, h = owner[~hit], h[~hit]
+    order = np.lexsort((h, other))
+    other, h = other[order], h[order]
+    new = np.flatnonzero(np.concatenate([[True], (other[1:] != other[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, int)
+    return key // max(1, len(terms)), key % max(1, len(terms)), n, other[new], h[new], np.diff(new, append=len(h))
 
 
-def _example_rows(terms: np.ndarray, cfg: ToxicityConfig):
+def _example_rows(cfg: ToxicityConfig):
+    """Examples with the sorted hashes of all their terms, and the terms' frequencies."""
+
     def run(it):
         for batch in it:
             for lo, hi, raw, offs in K.row_ranges(batch.column("text")):
-                owner, term, n = _counts(raw, offs, terms, cfg.prefix)
+                _, _, _, owner, h, n = _counts(raw, offs, np.zeros(0, np.uint64), cfg.prefix)
                 cut = np.searchsorted(owner, np.arange(hi - lo + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo),
                         batch.column("toxic").slice(lo, hi - lo),
-                        pa.array([term[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                        pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                         pa.array([n[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
                     ],
                     ["doc_id", "toxic", "terms", "counts"],
@@ -196,16 +218,161 @@ class BlockMaxIndex:
         return got
 
 
-def _scored(terms: np.ndarray, index, cfg: ToxicityConfig):
+def _packed(values: np.ndarray) -> tuple[int, bytes]:
+    """Small whole numbers, compressed byte by byte of their width."""
+    raw = np.ascontiguousarray(values.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return len(values), pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(n: int, data: bytes) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 4 * n, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
+
+
+class WholeTextIndex:
+    """Distinct example texts over all of their terms.
+
+    Only terms and frequencies are sent, compressed; what is searched is made where it is used.
+    """
+
+    def __init__(self, examples: list[tuple[int, int, bytes, bytes]], cfg: ToxicityConfig):
+        self.cfg = cfg
+        self.examples = len(examples)
+        merged: dict[tuple[bytes, bytes], list[int]] = {}
+        for doc, toxic, terms, counts in sorted(examples):
+            if terms:
+                own = merged.setdefault((terms, counts), [0, 0, doc])
+                own[0] += 1
+                own[1] += toxic
+        self.rows = np.array([x[0] for x in merged.values()], float)
+        self.toxic = np.array([x[1] for x in merged.values()], float)
+        self.doc = np.array([x[2] for x in merged.values()], np.int64)
+        size = np.array([len(k[0]) // 8 for k in merged], np.int64)
+        h = np.frombuffer(b"".join(k[0] for k in merged), "<u8")
+        self.terms = np.unique(h)
+        term = np.empty(len(h), np.int32)
+        for lo in range(0, len(h), 1 << 20):
+            term[lo : lo + (1 << 20)] = np.searchsorted(self.terms, h[lo : lo + (1 << 20)])
+        self.sent = [_packed(x) for x in (size, np.diff(term, prepend=np.int32(0)), np.frombuffer(b"".join(k[1] for k in merged), "<i4"))]
+        self.dense = None
+
+    def build(self) -> None:
+        cfg = self.cfg
+        size, term, n = (_unpacked(*x) for x in self.sent)
+        self.sent = None
+        self.term = np.cumsum(term, dtype=np.int32)
+        self.first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        where = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        df = np.bincount(self.term, self.rows[where], minlength=len(self.terms))
+        self.idf = np.log((self.examples + 1) / (df + 1)) + 1
+        self.idf_other = float(np.log(self.examples + 1) + 1)
+        w = (1 + np.log(n)) * self.idf[self.term]
+        self.weight = (w / np.sqrt(np.bincount(where, w * w, minlength=len(size)))[where]).astype(np.float32)
+        in_texts = np.bincount(self.term, minlength=len(self.terms))
+        frequent = np.argsort(-in_texts, kind="stable")[: cfg.most_frequent]
+        frequent = np.sort(frequent[in_texts[frequent] >= max(2, cfg.frequent * len(size))])
+        self.column = np.full(len(self.terms), -1, np.int32)
+        self.column[frequent] = np.arange(len(frequent))
+        c = self.column[self.term]
+        self.dense = np.zeros((len(frequent), len(size)), np.float32)
+        self.dense[c[c >= 0], where[c >= 0]] = self.weight[c >= 0]
+        rare = np.flatnonzero(c < 0)
+        rare = rare[np.argsort(self.term[rare], kind="stable")]
+        self.rare_where, self.rare_weight = where[rare], self.weight[rare]
+        self.rare_first = np.searchsorted(self.term[rare], np.arange(len(self.terms) + 1))
+
+    def nearest(self, cut: np.ndarray, term: np.ndarray, count: np.ndarray, others: np.ndarray):
+        """For each text, the cosines and examples of the k nearest, by cosine and then position: exact.
+
+        Text i has terms cut[i]:cut[i + 1]; others[i] sums the squares of 1 + log(frequency) of terms that no example has.
+        """
+        if self.dense is None:
+            self.build()
+        texts, examples, k = len(cut) - 1, len(self.rows), self.cfg.neighbours
+        w = (1 + np.log(count)) * self.idf[term]
+        owner = np.repeat(np.arange(texts), np.diff(cut))
+        norm = np.sqrt(np.bincount(owner, w * w, minlength=texts) + others * self.idf_other**2)
+        w = w / norm[owner]
+        column = self.column[term]
+        often = column >= 0
+        q = np.zeros((texts, len(self.dense)), np.float32)
+        q[owner[often], column[often]] = w[often]
+        near = q @ self.dense
+        mine = np.zeros(len(self.terms))
+        for i in range(texts):
+            lo, hi = cut[i], cut[i + 1]
+            if lo == hi:
+                yield np.zeros(0), np.zeros(0, int)
+                continue
+            got = near[i]
+            t, v = term[lo:hi][~often[lo:hi]], w[lo:hi][~often[lo:hi]]
+            a, b = self.rare_first[t], self.rare_first[t + 1]
+            spans = list(zip(a.tolist(), b.tolist(), strict=True))
+            if spans:
+                part = np.concatenate([self.rare_weight[x:y] for x, y in spans]) * np.repeat(v.astype(np.float32), b - a)
+                got = got + np.bincount(np.concatenate([self.rare_where[x:y] for x, y in spans]), part, minlength=examples).astype(np.float32)
+            # Single precision errs by far less than this.
+            least = np.partition(got, examples - k)[examples - k] - 1e-5 if examples > k else 0
+            at = np.flatnonzero(got >= max(least, 1e-12))
+            size = self.first[at + 1] - self.first[at]
+            begin = np.cumsum(size) - size
+            place = np.arange(size.sum()) - np.repeat(begin - self.first[at], size)
+            mine[term[lo:hi]] = w[lo:hi]
+            exact = mine[self.term[place]] * self.weight[place]
+            mine[term[lo:hi]] = 0
+            cosine = np.add.reduceat(exact, begin) if len(at) else np.zeros(0)
+            order = np.lexsort((at, -cosine))[:k]
+            yield cosine[order], at[order]
+
+    def raised(self, prior: float, cosine: np.ndarray, at: np.ndarray) -> tuple[float, list[int]]:
+        """The vote of the nearest examples with a prior, and the ids of the three nearest."""
+        vote = cosine**self.cfg.sharpness / (np.maximum(0, 1 - cosine) + self.cfg.softness)
+        m = self.cfg.prior_votes
+        return float(((vote * self.toxic[at]).sum() + m * prior) / ((vote * self.rows[at]).sum() + m)), self.doc[at[:3]].tolist()
+
+
+class Examples:
+    """The labelled examples in both spaces."""
+
+    def __init__(self, telling: np.ndarray, examples: list[tuple[int, int, bytes, bytes]], cfg: ToxicityConfig):
+        """`telling`: sorted hashes of the telling terms; examples: id, label, sorted hashes of terms, frequencies."""
+        self.cfg = cfg
+        self.whole = WholeTextIndex(examples, cfg)
+        part = []
+        for doc, toxic, terms, counts in examples:
+            h, n = np.frombuffer(terms, "<u8"), np.frombuffer(counts, "<i4")
+            at = np.minimum(np.searchsorted(telling, h), max(0, len(telling) - 1))
+            hit = telling[at] == h if len(telling) else np.zeros(len(h), bool)
+            part.append((doc, toxic, at[hit].astype("<i4").tobytes(), n[hit].tobytes()))
+        self.telling = BlockMaxIndex(len(telling), part, cfg)
+        self.index = np.full(len(self.whole.terms), -1, np.int32)
+        self.index[np.searchsorted(self.whole.terms, telling)] = np.arange(len(telling))
+
+    def scores(self, raw: np.ndarray, offsets: np.ndarray, step: int = 64):
+        """Score and ids of the nearest examples of each text."""
+        owner, term, n, other, _, m = _counts(raw, offsets, self.whole.terms, self.cfg.prefix)
+        texts = len(offsets) - 1
+        cut = np.searchsorted(owner, np.arange(texts + 1))
+        others = np.bincount(other, (1 + np.log(m)) ** 2, minlength=texts)
+        telling = self.index[term]
+        for lo in range(0, texts, step):
+            hi = min(texts, lo + step)
+            a, b = cut[lo], cut[hi]
+            near = self.whole.nearest(cut[lo : hi + 1] - a, term[a:b], n[a:b], others[lo:hi])
+            for i, (cosine, at) in zip(range(lo, hi), near, strict=True):
+                t, c = telling[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]
+                score, evidence = self.telling.score(t[t >= 0].astype("<i4").tobytes(), c[t >= 0].astype("<i4").tobytes())
+                voted, nearest = self.whole.raised(score, cosine, at)
+                yield (max(score, voted), nearest) if voted > score or not evidence else (score, evidence)
+
+
+def _scored(index, cfg: ToxicityConfig):
     def run(it):
         idx = index.value
         for batch in it:
             got = []
-            for lo, hi, raw, offs in K.row_ranges(batch.column("text")):
-                owner, term, n = _counts(raw, offs, terms, cfg.prefix)
-                cut = np.searchsorted(owner, np.arange(hi - lo + 1))
-                term, n = term.astype("<i4"), n.astype("<i4")
-                got += [idx.score(term[a:b].tobytes(), n[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            for _, _, raw, offs in K.row_ranges(batch.column("text")):
+                got += idx.scores(raw, offs)
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -224,8 +391,8 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> tuple[np.ndarray, BlockMaxIndex]:
-    """Terms (sorted hashes) and index from the labelled rows that aren't held out."""
+def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> Examples:
+    """The examples, from the labelled rows that aren't held out."""
     work = Workspace(docs.sparkSession, "toxicity")
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -242,7 +409,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     sample = work.save(texts.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text"), "sample")
     n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not bad or bad == n:
-        return np.zeros(0, np.uint64), BlockMaxIndex(0, [(r[0], r[1], b"", b"") for r in sample.select("doc_id", "toxic").collect()], cfg)
+        return Examples(np.zeros(0, np.uint64), [(r[0], r[1], b"", b"") for r in sample.select("doc_id", "toxic").collect()], cfg)
     counted = work.save(
         sample.select("text", "toxic")
         .mapInArrow(_term_rows(cfg), "term long, rows long, toxic long")
@@ -264,26 +431,26 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
         .collect()
     )
     terms = np.sort(np.array([r.term for r in picked], np.int64).view(np.uint64))
-    rows = sample.mapInArrow(_example_rows(terms, cfg), "doc_id long, toxic int, terms binary, counts binary").collect()
-    return terms, BlockMaxIndex(len(terms), [(r.doc_id, r.toxic, bytes(r.terms), bytes(r.counts)) for r in rows], cfg)
+    rows = sample.mapInArrow(_example_rows(cfg), "doc_id long, toxic int, terms binary, counts binary").toArrow()
+    return Examples(terms, list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), cfg)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, evidence (ids of the nearest examples) and the columns `carry` for each row of `docs`.
 
     Only `labels` (doc_id, toxic) of rows that aren't held out are learnt from; a score
-    depends on the text alone.  Defined cases: a null or empty text, or one without a
-    telling term, gets the share of toxic rows among such examples; a null doc_id stays
+    depends on the text alone.  Defined cases: a text without a telling term starts from
+    the share of toxic rows among such examples, which the nearest whole texts may raise;
+    a null or empty text, or one without a letter, gets that share; a null doc_id stays
     null; of repeated labels the largest counts; without labels of both kinds all rows
     get the share of the label there is, or one half; an empty table gives an empty
     result; other columns are ignored.
     """
-    terms, index = fit(docs, labels, cfg)
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # at most `sample` examples over `terms` terms
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, cfg))  # at most `sample` examples
     keep = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in carry)]
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     schema = T.StructType([f for f in rows.schema if f.name != "text"]).add("score", "double").add("evidence", T.ArrayType(T.LongType()))
-    return rows.mapInArrow(_scored(terms, shared, cfg), schema)
+    return rows.mapInArrow(_scored(shared, cfg), schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:

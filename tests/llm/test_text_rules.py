@@ -3,10 +3,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from plexmill.llm import licenses, quality, sharding, toxicity, weaklabel
+from plexmill.llm import kernels, licenses, quality, sharding, toxicity, weaklabel
 
 from .helpers import documents, lowered, prose, texts, words
 
@@ -143,6 +144,55 @@ def test_block_max_search_is_exact():
         assert np.allclose([sim[i] for _, i in got], [c for c, _ in got])
 
 
+def whole_text_cosines(texts, examples):
+    """Brute force: TF-IDF cosines over words of letters and their first four characters."""
+
+    def terms(t):
+        w = re.findall("[^\x00-\x60\x7b-\x7f]+", lowered(t))
+        return collections.Counter([*w, *(("head", x[:4]) for x in w if len(x) > 4)])
+
+    bags = [terms(t) for t in examples]
+    df = collections.Counter(x for b in bags for x in b)
+
+    def vector(bag):
+        v = {x: (1 + np.log(n)) * (np.log((len(examples) + 1) / (df[x] + 1)) + 1) for x, n in bag.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {x: y / norm for x, y in v.items()}
+
+    known = [vector(b) for b in bags]
+    return np.array([[sum(y * k.get(x, 0) for x, y in v.items()) for k in known] for v in (vector(terms(t)) for t in texts)])
+
+
+@pytest.mark.parametrize("frequent", [0.0, 0.1, 2.0])
+def test_whole_text_search_is_exact(frequent):
+    examples = [prose(k, 5 + k % 60) for k in range(120)] + ["only rare wording", "überaus été", "1 2 3"]
+    queries = [*examples[::9], *(prose(500 + k, 1 + 7 * k) for k in range(30)), "", "unseen unheard", "rare", prose(9, 20) + " unseen"]
+    cfg = toxicity.ToxicityConfig(frequent=frequent, neighbours=7)
+    batch = pa.record_batch({"doc_id": pa.array(range(len(examples))), "toxic": pa.array([k % 2 for k in range(len(examples))], pa.int32()), "text": pa.array(examples)})
+    rows = [tuple(x.values()) for b in toxicity._example_rows(cfg)([batch]) for x in b.to_pylist()]
+    index = toxicity.WholeTextIndex(rows, cfg)
+    raw, offsets = kernels.text_buffer(pa.array(queries))
+    owner, term, n, other, _, m = toxicity._counts(raw, offsets, index.terms, cfg.prefix)
+    cut, others = np.searchsorted(owner, np.arange(len(queries) + 1)), np.bincount(other, (1 + np.log(m)) ** 2, minlength=len(queries))
+    got = list(index.nearest(cut, term, n, others))
+    for (cosine, at), want in zip(got, whole_text_cosines(queries, examples), strict=True):
+        assert len(at) == min(7, int((want > 0).sum()))
+        assert np.allclose(cosine, np.sort(want)[::-1][: len(at)], atol=1e-6) and np.allclose(want[index.doc[at]], cosine, atol=1e-6)
+
+
+def test_texts_near_a_toxic_example_of_rare_wording_are_toxic(spark):
+    rows, labels = toxic_fixture(spark)
+    rare = [" ".join(f"{a}{b}seldom" for b in "abcdefghijklmnopqrst") for a in ("u", "v")]
+    ids = [k for k in range(1000, 1100) if zlib.crc32(str(k).encode()) % 3 != 1][:2]
+    new = [(2000, rare[0]), (2001, rare[1] + " further"), (2002, "wholly other wording")]
+    lab = spark.createDataFrame([*labels, *((k, 1) for k in ids)], "doc_id long, toxic int")
+    docs = documents(spark, [*rows, *zip(ids, rare, strict=True), *new])
+    got = {g.doc_id: g for g in toxicity.decisions(toxicity.score_toxicity(docs, lab)).collect()}
+    assert [got[k].predicted for k in (2000, 2001, 2002)] == [1, 1, 0]
+    assert got[2000].evidence[0] == ids[0] and got[2001].evidence[0] == ids[1]
+    assert not {2000, 2001} & {r.doc_id for r in toxicity.drop_toxic(docs, lab).select("doc_id").collect()}
+
+
 def phrase_places(text):
     w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lowered(text or ""))
     at = [(i, x) for p, x in licenses.BASE_PHRASES.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
