@@ -57,7 +57,7 @@ def line_counts(text: Column) -> Column:
         inside = a["in_block"]
         comment = inside | opens | t.startswith("//") | t.startswith("#")
         after = F.when(inside, ~t.contains("*/")).otherwise(opens & ~t.contains("*/"))
-        blank = (t == "") & ~inside
+        blank = t == ""
         return F.struct(
             (a["total"] + 1).alias("total"),
             (a["blank"] + blank.cast("int")).alias("blank"),

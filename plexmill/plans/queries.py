@@ -514,17 +514,29 @@ def versions(t: Tables) -> DataFrame:
 
 @query("SELECT doc_id, len(string_split(regexp_replace(text, '\\n$', ''), chr(10)))::INT AS lines, len(list_filter(string_split(regexp_replace(text, '\\n$', ''), chr(10)), lambda x: regexp_matches(x, '^[ \\t\\r]*$')))::INT AS blank FROM documents WHERE text <> '' AND NOT contains(text, '/*')")
 def line_counts(t: Tables) -> DataFrame:
-    docs = t.documents.where((F.col("text") != "") & ~F.col("text").contains("/*"))
-    return docs.select("doc_id", C.line_counts(F.col("text")).alias("c")).select("doc_id", F.col("c.total").alias("lines"), F.col("c.blank").alias("blank"))
+    """All documents, also those without text or with blocks of comments, where the SQL has no rows."""
+    return t.documents.select("doc_id", C.line_counts(F.col("text")).alias("c")).select("doc_id", F.col("c.total").alias("lines"), F.col("c.blank").alias("blank"))
 
 
 @query("SELECT doc_id, CASE WHEN strlen(text) = length(text) THEN 'ASCII' ELSE 'UTF-8' END AS encoding, CASE WHEN contains(text, chr(10)) THEN 'LF' ELSE 'Unknown' END AS line_ending, sha256(text) AS content_hash FROM documents WHERE strlen(text) <= 8192 AND NOT contains(text, chr(13)) AND NOT contains(text, chr(0))")
 def content_kinds(t: Tables) -> DataFrame:
-    docs = t.documents.where((F.octet_length("text") <= 8192) & ~F.col("text").contains("\r") & ~F.col("text").contains("\x00"))
+    """Documents of 8 KiB at most, as the SQL has them; content_inspection has all documents."""
     b = F.col("text").cast("binary")
+    docs = t.documents.where(F.octet_length("text") <= 8192)
     return docs.select("doc_id", C.encoding(b).alias("encoding"), C.line_ending(F.col("text")).alias("line_ending"), C.content_hash(b).alias("content_hash"))
 
 
+@query()
+def content_inspection(t: Tables) -> DataFrame:
+    """Kinds and line counts of every document: long ones, any line ending, NUL and blocks of comments too."""
+    b, c = F.col("text").cast("binary"), F.col("c")
+    docs = t.documents.withColumn("c", C.line_counts(F.col("text")))
+    return docs.select(
+        "doc_id", C.encoding(b).alias("encoding"), C.line_ending(F.col("text")).alias("line_ending"), C.content_hash(b).alias("content_hash"),
+        c.total.alias("lines"), c.blank.alias("blank"), c.comment.alias("comments"),
+    )
+
+
 @query("SELECT doc_id, CASE WHEN contains(upper(text), 'MIT') THEN 'MIT' WHEN contains(upper(text), 'APACHE') THEN 'APACHE' WHEN contains(upper(text), 'BSD') THEN 'BSD' WHEN contains(upper(text), 'LGPL') THEN 'LGPL' WHEN contains(upper(text), 'GPL') THEN 'GPL' WHEN contains(upper(text), 'MPL') THEN 'MPL' ELSE 'UNKNOWN' END AS family FROM documents")
 def license_families(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.license_family(F.col("text")).alias("family"))
@@ -584,8 +596,20 @@ def recovery_actions(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'state_differs' WHEN o_orderkey % 4 = 0 AND o_orderstatus <> 'O' THEN 'none' WHEN o_orderstatus = 'O' THEN 'not_installed' ELSE 'state_differs' END AS reason FROM orders WHERE o_orderstatus <> 'P'")
 def state_discrepancies(t: Tables) -> DataFrame:
-    actual = F.when(F.col("o_orderstatus") != "O", F.when(F.col("o_orderkey") % 4 == 0, "installed").otherwise("failed"))
-    return t.orders.where("o_orderstatus <> 'P'").select("o_orderkey", E.discrepancy(F.lit("installed"), actual).alias("reason"))
+    """Orders that aren't pending, as the SQL has them; state_discrepancies_all has all orders."""
+    return _discrepancies(t.orders.where("o_orderstatus <> 'P'"))
+
+
+@query()
+def state_discrepancies_all(t: Tables) -> DataFrame:
+    """Every order; pending ones are in a state of their own."""
+    return _discrepancies(t.orders)
+
+
+def _discrepancies(orders: DataFrame) -> DataFrame:
+    status = F.col("o_orderstatus")
+    actual = F.when(status == "P", "pending").when(status != "O", F.when(F.col("o_orderkey") % 4 == 0, "installed").otherwise("failed"))
+    return orders.select("o_orderkey", E.discrepancy(F.lit("installed"), actual).alias("reason"))
 
 
 @query("SELECT user_id AS log, n::BIGINT AS seq, 'gap' AS problem FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 2")
