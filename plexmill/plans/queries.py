@@ -614,13 +614,23 @@ def _discrepancies(orders: DataFrame) -> DataFrame:
 
 @query("SELECT user_id AS log, n::BIGINT AS seq, 'gap' AS problem FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 2")
 def audit_chain(t: Tables) -> DataFrame:
-    """Chains of two events that lack the first, so each begins with a gap."""
-    from pyspark.sql import Window
+    """The chains of all events, of which each has lost its first: nothing but that gap is wrong."""
+    fields = ["event_type", "value"]
+    logs = t.events.select(F.col("user_id").alias("log"), "ts", "event_id", *fields)
+    return E.verify_chain(E.chain(logs, fields, "log", ["ts", "event_id"]).where("seq > 1"), fields)
 
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    second = t.events.withColumn("seq", F.row_number().over(w).cast("long")).where("seq = 2")
-    chained = second.select(F.col("user_id").alias("log"), "seq", F.lit("").alias("prev_hash"), "event_type", "value")
-    return E.verify_chain(chained.withColumn("hash", E.event_hash(F.col("prev_hash"), ["event_type", "value"])), ["event_type", "value"])
+
+@query()
+def audit_chain_damaged(t: Tables) -> DataFrame:
+    """The chains of all events after losses, wrong previous hashes and changed values here and there."""
+    fields = ["event_type", "value"]
+    logs = t.events.select(F.col("user_id").alias("log"), "ts", "event_id", *fields)
+    whole = E.chain(logs, fields, "log", ["ts", "event_id"])
+    nth = F.col("event_id") % 100
+    return E.verify_chain(
+        whole.where(nth != 17).withColumns({"prev_hash": F.when(nth == 31, "0").otherwise(F.col("prev_hash")), "value": F.col("value") + F.when(nth == 53, 1.0).otherwise(0.0)}),
+        fields,
+    )
 
 
 # Exports

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -98,6 +99,39 @@ def event_hash(previous: Column, fields: list[str]) -> Column:
     return F.sha2(F.concat_ws(":", previous, *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256)
 
 
+def chain(events: DataFrame, fields: list[str], log: str, order: list[str], genesis: str = "") -> DataFrame:
+    """`events` with seq, prev_hash and hash: each log chained from its first event to its last (batch).
+
+    A hash needs the one before it, so a log is chained by one task, event by event; of a log only its last hash is held.
+    """
+    import hashlib
+
+    import pyarrow as pa
+
+    def run(batches):
+        last, seq, previous = (), 0, genesis
+        for batch in batches:
+            rows, before, after = [], [], []
+            for key, text in zip(batch.column(log).to_pylist(), batch.column("_text").to_pylist(), strict=True):
+                if (key,) != last:
+                    last, seq, previous = (key,), 0, genesis
+                seq += 1
+                rows.append(seq)
+                before.append(previous)
+                previous = hashlib.sha256(f"{previous}:{text}".encode()).hexdigest()
+                after.append(previous)
+            keep = [c for c in batch.schema.names if c != "_text"]
+            made = [pa.array(rows, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, "seq", "prev_hash", "hash"])
+
+    text = F.concat_ws(":", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    dealt = events.withColumn("_text", text).repartition(log).sortWithinPartitions(log, *order)
+    schema = events.schema
+    for name, kind in (("seq", "long"), ("prev_hash", "string"), ("hash", "string")):
+        schema = T.StructType(schema.fields).add(name, kind)
+    return dealt.mapInArrow(run, schema)
+
+
 def verify_chain(events: DataFrame, fields: list[str], log: str = "log", genesis: str = "") -> DataFrame:
     """(log, seq, problem) of a hash chain: sequence gaps, wrong previous hashes, changed events.
 
