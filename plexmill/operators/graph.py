@@ -7,6 +7,7 @@ enumeration is a recursive query with a depth limit.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -176,22 +177,28 @@ def adjacency(edges: DataFrame) -> DataFrame:
     )
 
 
-def reach(edges: DataFrame, starts: DataFrame, direction: str = "outbound", kinds: Sequence[str] = (), rounds: int = 1000) -> DataFrame:
-    """(seed, id): everything reached, the seeds left out, in as many rounds as it takes."""
+def _depths(edges: DataFrame, starts: DataFrame, direction: str, kinds: Sequence[str]) -> DataFrame:
+    """(seed, id, depth): everything reached, in as many rounds as it takes; each round visits something new."""
     walk = directed(edges, direction, kinds).select("here", "there").distinct()
-    frontier = starts.select("seed", "id").distinct()
-    visited = frontier
-    for _ in range(rounds):
+    frontier = starts.select("seed", "id").distinct().withColumn("depth", F.lit(0))
+    visited, depth = frontier, 0
+    while True:
+        depth += 1
         frontier = cut(
             frontier.join(walk, F.col("id") == F.col("here"))
             .select("seed", F.col("there").alias("id"))
             .distinct()
             .join(visited, ["seed", "id"], "left_anti")
+            .withColumn("depth", F.lit(depth))
         )
         if frontier.isEmpty():
-            break
-        visited = visited.unionByName(frontier)
-    return visited.where(F.col("seed") != F.col("id"))
+            return visited
+        visited = cut(visited.unionByName(frontier)) if depth % 16 == 0 else visited.unionByName(frontier)
+
+
+def reach(edges: DataFrame, starts: DataFrame, direction: str = "outbound", kinds: Sequence[str] = ()) -> DataFrame:
+    """(seed, id): everything reached, the seeds left out, in as many rounds as it takes."""
+    return _depths(edges, starts, direction, kinds).where(F.col("seed") != F.col("id")).select("seed", "id")
 
 
 def reachability(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -213,10 +220,10 @@ def max_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     roots = degrees(nodes, edges).where("in_degree = 0").select(F.col("id").alias("seed"), "id")
     if roots.isEmpty():
         roots = nodes.orderBy("id").limit(1).select(F.col("id").alias("seed"), "id")
-    return bfs(edges, roots, "outbound", MOST_DEPTH).agg(F.max("depth").alias("max_depth"))
+    return _depths(edges, roots, "outbound", ()).agg(F.max("depth").alias("max_depth"))
 
 
-def ownership(edges: DataFrame, kind: str = "belongs_to", rounds: int = MOST_DEPTH) -> DataFrame:
+def ownership(edges: DataFrame, kind: str = "belongs_to") -> DataFrame:
     """(id, root, chain): each node's owners up to the root, by the first edge (least id) of the kind."""
     parent = (
         edges.where(F.col("kind") == kind)
@@ -224,7 +231,7 @@ def ownership(edges: DataFrame, kind: str = "belongs_to", rounds: int = MOST_DEP
         .agg(F.min_by("dst", "id").alias("parent"))
     )
     cur = parent.select(F.col("child").alias("id"), F.array("child", "parent").alias("chain"), F.col("parent").alias("root"))
-    for _ in range(rounds):
+    while True:
         joined = cur.join(parent, (F.col("root") == F.col("child")) & ~F.array_contains("chain", F.col("parent")), "left")
         grown = cut(
             joined.select(
@@ -236,17 +243,16 @@ def ownership(edges: DataFrame, kind: str = "belongs_to", rounds: int = MOST_DEP
         )
         cur = grown.drop("grew")
         if grown.where("grew").isEmpty():
-            break
-    return cur
+            return cur
 
 
-def topological_levels(nodes: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): dependencies (dst) before dependents (src); nodes on cycles have level null."""
     left = nodes.select("id").distinct()
     deps = edges.select("src", "dst").where("src <> dst").distinct()
     loops = edges.where("src = dst").select(F.col("src").alias("id"))
     done = None
-    for level in range(rounds):
+    for level in itertools.count():
         blocked = deps.join(left.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
         ready = cut(left.join(blocked, "id", "left_anti").join(loops, "id", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
