@@ -6,11 +6,15 @@ distinct pre-tokens alone are shuffled by their hash to buckets, where each word
 of the corpus is encoded once, whatever blocks it comes from.  The ids go back
 to the blocks that asked, and every document is put together by position.
 Texts are split twice, once for the words and once for the positions: keeping
-the positions meanwhile would take more disk than the texts themselves.
-Decoding looks ids up in the table of token bytes.
+the positions meanwhile would take more disk than the texts themselves.  An input
+that isn't a plain scan of files is written to the shared folder first, so that
+both readings give the same blocks.  Decoding looks ids up in the table of token
+bytes.
 
 A frequent word costs one entry a block, so no bucket or block gets more than
-its share.  All words of a bucket and all documents of a block fit in memory.
+its share.  Words are told apart by their bytes.  A block is some megabytes of
+texts, one document at least; a bucket's words pass by, and the memory of those
+encoded is bounded.
 """
 
 from __future__ import annotations
@@ -24,18 +28,21 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import Workspace, bound_batches, rereadable
 
 
 @dataclass(frozen=True)
 class BpeConfig:
-    block_mb: int = 8
-    step_mb: int = 2
+    block_mb: int = 4
+    step_kb: int = 512
     buckets_per_partition: int = 2
-    most_buckets: int = 4096
+    most_buckets: int = 65_535  # numbers of buckets take two bytes
+    most_known: int = 400_000  # words of a bucket kept with their ids at once
 
 
 #: Character kinds below U+0250, where Unicode is settled: space, letter, number, other.
@@ -177,63 +184,73 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _exploded(pattern: str, cfg: BpeConfig, buckets: int, kind: str):
     """Documents to blocks: one row of positions, or rows of distinct words by bucket.
 
-    A block's number is a hash of its contents, so rows of other blocks can't be
-    taken for its own, and equal blocks share their words.
+    A block's number is its partition's and its place there.  Beside it goes a hash of
+    its distinct words, so that rows of another reading can't be taken for its own.
     """
 
-    def block_rows(parts: list[tuple]) -> list[tuple]:
-        hashes = np.concatenate([p[0] for p in parts])
+    def block_rows(parts: list[tuple], block: int) -> list[tuple]:
+        """parts: per piece (distinct words as bytes, sizes, ends), hash of each, counts, codes, and documents' names and pre-tokens."""
+        data = np.concatenate([p[0] for p in parts])
         size = np.concatenate([p[1] for p in parts])
-        words, where, back = np.unique(hashes, return_index=True, return_inverse=True)
-        freq = np.bincount(back, size, len(words))
+        ends = np.cumsum(size)
+        hashes = np.concatenate([p[2] for p in parts])
+        where, back = K.distinct(data, ends - size, ends, hashes)
+        freq = np.bincount(back, np.concatenate([p[3] for p in parts]), len(where))
         order = np.argsort(-freq, kind="stable")
-        code = np.empty(len(words), np.int64)
-        code[order] = np.arange(len(words))
-        first_of = np.cumsum([0, *(len(p[0]) for p in parts)])
-        bucket = (words[order] % np.uint64(buckets)).astype(np.int32)
-        block = int(K.mix64(K.mix64(words[order] + np.arange(len(words), dtype=np.uint64))).sum(dtype=np.uint64).view(np.int64))
+        code = np.empty(len(where), np.int64)
+        code[order] = np.arange(len(where))
+        words = hashes[where[order]]
+        bucket = (words % np.uint64(buckets)).astype(np.uint16)
+        check = int(K.mix64(words + np.arange(len(words), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
         if kind == "codes":
-            codes = np.concatenate([code[back[first_of[k] : first_of[k + 1]]][p[5]] for k, p in enumerate(parts)])
-            ids = [d for p in parts for d in p[6]]
-            counts = np.concatenate([p[7] for p in parts])
-            return [("codes", block, -1, _packed(ids, counts, _planes(codes), bucket.astype(np.uint16)))]
-        owner = np.searchsorted(first_of, where[order], "right") - 1
-        texts: list[bytes] = []
-        for o, i in zip(owner.tolist(), (where[order] - first_of[owner]).tolist(), strict=True):
-            texts.append(parts[o][2][parts[o][3][i] : parts[o][4][i]])
+            first_of = np.cumsum([0, *(len(p[1]) for p in parts)])
+            codes = np.concatenate([code[back[first_of[k] : first_of[k + 1]]][p[4]].astype(np.uint32) for k, p in enumerate(parts)])
+            ids = [d for p in parts for d in p[5]]
+            counts = np.concatenate([p[6] for p in parts])
+            return [("codes", block, -1, _packed(check, ids, counts, _planes(codes), bucket))]
+        raw = data.tobytes()
+        begin, end = (ends - size)[where[order]], ends[where[order]]
         rows = []
         by = np.argsort(bucket, kind="stable")
-        cuts = np.searchsorted(bucket[by], np.arange(buckets + 1))
-        for b in range(buckets):
-            own = [texts[i] for i in by[cuts[b] : cuts[b + 1]].tolist()]
-            if own:
-                rows.append(("words", block, b, _packed(b"".join(own), np.array([len(t) for t in own], np.uint32))))
+        cuts = np.flatnonzero(np.diff(bucket[by], prepend=-1, append=-1))
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = [raw[s:e] for s, e in zip(begin[by[lo:hi]].tolist(), end[by[lo:hi]].tolist(), strict=True)]
+            rows.append(("words", block, int(bucket[by[lo]]), _packed(check, b"".join(own), np.array([len(t) for t in own], np.uint32))))
         return rows
 
-    def out(parts):
-        rows = block_rows(parts)
-        if rows:
-            yield _rows(rows)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
-        held = 0
+        held, block = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for lo, hi, raw, offs in K.row_ranges(batch.column("text"), cfg.step_mb << 20):
+            begun = False  # the piece goes on with the document of the piece before
+            for lo, hi, raw, offs, more in K.row_pieces(batch.column("text"), cfg.step_kb << 10):
                 start, end, first = pre_tokens(raw, offs, pattern)
                 h = K.range_hash(raw, start, end)
-                words, where, back = np.unique(h, return_index=True, return_inverse=True)
-                size = np.bincount(back, minlength=len(words))
+                where, back = K.distinct(raw, start, end, h)
+                text = [raw[s:e] for s, e in zip(start[where].tolist(), end[where].tolist(), strict=True)]
                 parts.append(
-                    (words, size, raw.tobytes(), start[where].tolist(), end[where].tolist(), back, names[lo:hi], np.diff(first))
+                    (
+                        np.concatenate(text) if text else np.zeros(0, np.uint8),
+                        (end - start)[where],
+                        h[where],
+                        np.bincount(back, minlength=len(where)),
+                        back.astype(np.uint32),
+                        [] if begun else names[lo:hi],
+                        np.diff(first),
+                    )
                 )
+                if begun:  # one document: its pre-tokens add up
+                    before = parts[-2][6]
+                    parts[-2] = (*parts[-2][:6], before[:-1])
+                    parts[-1] = (*parts[-1][:6], before[-1:] + parts[-1][6])
+                begun = more
                 held += len(raw)
-                if held >= cfg.block_mb << 20:
-                    yield from out(parts)
-                    parts, held = [], 0
+                if held >= cfg.block_mb << 20 and not more:
+                    yield _rows(block_rows(parts, block))
+                    parts, held, block = [], 0, block + 1
         if parts:
-            yield from out(parts)
+            yield _rows(block_rows(parts, block))
 
     return run
 
@@ -260,8 +277,11 @@ def _token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(by_id.get(i, b"") for i in range(size)), np.uint8), np.cumsum(n) - n, n
 
 
-def _encoded(path: str, pattern: str):
-    """Words of a bucket to ids, each distinct word encoded once; rows sorted by bucket."""
+def _encoded(path: str, pattern: str, cfg: BpeConfig):
+    """Words of a bucket to ids, each distinct word encoded once; rows sorted by bucket.
+
+    A bucket of more than `most_known` distinct words forgets some, and may encode them again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoding(path, pattern)
@@ -269,10 +289,11 @@ def _encoded(path: str, pattern: str):
         known: dict[bytes, bytes] = {}
         at = None
         for batch in batches:
-            for block, bucket, payload in zip(*(batch.column(c).to_pylist() for c in ("block", "bucket", "payload")), strict=True):
-                if bucket != at:
+            for block, bucket, payload in zip(*(batch.column(c) for c in ("block", "bucket", "payload")), strict=True):
+                block, bucket = block.as_py(), bucket.as_py()
+                if bucket != at or len(known) > cfg.most_known:
                     known, at = {}, bucket
-                text, length = _unpacked(payload)
+                check, text, length = _unpacked(payload.as_buffer())
                 ends = np.cumsum(length)
                 words = [text[s:e] for s, e in zip((ends - length).tolist(), ends.tolist(), strict=True)]
                 new = [w for w in words if w not in known]
@@ -281,32 +302,44 @@ def _encoded(path: str, pattern: str):
                         known[w] = np.array(ids, wide).tobytes()
                 got = [known[w] for w in words]
                 n = np.array([len(g) for g in got], np.uint32) // np.dtype(wide).itemsize
-                yield _rows([("ids", block, bucket, _packed(b"".join(got), n, wide))])
+                yield _rows([("ids", block, bucket, _packed(check, b"".join(got), n, wide))])
 
     return run
 
 
+#: Pre-tokens that are put together at once.
+_STEP = 1 << 16
+
+
 def _assembled(path: str):
-    """Blocks (one row of positions, rows of ids by bucket) to documents."""
+    """Blocks (one row of positions, then rows of ids by bucket) to documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in K.sorted_groups(batches, ["block"]):
-            rows = list(zip(group.column("bucket").to_pylist(), group.column("payload").to_pylist(), strict=True))
-            words = dict(sorted(r for r in rows if r[0] >= 0))
-            for payload in (p for b, p in rows if b < 0):
-                yield from documents(_unpacked(payload), words)
+        at, positions, words = None, None, {}
+        for batch in batches:
+            for block, bucket, payload in zip(*(batch.column(c) for c in ("block", "bucket", "payload")), strict=True):
+                block, bucket = block.as_py(), bucket.as_py()
+                if block != at:
+                    if positions:
+                        yield from documents(positions, words)
+                    at, positions, words = block, None, {}
+                if bucket < 0:
+                    positions = _unpacked(payload.as_buffer())
+                else:
+                    words[bucket] = _unpacked(payload.as_buffer())
+        if positions:
+            yield from documents(positions, words)
 
     def documents(positions, words):
         pool, byte_at, byte_n = _token_bytes(path)
-        names, counts, planes, bucket_of = positions
-        if set(np.unique(bucket_of).tolist()) != set(words):
+        check, names, counts, planes, bucket_of = positions
+        if set(np.unique(bucket_of).tolist()) != set(words) or any(w[0] != check for w in words.values()):
             raise RuntimeError("a block's words are missing: the input gives other rows when read again")
         codes = _from_planes(planes)
         n = np.zeros(len(bucket_of), np.int64)
         at = np.zeros(len(bucket_of), np.int64)
         ids, filled = [], 0
-        for b, payload in words.items():
-            data, own, wide = _unpacked(payload)
+        for b, (_, data, own, wide) in sorted(words.items()):
             mine = np.flatnonzero(bucket_of == b)
             n[mine] = own
             at[mine] = filled + np.cumsum(own, dtype=np.int64) - own
@@ -315,21 +348,30 @@ def _assembled(path: str):
         ids = np.concatenate(ids) if ids else np.zeros(0, np.uint16)
         doc_ends = np.cumsum(counts)
         lo = 0
-        while lo < len(names):  # some documents at a time, to bound memory
+        while lo < len(names):  # some documents at a time, and some pre-tokens at a time, to bound memory
             begin = doc_ends[lo] - counts[lo]
-            hi = max(lo + 1, int(np.searchsorted(doc_ends, begin + (1 << 18), "right")))
-            part = codes[begin : doc_ends[hi - 1]]
-            tokens, ends = _gather(ids, at[part], n[part])
-            text, byte_ends = _gather(pool, byte_at[tokens], byte_n[tokens])
-            cut = np.append(0, ends)[np.append(0, np.cumsum(counts[lo:hi]))]
-            byte_cut = np.append(0, byte_ends)[cut]
-            tokens = tokens.astype("<u4")
+            hi = max(lo + 1, int(np.searchsorted(doc_ends, begin + _STEP, "right")))
+            numbers, texts, cut, byte_cut = [], [], [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+            done = byte_done = 0
+            for a in range(begin, doc_ends[hi - 1], _STEP):
+                part = codes[a : min(a + _STEP, doc_ends[hi - 1])]
+                tokens, ends = _gather(ids, at[part], n[part])
+                text, byte_ends = _gather(pool, byte_at[tokens], byte_n[tokens])
+                numbers.append(tokens.astype("<u4").tobytes())
+                texts.append(text.tobytes())
+                cut.append(done + ends)
+                byte_cut.append(byte_done + np.append(0, byte_ends)[ends])
+                done, byte_done = done + len(tokens), byte_done + len(text)
+            # Ends of the documents, in tokens and in bytes.
+            stops = np.append(0, np.cumsum(counts[lo:hi]))
+            cut, byte_cut = np.concatenate(cut)[stops], np.concatenate(byte_cut)[stops]
+            whole = [memoryview(b"".join(x)) for x in (numbers, texts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names[lo:hi], pa.int64()),
                     pa.array(np.diff(cut)),
-                    pa.array([tokens[s:e].tobytes() for s, e in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-                    pa.array([text[s:e].tobytes() for s, e in zip(byte_cut[:-1], byte_cut[1:], strict=True)], pa.binary()),
+                    pa.array([whole[0][4 * s : 4 * e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()),
+                    pa.array([whole[1][s:e] for s, e in zip(byte_cut[:-1].tolist(), byte_cut[1:].tolist(), strict=True)], pa.binary()),
                 ],
                 ["doc_id", "n_tokens", "ids", "decoded"],
             )
@@ -344,18 +386,22 @@ def encode_and_decode(
     """doc_id, n_tokens, ids (unsigned 32-bit, little-endian), decoded (bytes) for each row of `docs`.
 
     Ids are those of the tiktoken library for the rank file and pattern, without
-    special tokens.  `docs` is read twice and must give the same partitions both times, as
-    files do; if it doesn't, the run fails.  Defined cases: a null or empty text has no ids and decodes to no
+    special tokens.  Defined cases: a null or empty text has no ids and decodes to no
     bytes; a null doc_id stays null; repeated rows are returned as often as they
-    occur; an empty table gives an empty result; other columns are ignored.
+    occur; an empty table gives an empty result; other columns are ignored.  A text is
+    split in pieces of `cfg.step_kb`, cut at blanks; its ids and bytes are held whole
+    by the task that returns it.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not rereadable(rows):
+        rows = Workspace(docs.sparkSession, "bpe").save(rows, "texts")
     buckets = min(cfg.most_buckets, max(8, cfg.buckets_per_partition * rows.rdd.getNumPartitions()))
     blocks = lambda kind: rows.mapInArrow(_exploded(pattern, cfg, buckets, kind), _SCHEMA)
     words = blocks("words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    ids = words.mapInArrow(_encoded(rank_file, pattern), _SCHEMA)
+    ids = words.mapInArrow(_encoded(rank_file, pattern, cfg), _SCHEMA)
     codes = blocks("codes")
-    both = codes.unionByName(ids).select("block", "bucket", "payload").repartition("block").sortWithinPartitions("block")
+    both = codes.unionByName(ids).select("block", "bucket", "payload").repartition("block").sortWithinPartitions("block", "bucket")
     return both.mapInArrow(_assembled(rank_file), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 

@@ -1,23 +1,29 @@
 """Vectorised text kernels over Arrow string buffers.
 
-Every kernel works on the UTF-8 bytes of a whole batch at once: texts are
+Every kernel works on the UTF-8 bytes of a range of rows at once: texts are
 joined in one byte array, words are found by byte class, and each word gets a
-64-bit polynomial hash from prefix sums modulo 2**64.  Nothing here loops over
-words in Python.
+keyed 64-bit hash of its bytes, taken eight at a time.  Nothing here loops over
+words in Python, but for the few that are long.  No table outlives a call, and
+what a call holds beside its result is a few bytes for each byte of text.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-_P = np.uint64(0x9E3779B97F4A7C15 | 1)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_BYTE_VALUE = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
-#: Powers of the base and of its inverse, grown on demand.
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
+#: Keys of the word hash, from a seed.
+_KEY = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 4, dtype=np.uint64) | np.uint64(1)
+_KEY_BYTES = _KEY.tobytes()[:16]
+#: Words longer than this are hashed one by one.
+_LONG = 64
+#: Words that are hashed at once.
+_STEP = 1 << 15
+#: By number of bytes taken: a mask for the low ones.
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 #: Byte classes (True: part of a word).
 SPACE_WORDS = np.ones(256, bool)
@@ -31,16 +37,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _power(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    have = _powers[kind]
-    if len(have) < n:
-        m = max(n, 2 * len(have))
-        grown = np.full(m, base, np.uint64)
-        grown[0] = 1
-        _powers[kind] = have = np.multiply.accumulate(grown)
-    return have[:n]
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> np.uint64(33))
@@ -67,7 +63,7 @@ def text_buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndar
     return raw[offs[0] : offs[-1]], offs - offs[0]
 
 
-def row_ranges(column: pa.Array, most: int = 1 << 22):
+def row_ranges(column: pa.Array, most: int = 1 << 19):
     """(lo, hi, bytes, offsets) for ranges of rows of about `most` bytes, one row at least."""
     raw, offs = text_buffer(column)
     lo, n = 0, len(offs) - 1
@@ -77,6 +73,34 @@ def row_ranges(column: pa.Array, most: int = 1 << 22):
         lo = hi
 
 
+#: ASCII but white space and control characters: what stands on both sides of a cut.
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x7F] = True
+
+
+def row_pieces(column: pa.Array, most: int = 1 << 19):
+    """As `row_ranges`, with more: a row above 2 * `most` bytes comes in pieces, more is set on all but its last.
+
+    A piece ends before a single blank between two printable ASCII characters, where no
+    word, pre-token or token goes across; a row without such a place comes whole.
+    """
+    for lo, hi, raw, offs in row_ranges(column, most):
+        at, n = 0, len(raw)
+        while n - at > 2 * most:
+            found = -1
+            for a in range(at + most, n - 1, most):  # a: first place that may be a cut
+                part = raw[a - 1 : min(n, a + most + 1)]
+                ok = np.flatnonzero((part[1:-1] == 0x20) & _SOLID[part[:-2]] & _SOLID[part[2:]])
+                if len(ok):
+                    found = a + int(ok[0])
+                    break
+            if found < 0:
+                break
+            yield lo, hi, raw[at:found], np.array([0, found - at]), True
+            at = found
+        yield lo, hi, raw[at:], offs - at if at == 0 else np.array([0, n - at]), False
+
+
 @dataclass
 class Words:
     """Words of a batch: byte ranges, hashes and, per text, the range of words."""
@@ -96,15 +120,78 @@ def lowered(raw: np.ndarray) -> np.ndarray:
 
 
 def range_hash(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range, the same wherever the bytes lie."""
+    """Keyed 64-bit hash of each byte range, the same wherever the bytes lie.
+
+    Eight bytes at a time are mixed into the state, so no sum over a range's bytes, whose
+    terms could be moved about, decides; ranges of over `_LONG` bytes take BLAKE2.
+    """
+    m = len(start)
+    out = np.empty(m, np.uint64)
+    if m == 0:
+        return out
+    if len(raw) < 8:
+        raw = np.concatenate([raw, np.zeros(8 - len(raw), np.uint8)])
     n = len(raw)
-    if n == 0 or len(start) == 0:
-        return np.zeros(len(start), np.uint64)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_BYTE_VALUE[raw] * _power("up", _P, n), out=sums[1:])
-    h = (sums[end] - sums[start]) * _power("down", _P_INV, n)[start]
-    return mix64(h + (end - start).astype(np.uint64))
+    at8 = np.lib.stride_tricks.sliding_window_view(raw, 8)
+    for lo in range(0, m, _STEP):
+        s, e = start[lo : lo + _STEP], end[lo : lo + _STEP]
+        length = e - s
+        h = mix64(length.astype(np.uint64) * _KEY[0] + _KEY[1])
+        live, k = np.flatnonzero((length > 0) & (length <= _LONG)), 0
+        while len(live):
+            at = s[live] + k
+            # The last bytes of the buffer are read from eight before its end, and shifted down.
+            late = np.maximum(at - (n - 8), 0)
+            eight = at8[at - late].view("<u8").ravel() >> (late.astype(np.uint64) * np.uint64(8))
+            eight &= _MASK[np.minimum(length[live] - k, 8)]
+            h[live] = mix64((h[live] ^ mix64(eight + _KEY[2])) * _KEY[3])
+            k += 8
+            live = live[length[live] > k]
+        for i in np.flatnonzero(length > _LONG).tolist():
+            digest = hashlib.blake2b(raw[s[i] : e[i]], digest_size=8, key=_KEY_BYTES).digest()
+            h[i] = int.from_bytes(digest, "little")
+        out[lo : lo + _STEP] = h
+    return out
+
+
+def same_bytes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether raw[start:end] and the bytes of `other` from `at` on are the same, for each range."""
+    length = end - start
+    same = at + length <= len(other)
+    raw = np.concatenate([raw, np.zeros(8, np.uint8)])
+    other = np.concatenate([other, np.zeros(8, np.uint8)])
+    x, y = (np.lib.stride_tricks.sliding_window_view(b, 8) for b in (raw, other))
+    for lo in range(0, len(start), _STEP):
+        part = slice(lo, lo + _STEP)
+        s, o, n, ok = start[part], at[part], length[part], same[part]
+        live, k = np.flatnonzero(ok & (n > 0)), 0
+        while len(live):
+            differ = x[s[live] + k].view("<u8").ravel() ^ y[o[live] + k].view("<u8").ravel()
+            differ &= _MASK[np.minimum(n[live] - k, 8)]
+            ok[live[differ != 0]] = False
+            k += 8
+            live = live[(differ == 0) & (n[live] > k)]
+    return same
+
+
+def distinct(raw: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(where, back): the place of one of each distinct byte range, and for each range its number among these.
+
+    Found by hash, in the order of hashes, and held against the bytes; ranges whose bytes
+    aren't those of their hash's first one are numbered by their bytes.
+    """
+    if hashes is None:
+        hashes = range_hash(raw, start, end)
+    _, where, back = np.unique(hashes, return_index=True, return_inverse=True)
+    like = where[back]
+    odd = np.flatnonzero((end - start != end[like] - start[like]) | ~same_bytes(raw, start, end, raw, start[like]))
+    more: dict[bytes, int] = {}
+    for i in odd.tolist():
+        k = more.setdefault(raw[start[i] : end[i]].tobytes(), len(where))
+        if k == len(where):
+            where = np.append(where, i)
+        back[i] = k
+    return where, back
 
 
 def words(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACE_WORDS, hashes: bool = True) -> Words:
@@ -143,16 +230,26 @@ def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     total = int(take.sum())
     if total == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(n_texts), take)
-    at = np.arange(total) - np.repeat(np.cumsum(take) - take, take) + w.first[:-1][owner]
-    length = np.minimum(counts, size)[owner]
+    cut = np.append(0, np.cumsum(take))
     h = np.zeros(total, np.uint64)
     last = len(w.hash) - 1
-    for i in range(size):
-        part = w.hash[np.minimum(at + i, last)] * np.uint64(2 * i + 3)
-        h = np.where(i < length, mix64(h * np.uint64(0x9FB21C651E98DF25) + part), h)
-    order = np.lexsort((h, owner)) if n_texts > 1 else np.argsort(h)
-    owner, h = owner[order], h[order]
+    for lo in range(0, total, _STEP):
+        place = np.arange(lo, min(total, lo + _STEP))
+        text = np.searchsorted(cut, place, "right") - 1
+        at = place - cut[text] + w.first[text]
+        length = np.minimum(counts, size)[text]
+        part = np.zeros(len(place), np.uint64)
+        for i in range(size):
+            word = w.hash[np.minimum(at + i, last)] * np.uint64(2 * i + 3)
+            part = np.where(i < length, mix64(part * np.uint64(0x9FB21C651E98DF25) + word), part)
+        h[lo : lo + _STEP] = part
+    if n_texts == 1:
+        h.sort()
+        owner = np.zeros(total, np.int64)
+    else:
+        owner = np.repeat(np.arange(n_texts), take)
+        order = np.lexsort((h, owner))
+        owner, h = owner[order], h[order]
     keep = np.ones(total, bool)
     keep[1:] = (owner[1:] != owner[:-1]) | (h[1:] != h[:-1])
     return owner[keep], h[keep]

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import bound_batches
 
 #: Sequence numbers of a partition start at its number times this.
 _PER_PARTITION = 1 << 40
@@ -163,6 +164,7 @@ def pack(docs: DataFrame, vocabulary: str, cfg: PackConfig = PackConfig(), id_co
     an empty table gives no piece; other columns are ignored.
     """
 
+    bound_batches(docs.sparkSession)
     def run(batches):
         from .wordbpe import encoder
 
@@ -200,8 +202,16 @@ def pack(docs: DataFrame, vocabulary: str, cfg: PackConfig = PackConfig(), id_co
 
         for batch in batches:
             names = batch.column("doc_id").to_pylist()
-            for lo, hi, raw, offs in K.row_ranges(batch.column("text")):
+            held: list[np.ndarray] = []  # ids of the pieces of a long text
+            for lo, hi, raw, offs, more in K.row_pieces(batch.column("text")):
                 tokens, bounds = enc.encode(raw, offs)
+                if more or held:
+                    held.append(tokens)
+                if more:
+                    continue
+                if held:
+                    tokens, held = np.concatenate(held), []
+                    bounds = np.array([0, len(tokens)])
                 rows: list[tuple] = []
                 for i in range(hi - lo):
                     own = np.append(tokens[bounds[i] : bounds[i + 1]], np.uint32(cfg.end_id)).astype("<u4")

@@ -30,12 +30,39 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Let no batch of rows that passes to Python hold more than a few megabytes, one row at least.
+
+    Left as it is where the session sets it.  Rows of whole texts differ in size by orders of
+    magnitude, so a number of rows bounds nothing.
+    """
+    if not spark._jsparkSession.sessionState().conf().contains(BATCH):
+        spark.conf.set(BATCH, most)
+
+
+def rereadable(docs: DataFrame) -> bool:
+    """Whether `docs` is a scan of files with projections and filters only, so that it gives
+    the same rows in the same partitions whenever it is read, by whatever executor."""
+
+    def plain(node) -> bool:
+        if node.getClass().getSimpleName() not in ("LogicalRelation", "Project", "Filter") or not node.deterministic():
+            return False
+        below = node.children()
+        return all(plain(below.apply(i)) for i in range(below.size()))
+
+    return plain(docs._jdf.queryExecution().optimizedPlan())
+
+
 class Workspace:
     """A folder of one run of an operator; tables no longer needed can be dropped."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        bound_batches(spark)
         self._n = 0
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

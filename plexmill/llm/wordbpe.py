@@ -59,6 +59,9 @@ class WordBpe:
         self.at = np.zeros(0, np.int64)
         self.n = np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.uint32)
+        #: The bytes of each piece, and where they begin.
+        self.bytes = np.zeros(0, np.uint8)
+        self.byte_at = np.zeros(0, np.int64)
 
     def _units(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(lowered bytes, start, end, whole, first): units to encode; whole: by the whole pipeline."""
@@ -96,14 +99,14 @@ class WordBpe:
         end = stops[np.searchsorted(stops, start, "right")]
         return low, start, end, kind[start] == 6, np.searchsorted(start, offsets)
 
-    def _learn(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray, h: np.ndarray) -> None:
-        data = low.tobytes()
+    def _ids(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of ids, ids end to end) of pieces."""
         table = str.maketrans({chr(b): c for b, c in self.letters.items()})
-        ids: list[list[int]] = [[]] * len(h)
+        ids: list[list[int]] = [[]] * len(start)
         tokenize = self.model.tokenize
         texts, places = [], []
         for i, (s, e, hard) in enumerate(zip(start.tolist(), end.tolist(), whole.tolist(), strict=True)):
-            piece = data[s:e]
+            piece = low[s:e].tobytes()
             if hard:
                 texts.append(piece.decode("utf-8", "replace"))
                 places.append(i)
@@ -113,36 +116,59 @@ class WordBpe:
             for i, got in zip(places, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
                 ids[i] = got.ids
         n = np.array([len(x) for x in ids], np.int32)
-        flat = np.fromiter((t for x in ids for t in x), np.uint32, int(n.sum()))
+        return n, np.fromiter((t for x in ids for t in x), np.uint32, int(n.sum()))
+
+    def _learn(self, low: np.ndarray, start: np.ndarray, end: np.ndarray, whole: np.ndarray, h: np.ndarray) -> None:
+        n, flat = self._ids(low, start, end, whole)
         at = len(self.pool) + np.cumsum(n) - n
         self.pool = np.concatenate([self.pool, flat])
-        where = np.searchsorted(self.hash, h)
-        self.hash = np.insert(self.hash, where, h)
-        self.at = np.insert(self.at, where, at)
-        self.n = np.insert(self.n, where, n)
+        size = end - start
+        byte_at = len(self.bytes) + np.cumsum(size) - size
+        self.bytes = np.concatenate([self.bytes, *(low[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True))])
+        order = np.argsort(h)
+        where = np.searchsorted(self.hash, h[order])
+        self.hash = np.insert(self.hash, where, h[order])
+        self.at = np.insert(self.at, where, at[order])
+        self.n = np.insert(self.n, where, n[order])
+        self.byte_at = np.insert(self.byte_at, where, byte_at[order])
 
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds): text i has ids[bounds[i]:bounds[i + 1]]."""
+        """(ids, bounds): text i has ids[bounds[i]:bounds[i + 1]].
+
+        A piece takes the ids kept under its hash only if its bytes are those kept there.
+        """
         if len(raw) == 0:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         low, start, end, whole, first = self._units(raw, offsets)
-        h = K.range_hash(low, start, end) ^ whole.astype(np.uint64)
-        seen, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.hash) + len(seen) > self.most_kept:
+        where, back = K.distinct(low, start, end, K.range_hash(low, start, end) ^ whole.astype(np.uint64))
+        # A hard piece begins with, or holds, a byte that no other piece has: no piece is both.
+        s, e, hard = start[where], end[where], whole[where]
+        h = K.range_hash(low, s, e) ^ hard.astype(np.uint64)
+        if len(self.hash) + len(h) > self.most_kept:
             self._clear()
-        spot = np.searchsorted(self.hash, seen)
-        known = np.zeros(len(seen), bool)
-        ok = spot < len(self.hash)
-        known[ok] = self.hash[spot[ok]] == seen[ok]
-        new = where[~known]
-        if len(new):
-            self._learn(low, start[new], end[new], whole[new], seen[~known])
-            spot = np.searchsorted(self.hash, seen)
-        n = self.n[spot].astype(np.int64)[back]
-        at = self.at[spot][back]
+        spot = np.minimum(np.searchsorted(self.hash, h), max(0, len(self.hash) - 1))
+        known = self.hash[spot] == h if len(self.hash) else np.zeros(len(h), bool)
+        clash = known.copy()
+        clash[known] = ~K.same_bytes(low, s[known], e[known], self.bytes, self.byte_at[spot[known]])
+        if clash.any() or len(np.unique(h)) < len(h):
+            n, pool = self._ids(low, s, e, hard)
+            at = np.cumsum(n) - n
+        else:
+            new = np.flatnonzero(~known)
+            if len(new):
+                self._learn(low, s[new], e[new], hard[new], h[new])
+            spot = np.searchsorted(self.hash, h)
+            n, at, pool = self.n[spot], self.at[spot], self.pool
+        n = n.astype(np.int64)[back]
+        at = at[back]
         ends = np.cumsum(n)
         total = int(ends[-1]) if len(ends) else 0
-        ids = self.pool[np.arange(total) + np.repeat(at - (ends - n), n)]
+        ids = np.empty(total, np.uint32)
+        for lo in range(0, len(n), 1 << 17):
+            part = slice(lo, lo + (1 << 17))
+            begin = int(ends[lo] - n[lo])
+            count = int(ends[part][-1]) - begin
+            ids[begin : begin + count] = pool[np.arange(count) + np.repeat(at[part] - (ends[part] - n[part] - begin), n[part])]
         bounds = np.append(0, ends)[first]
         return ids, bounds
 
