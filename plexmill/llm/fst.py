@@ -13,9 +13,11 @@ token, and a token t may follow a token s just if the merges of s + t give s, t
 
 Texts are cut where a white-space run begins and at characters without a piece:
 there the transducer is back in its start state, so such a chunk's state map is
-constant.  Longer stretches are cut in chunks of fixed size; their maps are
-composed by a scan that assumes the start state for all, hands every end state
-on, and runs again those chunks whose entry state was another, until none is.
+constant.  Longer stretches are cut in chunks of fixed size.  A chunk's map takes
+the states that it may be entered in to the state it ends in and its count; these
+states are the start state and whatever the chunk before may end in.  The maps
+are composed by a parallel prefix scan, in as many rounds as the logarithm of the
+number of chunks.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .storage import bound_batches
 
 SPACE = "▁"
 _INF = 1 << 30
@@ -40,6 +43,7 @@ class MergeTable:
     pieces: list[str]  # normal pieces, best score first
     rank: dict[str, int]
     split: list[tuple[int, int] | None]  # parts of the last merge; None for one character
+    when: list[int]  # order of each piece's merge; runs of spaces share one score, and so the last place
 
     @classmethod
     def load(cls, path: str) -> MergeTable:
@@ -52,11 +56,12 @@ class MergeTable:
             if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i))
         ]
         text = {i: sp.id_to_piece(i) for i in normal}
-        # Runs of spaces share one score below all; they are counted apart.
-        normal = [i for i in normal if not (len(text[i]) > 1 and set(text[i]) == {SPACE})]
-        normal.sort(key=lambda i: (-sp.get_score(i), i))
+        is_run = lambda i: len(text[i]) > 1 and set(text[i]) == {SPACE}
+        normal.sort(key=lambda i: (is_run(i), -sp.get_score(i), i))
         pieces = [text[i] for i in normal]
-        table = cls(pieces, {p: r for r, p in enumerate(pieces)}, [None] * len(pieces))
+        runs = sum(map(is_run, normal))
+        when = [min(r, len(pieces) - max(1, runs)) for r in range(len(pieces))]
+        table = cls(pieces, {p: r for r, p in enumerate(pieces)}, [None] * len(pieces), when)
         table._split()
         return table
 
@@ -80,10 +85,10 @@ class MergeTable:
         end = _INF
         while True:
             s = self.split[t]
-            out.append((t, -1 if s is None else t, end))
+            out.append((t, -1 if s is None else self.when[t], end))
             if s is None:
                 return out
-            end, t = t, s[side]
+            end, t = self.when[t], s[side]
 
     def may_follow(self, s: int, t: int, besides: int = -1) -> bool:
         """No merge across the border comes up before the merges that make s and t end.
@@ -98,6 +103,7 @@ class MergeTable:
                 c = self.rank.get(self.pieces[a] + self.pieces[b])
                 if c is None or c == besides and a == s and b == t:
                     continue
+                c = self.when[c]
                 at = max(c, a_from, b_from)
                 if at < a_to and (at < b_to or at == c == b_to):
                     return False
@@ -219,43 +225,46 @@ class Transducer:
         nth = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
         at = start[owner] + nth * chunk
         length = np.minimum(end[owner] - at, chunk)
+        # Maps, as rows (chunk, entry state) -> (end state, count).  First each chunk from the start state.
+        part, entry = np.arange(len(owner)), np.zeros(len(owner), np.int32)
+        done, count = self._run_any(symbols, at, length, entry)
+        if len(owner) == len(start):
+            return count
+        follows = np.append(owner[1:] == owner[:-1], False)  # the stretch goes on in the next chunk
+        key = lambda p, s: p.astype(np.int64) << 32 | s
+        have = key(part, entry)
+        fresh = np.flatnonzero(follows[part])
+        while len(fresh):  # what chunks end in, the next ones may be entered in
+            new = np.setdiff1d(key(part[fresh] + 1, done[fresh]), have)
+            p, s = new >> 32, (new & 0xFFFFFFFF).astype(np.int32)
+            ended, counted = self._run_any(symbols, at[p], length[p], s)
+            fresh = len(part) + np.flatnonzero(follows[p])
+            part, entry, have = np.append(part, p), np.append(entry, s), np.append(have, new)
+            done, count = np.append(done, ended), np.append(count, counted)
+        # The scan: each row's map is composed with that of the row it leads to, over ever longer stretches.
+        order = np.argsort(have)
+        goes = follows[part]
+        to = np.where(goes, order[np.minimum(np.searchsorted(have[order], key(part + 1, done)), len(order) - 1)], -1)
+        while (to >= 0).any():
+            on = np.flatnonzero(to >= 0)
+            count[on], to[on] = count[on] + count[to[on]], to[to[on]]
+        return count[: len(owner)][nth == 0]
+
+    def _run_any(self, symbols: np.ndarray, start: np.ndarray, length: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(-length, kind="stable")
-        state = np.zeros(len(owner), np.int32)
-        done, count = np.zeros(len(owner), np.int32), np.zeros(len(owner), np.int64)
-        done[order], count[order] = self._run(symbols, at[order], length[order], state[order])
-        inner = np.flatnonzero(nth > 0)
-        while len(inner):
-            again = inner[done[inner - 1] != state[inner]]
-            if not len(again):
-                break
-            state[again] = done[again - 1]
-            again = again[np.argsort(-length[again], kind="stable")]
-            done[again], count[again] = self._run(symbols, at[again], length[again], state[again])
-        return np.bincount(owner, count, len(start)).astype(np.int64)
+        done, count = np.zeros(len(start), np.int32), np.zeros(len(start), np.int64)
+        done[order], count[order] = self._run(symbols, start[order], length[order], state[order])
+        return done, count
 
 
 class PieceCounter:
     """Token counts as the sentencepiece library's for a BPE model with byte fallback."""
 
-    def __init__(self, path: str, table: MergeTable):
-        import sentencepiece
-
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+    def __init__(self, table: MergeTable):
         self.transducer = Transducer(table)
-        self.spaced: dict[str, int] = {}
 
-    def _spaced(self, text: str) -> int:
-        """Tokens of a stretch that begins with two or more spaces (the library adds the first)."""
-        got = self.spaced.get(text)
-        if got is None:
-            got = len(self.library.encode(text[1:]))
-            if len(self.spaced) > 200_000:
-                self.spaced.clear()
-            self.spaced[text] = got
-        return got
-
-    def count(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Tokens of each text of a buffer."""
+    def count(self, raw: np.ndarray, offsets: np.ndarray, begun: bool = False) -> np.ndarray:
+        """Tokens of each text of a buffer; `begun`: the one text goes on, at white space, with a text counted before."""
         n = len(offsets) - 1
         out = np.zeros(n, np.int64)
         if len(raw) == 0:
@@ -265,7 +274,7 @@ class PieceCounter:
         np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
         bounds = lead[offsets]
         # The library puts a space before every text that isn't empty.
-        filled = bounds[1:] > bounds[:-1]
+        filled = (bounds[1:] > bounds[:-1]) & (not begun)
         points = np.insert(points, bounds[:-1][filled], ord(" "))
         bounds = bounds + np.append(0, np.cumsum(filled))
         symbols = self.transducer.symbol[points]
@@ -286,14 +295,7 @@ class PieceCounter:
         stop = begins | ~known
         stops = np.append(np.flatnonzero(stop), m)
         end = stops[np.searchsorted(stops, start, "right")]
-        second = np.minimum(start + 1, m - 1)
-        runs = (end - start > 1) & space[start] & space[second]
-        plain = ~runs
-        counts = np.zeros(len(start), np.int64)
-        counts[plain] = self.transducer.counts(symbols, start[plain], end[plain])
-        for i in np.flatnonzero(runs).tolist():
-            stretch = points[start[i] : end[i]].tobytes().decode("utf-32-le").replace(SPACE, " ")
-            counts[i] = self._spaced(stretch)
+        counts = self.transducer.counts(symbols, start, end)
         np.add.at(out, text_of[start], counts)
         return out
 
@@ -307,24 +309,24 @@ def token_counts(docs: DataFrame, model: str, limit: int = 4096, id_col: str = "
     `model` is the path of a BPE model file of the sentencepiece library.  Defined
     cases: a null or empty text has 0 bytes and 0 tokens; a null doc_id stays null;
     repeated rows are returned as often as they occur; an empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored.  A long text is counted in pieces cut at blanks.
     """
+    bound_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(MergeTable.load(model))  # as large as the vocabulary
 
     def run(it):
         if model not in _kept:
-            _kept[model] = PieceCounter(model, table.value)
+            _kept[model] = PieceCounter(table.value)
         counter = _kept[model]
         for batch in it:
-            for lo, hi, raw, offs in K.row_ranges(batch.column("text")):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id").slice(lo, hi - lo),
-                        pa.array(np.diff(offs)),
-                        pa.array(counter.count(raw, offs)),
-                    ],
-                    ["doc_id", "n_bytes", "n_tokens"],
-                )
+            before = np.zeros(2, np.int64)  # bytes and tokens of the pieces before of a long text
+            for lo, hi, raw, offs, more in K.row_pieces(batch.column("text")):
+                n = np.stack([np.diff(offs), counter.count(raw, offs, before[0] > 0)]) + before[:, None]
+                before = n[:, 0] if more else np.zeros(2, np.int64)
+                if not more:
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("doc_id").slice(lo, hi - lo), pa.array(n[0]), pa.array(n[1])], ["doc_id", "n_bytes", "n_tokens"]
+                    )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn(
