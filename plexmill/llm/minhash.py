@@ -12,9 +12,14 @@ emitting its pairs:
   bounded size spread over tasks: signatures first, then full sets of those
   that come near.  A block returns a spanning forest of its links.
 
-So no link between different texts that share a bucket is lost, whatever the
-group's size.  `bands` and `rows` set the chance of sharing none: for 24 bands
-of 6 rows it is 1.2e-5 at similarity 0.85.
+So links between different texts that share a bucket are found whatever the
+group's size, but for signatures that fall short of the similarity by `slack`
+standard errors (below 1e-7).  `bands` and `rows` set the chance of sharing no
+bucket: for 24 bands of 6 rows it is 1.2e-5 at similarity 0.85.
+
+A bucket of m classes, s of them outside its main component, costs s * m / 2
+comparisons of signatures in blocks of bounded memory: time grows with the square
+of a bucket of texts that share a band but are not alike.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -39,7 +44,7 @@ class MinHashConfig:
     rows: int = 5
     seed: int = 1
     block: int = 256
-    slack: float = 4.0  # standard errors a signature estimate may fall short by
+    slack: float = 6.0  # standard errors a signature estimate may fall short by
 
     @property
     def minima(self) -> int:
@@ -74,10 +79,14 @@ def _sets(batch: pa.RecordBatch, size: int):
         yield lo, hi, sizes, bounds, h, k1, k2
 
 
+#: Two hashes of a text, which tell rows of one doc_id apart.
+_TEXT_KEY = ("h1", "h2")
+
+
 def signatures(docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """doc_id, n_shingles, node, check, sig: one row for each row of `docs` (doc_id, text).
+    """doc_id, h1, h2, n_shingles, node, check, sig: one row for each row of `docs` (doc_id, text).
 
-    node and check identify the shingle set (128 bits); sig holds the minima as
+    h1 and h2 are hashes of the text; node and check identify the shingle set (128 bits); sig holds the minima as
     little-endian unsigned 32-bit integers, empty for a document without words.
     """
     a, b = _coefficients(cfg)
@@ -98,20 +107,24 @@ def signatures(docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
                     sig[has] = (low >> np.uint64(32)).astype(np.uint32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id").slice(lo, hi - lo),
+                        *(batch.column(c).slice(lo, hi - lo) for c in ("doc_id", *_TEXT_KEY)),
                         pa.array(sizes.astype(np.int64)),
                         pa.array(k1.view(np.int64)),
                         pa.array(k2.view(np.int64)),
                         pa.array([r.tobytes() if x else b"" for r, x in zip(sig, has, strict=True)], pa.binary()),
                     ],
-                    ["doc_id", "n_shingles", "node", "check", "sig"],
+                    ["doc_id", *_TEXT_KEY, "n_shingles", "node", "check", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, node long, check long, sig binary"
+    return docs.select("doc_id", *_text_key("text"), "text").mapInArrow(
+        run, "doc_id long, h1 long, h2 long, n_shingles long, node long, check long, sig binary"
     )
 
 
+def _text_key(text: str | Column) -> list[Column]:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(11), text).alias("h2")]
+
+
 def _band_rows(classes: DataFrame, cfg: MinHashConfig) -> DataFrame:
     def run(it):
         for batch in it:
@@ -139,31 +152,31 @@ def _shortened(classes: DataFrame) -> DataFrame:
                 low = [r.tobytes() for r in sig.astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.binary())], [*batch.schema.names, "short"])
 
-    return classes.mapInArrow(run, "node long, doc_id long, sig binary, short binary")
+    return classes.mapInArrow(run, "node long, check long, doc_id long, sig binary, short binary")
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """(node, shingles) for the documents whose ids are in `wanted` (doc_id, node)."""
+    """(node, shingles) for the documents whose ids are in `wanted` (doc_id, node, check)."""
 
     def run(it):
         for batch in it:
-            for lo, hi, _, bounds, h, k1, _ in _sets(batch, cfg.shingle):
+            for _, _, _, bounds, h, k1, k2 in _sets(batch, cfg.shingle):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(k1.view(np.int64)),
+                        pa.array(k2.view(np.int64)),
                         pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                     ],
-                    ["node", "shingles"],
+                    ["node", "check", "shingles"],
                 )
 
     ids = wanted.select("doc_id").distinct()
     found = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .join(ids, "doc_id", "left_semi")
-        .mapInArrow(run, "node long, shingles binary")
+        docs.join(ids, "doc_id", "left_semi")
+        .mapInArrow(run, "node long, check long, shingles binary")
     )
     # A repeated doc_id may bring other texts along: the join keeps the wanted sets, once each.
-    return found.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return found.join(wanted.select("node", "check"), ["node", "check"], "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, cfg: MinHashConfig) -> DataFrame:
@@ -352,20 +365,13 @@ def _block_links(flagged: DataFrame, sets: DataFrame, cfg: MinHashConfig) -> Dat
     return _in_blocks(flagged.join(sets, "node")).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of `docs`.
+def _grouped(docs: DataFrame, cfg: MinHashConfig) -> DataFrame:
+    """doc_id, h1, h2, n_shingles, group, component_id for each row of `docs` (doc_id long, text string).
 
-    Words are runs of bytes other than space and \\t to \\r, A-Z lowered.  Two
-    documents are linked when their shingle sets reach the similarity; component_id
-    is the smallest doc_id reachable.  Defined cases: a null or wordless text has
-    n_shingles 0 and links with nothing; a row with a null doc_id links with
-    nothing, has a null component_id and is kept; rows that repeat a doc_id are
-    returned as often as they occur; an empty table gives an empty result; other
-    columns of `docs` are ignored.
+    group is the same number for all rows of a component; null, as component_id is, for a
+    row that can't be linked.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "minhash")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    work = Workspace(docs.sparkSession, "minhash")
     sigs = work.save(signatures(docs, cfg), "signatures")
     linkable = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     classes = work.save(
@@ -384,8 +390,8 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     )
     members = work.save(bands.join(hubs.select("bucket"), "bucket", "left_semi"), "members")
     active = classes.join(members.select("node").distinct(), "node", "left_semi")
-    active = work.save(_shortened(active.select("node", "doc_id", "sig")), "active")
-    sets = work.save(_full_sets(docs, active.select("doc_id", "node"), cfg), "sets")
+    active = work.save(_shortened(active.select("node", "check", "doc_id", "sig")), "active")
+    sets = work.save(_full_sets(docs, active.select("doc_id", "node", "check"), cfg), "sets")
 
     links = work.save(
         _verify(_hub_pairs(members, hubs, active, cfg), sets, cfg).where("linked").select("a", "b"), "hub-links"
@@ -395,6 +401,8 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     more = work.save(_block_links(flagged, sets, cfg), "block-links")
     if not more.isEmpty():
         labels = work.save(connected_components(links.unionByName(more), work), "labels")
+    for table in (members, hubs, active, sets, flagged, links, more):
+        work.drop(table)
     named = classes.join(labels, "node", "left").select(
         "node", "check", F.coalesce("component", "node").alias("component"), "doc_id"
     )
@@ -406,31 +414,60 @@ def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_co
     )
     out = work.save(
         named.join(linked, ["node", "check"], "left").select(
-            "node", "check", F.coalesce("component_id", "doc_id").alias("component_id")
+            "node", "check", "component", F.coalesce("component_id", "doc_id").alias("component_id")
         ),
         "classes-with-component",
     )
-    full = sigs.select("doc_id", "n_shingles", "node", "check").join(
-        out, ["node", "check"], "left"
-    )
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return full.select("doc_id", "n_shingles", component.cast("long").alias("component_id")).withColumn(
+    full = sigs.select("doc_id", *_TEXT_KEY, "n_shingles", "node", "check").join(out, ["node", "check"], "left")
+    own = lambda c: F.when(linkable, F.col(c))
+    return full.select("doc_id", *_TEXT_KEY, "n_shingles", own("component").alias("group"), own("component_id").alias("component_id"))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+
+def near_duplicates(docs: DataFrame, cfg: MinHashConfig = MinHashConfig(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of `docs`.
+
+    Words are runs of bytes other than space and \\t to \\r, A-Z lowered.  Two
+    documents are linked when their shingle sets reach the similarity; component_id
+    is the smallest doc_id reachable.  Defined cases: a null or wordless text has
+    n_shingles 0 and links with nothing; a row with a null doc_id links with
+    nothing, has a null component_id and is kept; rows that repeat a doc_id are
+    returned as often as they occur; an empty table gives an empty result; other
+    columns of `docs` are ignored; a long text is held whole, with some 40 bytes for
+    each of its words, by the task that reads it.
+    """
+    found = _grouped(_texts(docs, id_col, text_col), cfg)
+    return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     )
 
 
 def keep_one_of_each_group(docs: DataFrame, cfg: MinHashConfig = MinHashConfig()) -> DataFrame:
-    """The rows of `docs`, all columns, of the documents that `near_duplicates` keeps.
+    """The rows of `docs`, all columns, that stay when each group of near copies keeps one.
 
-    One document of each group stays, the one with the smallest doc_id.  Of rows that
-    repeat a kept doc_id one stays, whatever their texts; rows with a null doc_id all stay.
+    The row with the smallest doc_id stays; of rows of that id in the group, one.  Rows of
+    one doc_id whose texts aren't near copies are in groups of their own, and stay.  Rows
+    with a null doc_id and rows without a word are in no group, and stay.  An empty table
+    gives an empty result; any other columns, whatever their names, stay as they are; long
+    texts as in `near_duplicates`.
     """
     work = Workspace(docs.sparkSession, "keep")
-    kept = near_duplicates(docs, cfg).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = work.save(kept.withColumnRenamed("doc_id", "_kept"), "kept")
-    on = F.col("doc_id").cast("long") == F.col("_kept")
-    single = docs.join(kept.where("n = 1"), on, "left_semi")
-    repeated = docs.join(kept.where("n > 1"), on, "left_semi")
-    order = F.struct(F.xxhash64("text"), F.col("text"))
-    one = repeated.groupBy("doc_id").agg(F.min_by(F.struct("*"), order).alias("row")).select("row.*")
-    return single.unionByName(one).unionByName(docs.where(F.col("doc_id").cast("long").isNull()))
+    found = _grouped(_texts(docs, "doc_id", "text"), cfg).where("group is not null")
+    key = ["doc_id", *_TEXT_KEY]
+    # How often each row of a group occurs, and then the first row of each group.
+    counted = found.groupBy("group", *key).agg(F.count("*").alias("n"))
+    first = work.save(counted.groupBy("group").agg(F.min(F.struct(*key, "n")).alias("k")).select("k.*"), "kept")
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        *[h.alias(n) for h, n in zip(_text_key(F.col("text").cast("string")), _TEXT_KEY, strict=True)],
+        F.coalesce(F.col("text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]").alias("has_words"),
+    )
+    in_group = F.col("doc_id").isNotNull() & F.col("has_words")
+    grouped = rows.where(in_group)
+    single = grouped.join(first.where("n = 1"), key, "left_semi").select("row")
+    repeated = grouped.join(first.where("n > 1"), key, "left_semi").groupBy(*key).agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(repeated).unionByName(rows.where(~in_group).select("row")).select("row.*")
