@@ -1,17 +1,19 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words of letters and their first characters.  A bounded sample of labelled
-rows is searched in two spaces, in both for the exact top k.
+Terms are words of letters and their first 4 and 5 characters.  A bounded sample of
+labelled rows is searched in two spaces, in both for the exact nearest.
 
-The space of whole texts has every term.  Frequent terms are a dense matrix, the
-others an inverted index; both parts add up to the cosine with every example, and
-the nearest are computed again in double precision.
+The space of whole texts has every term.  A text is near to an example if their
+cosine reaches `near`.  Rare terms have inverted lists, which give their part of
+every cosine; for frequent terms the product of both norms bounds the rest, and
+only examples whose bound reaches `near` are computed in full.
 
-The space of telling terms has those that tell labels apart (a bounded number, by
-likelihood ratio).  Its vectors, equal ones merged, form an inverted index in blocks
-with the largest weight of each term in each block.  A query adds up these bounds,
-takes blocks from the highest bound down and stops when no further block can hold a
-nearer example.
+The space of telling terms has those that tell labels apart by a likelihood ratio:
+a term, a term found at least 2, 3 or 5 times in a text, and a term found in a text
+twice or more at some rate, in powers of two.  Its vectors, equal ones merged, form an
+inverted index in blocks with the largest weight of each term in each block.  A
+query adds up these bounds, takes blocks from the highest bound down and stops when
+no further block can hold a nearer example.
 
 Neighbours vote with weights that fall with distance; a prior keeps few and far ones
 from certainty.  The vote by telling terms is the prior of the vote by whole texts,
@@ -36,15 +38,15 @@ from .storage import Workspace
 @dataclass(frozen=True)
 class ToxicityConfig:
     sample: int = 20_000  # labelled rows that are learnt from, the first by a hash of their id
-    terms: int = 4096
-    least_rows: int = 4  # labelled rows that a term must occur in
-    prefix: int = 4
+    prefixes: tuple[int, ...] = (4, 5)
+    levels: tuple[int, ...] = (2, 3, 5)
+    lean: float = 2.0  # times the share of toxic rows that a telling term has
     neighbours: int = 15
     block: int = 64
     sharpness: int = 4
     prior_votes: float = 0.5
-    frequent: float = 0.05  # share of the examples from which on a term is in the dense matrix
-    most_frequent: int = 1024
+    near: float = 0.5  # least cosine of whole texts that votes
+    frequent: float = 0.05  # share of the examples from which on a term has no inverted list
     softness: float = 0.05  # added to the distance of whole texts that a vote is divided by
     threshold: float = 0.7
 
@@ -52,76 +54,108 @@ class ToxicityConfig:
 _LETTERS = np.zeros(256, bool)
 _LETTERS[97:123] = True
 _LETTERS[0x80:] = True
+_HEAD = np.uint64(0x5851F42D4C957F2D)
+_VARIANT = 0xD6E8FEB86659FD93
 
 
-def _terms(raw: np.ndarray, offsets: np.ndarray, prefix: int) -> tuple[np.ndarray, np.ndarray]:
-    """(owner, hash) of all terms of the texts, in no set order."""
+@dataclass
+class Terms:
+    """Terms of some texts: text `owner[k]` has `hashes[term[k]]` `count[k]` times; by owner and term."""
+
+    hashes: np.ndarray
+    owner: np.ndarray
+    term: np.ndarray
+    count: np.ndarray
+    words: np.ndarray  # of each text
+
+
+def _terms(raw: np.ndarray, offsets: np.ndarray, cfg: ToxicityConfig) -> Terms:
     raw = K.lowered(raw)
     w = K.words(raw, offsets, _LETTERS)
     owner = np.repeat(np.arange(len(offsets) - 1), w.counts())
     char = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
     at = np.searchsorted(char, w.start)
-    stop = char[np.minimum(at + prefix, len(char) - 1)]
-    longer = stop < w.end
-    head = K.range_hash(raw, w.start[longer], stop[longer]) ^ np.uint64(0x5851F42D4C957F2D)
-    return np.concatenate([owner, owner[longer]]), np.concatenate([w.hash, head])
+    owners, hashes = [owner], [w.hash]
+    for n in cfg.prefixes:
+        stop = char[np.minimum(at + n, len(char) - 1)]
+        longer = stop < w.end
+        owners.append(owner[longer])
+        hashes.append(K.range_hash(raw, w.start[longer], stop[longer]) ^ _HEAD)
+    seen, back = np.unique(np.concatenate(hashes), return_inverse=True)
+    key, count = np.unique(np.concatenate(owners) * max(1, len(seen)) + back, return_counts=True)
+    return Terms(seen, key // max(1, len(seen)), key % max(1, len(seen)), count, w.counts())
+
+
+def _text_terms(column: pa.Array, cfg: ToxicityConfig):
+    """(lo, hi, Terms) for ranges of rows; a long text is read in pieces and its terms are added up."""
+    held: list[Terms] = []
+    for lo, hi, raw, offs, more in K.row_pieces(column):
+        t = _terms(raw, offs, cfg)
+        if more or held:
+            held.append(t)
+        if more:
+            continue
+        if held:
+            seen, back = np.unique(np.concatenate([x.hashes[x.term] for x in held]), return_inverse=True)
+            n = np.bincount(back, np.concatenate([x.count for x in held]), len(seen)).astype(np.int64)
+            words = sum(x.words for x in held)
+            t, held = Terms(seen, np.zeros(len(seen), np.int64), np.arange(len(seen)), n, words), []
+        yield lo, hi, t
+
+
+def _variants(h: np.ndarray, count: np.ndarray, words: np.ndarray, cfg: ToxicityConfig) -> tuple[np.ndarray, np.ndarray]:
+    """(place, hash) of each term and of its variants: at the levels it reaches, and at its rate if repeated."""
+    place = np.arange(len(h))
+    out = [(place, h)]
+    for n in cfg.levels:
+        hit = np.flatnonzero(count >= n)
+        out.append((hit, K.mix64(h[hit] + np.uint64(n * _VARIANT % (1 << 64)))))
+    hit = np.flatnonzero(count >= 2)
+    rate = np.floor(np.log2(count[hit] * 1000 / words[hit])).astype(np.int64)
+    out.append((hit, K.mix64(h[hit] - (rate + 100).astype(np.uint64) * np.uint64(_VARIANT))))
+    return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
 
 def _term_rows(cfg: ToxicityConfig):
-    """Labelled texts to (term, rows, toxic): document frequencies, summed over a batch."""
+    """Labelled texts to (term, root, rows, toxic): document frequencies of all variants, summed over a batch."""
 
     def run(it):
         for batch in it:
             label = batch.column("toxic").to_numpy(zero_copy_only=False)
-            for lo, hi, raw, offs in K.row_ranges(batch.column("text")):
-                owner, h = _terms(raw, offs, cfg.prefix)
-                order = np.lexsort((owner, h))
-                owner, h = owner[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-                owner, h = owner[new], h[new]
-                terms, at, n = np.unique(h, return_index=True, return_counts=True)
-                toxic = np.add.reduceat(label[lo:hi][owner].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
+            for lo, hi, t in _text_terms(batch.column("text"), cfg):
+                place, h = _variants(t.hashes[t.term], t.count, t.words[t.owner], cfg)
+                terms, first, back = np.unique(h, return_index=True, return_inverse=True)
+                bad = label[lo:hi][t.owner[place]].astype(float)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(terms.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(toxic)], ["term", "rows", "toxic"]
+                    [
+                        pa.array(terms.view(np.int64)),
+                        pa.array(t.hashes[t.term[place[first]]].view(np.int64)),
+                        pa.array(np.bincount(back, minlength=len(terms)).astype(np.int64)),
+                        pa.array(np.bincount(back, bad, len(terms)).astype(np.int64)),
+                    ],
+                    ["term", "root", "rows", "toxic"],
                 )
 
     return run
 
 
-def _counts(raw: np.ndarray, offsets: np.ndarray, terms: np.ndarray, prefix: int):
-    """(owner, term index, frequency) of the terms in `terms` (sorted), by owner and term; and (owner, hash, frequency) of the others."""
-    owner, h = _terms(raw, offsets, prefix)
-    if len(terms):
-        seen, back = np.unique(h, return_inverse=True)
-        at = np.minimum(np.searchsorted(terms, seen), len(terms) - 1)
-        at, hit = at[back], (terms[at] == seen)[back]
-    else:
-        at, hit = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
-    key, n = np.unique(owner[hit] * len(terms) + at[hit], return_counts=True)
-    other, h = owner[~hit], h[~hit]
-    order = np.lexsort((h, other))
-    other, h = other[order], h[order]
-    new = np.flatnonzero(np.concatenate([[True], (other[1:] != other[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, int)
-    return key // max(1, len(terms)), key % max(1, len(terms)), n, other[new], h[new], np.diff(new, append=len(h))
-
-
 def _example_rows(cfg: ToxicityConfig):
-    """Examples with the sorted hashes of all their terms, and the terms' frequencies."""
+    """Examples with the sorted hashes of all their terms, the terms' frequencies and their number of words."""
 
     def run(it):
         for batch in it:
-            for lo, hi, raw, offs in K.row_ranges(batch.column("text")):
-                _, _, _, owner, h, n = _counts(raw, offs, np.zeros(0, np.uint64), cfg.prefix)
-                cut = np.searchsorted(owner, np.arange(hi - lo + 1))
+            for lo, hi, t in _text_terms(batch.column("text"), cfg):
+                cut = np.searchsorted(t.owner, np.arange(hi - lo + 1)).tolist()
+                h, n = t.hashes[t.term].astype("<u8").tobytes(), t.count.astype("<i4").tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(lo, hi - lo),
                         batch.column("toxic").slice(lo, hi - lo),
-                        pa.array([h[a:b].astype("<u8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
-                        pa.array([n[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                        pa.array([h[8 * a : 8 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                        pa.array([n[4 * a : 4 * b] for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary()),
+                        pa.array(t.words.astype(np.int64)),
                     ],
-                    ["doc_id", "toxic", "terms", "counts"],
+                    ["doc_id", "toxic", "terms", "counts", "words"],
                 )
 
     return run
@@ -135,55 +169,52 @@ def _ratio(a: F.Column, n: F.Column, p: float) -> F.Column:
 
 
 class BlockMaxIndex:
-    """Distinct example vectors in blocks, with the largest weight of each term in each block."""
+    """Distinct example vectors in blocks, with the largest weight of each term in each block.
 
-    def __init__(self, n_terms: int, examples: list[tuple[int, int, bytes, bytes]], cfg: ToxicityConfig):
+    A vector has its terms' inverse document frequencies, at unit length.
+    """
+
+    def __init__(self, n_terms: int, examples: list[tuple[int, int, bytes]], cfg: ToxicityConfig):
+        """examples: id, label, sorted numbers of the telling terms (int32, packed)."""
         self.cfg = cfg
-        merged: dict[tuple[bytes, bytes], list[int]] = {}
+        merged: dict[bytes, list[int]] = {}
         self.empty = [0, 0]  # rows, toxic rows without any term
         df = np.zeros(n_terms)
-        for doc, toxic, terms, counts in sorted(examples):
-            t = np.frombuffer(terms, "<i4")
-            df[t] += 1
-            if not len(t):
+        for doc, toxic, terms in sorted(examples):
+            df[np.frombuffer(terms, "<i4")] += 1
+            if not terms:
                 self.empty[0] += 1
                 self.empty[1] += toxic
                 continue
-            own = merged.setdefault((terms, counts), [0, 0, doc])
+            own = merged.setdefault(terms, [0, 0, doc])
             own[0] += 1
             own[1] += toxic
         self.idf = np.log((len(examples) + 1) / (df + 1)) + 1
         # Like vectors lie together, so that few blocks hold a term.
-        keys = sorted(merged, key=lambda k: (np.frombuffer(k[0], "<i4").tolist(), np.frombuffer(k[1], "<i4").tolist()))
+        keys = sorted(merged, key=lambda k: np.frombuffer(k, "<i4").tolist())
         self.rows = np.array([merged[k][0] for k in keys], float)
         self.toxic = np.array([merged[k][1] for k in keys], float)
         self.doc = np.array([merged[k][2] for k in keys], np.int64)
-        vectors = [self.weights(*(np.frombuffer(x, "<i4") for x in k)) for k in keys]
-        where = np.repeat(np.arange(len(keys)), [len(v[0]) for v in vectors]) if keys else np.zeros(0, int)
-        term = np.concatenate([v[0] for v in vectors]) if keys else np.zeros(0, int)
-        weight = np.concatenate([v[1] for v in vectors]) if keys else np.zeros(0)
+        term = np.frombuffer(b"".join(keys), "<i4").astype(np.int64)
+        where = np.repeat(np.arange(len(keys)), [len(k) // 4 for k in keys]) if keys else np.zeros(0, np.int64)
+        weight = self.idf[term] / np.sqrt(np.bincount(where, self.idf[term] ** 2, len(keys)))[where]
         order = np.lexsort((where, term))
         self.where, self.weight = where[order], weight[order]
-        blocks = -(-len(keys) // cfg.block)
-        spot = term[order] * blocks + self.where // cfg.block
-        self.start = np.searchsorted(spot, np.arange(n_terms * blocks + 1)).reshape(-1)
-        self.blocks = blocks
-        top = np.zeros(n_terms * blocks)
+        self.blocks = -(-len(keys) // cfg.block)
+        spot = term[order] * self.blocks + self.where // cfg.block
+        self.start = np.searchsorted(spot, np.arange(n_terms * self.blocks + 1))
+        top = np.zeros(n_terms * self.blocks)
         np.maximum.at(top, spot, self.weight)
-        self.top = top.reshape(n_terms, blocks) if blocks else np.zeros((n_terms, 0))
-        n, bad = sum(self.rows), sum(self.toxic)
+        self.top = top.reshape(n_terms, self.blocks)
+        n, bad = self.rows.sum(), self.toxic.sum()
         everyone = (bad + self.empty[1] + 1) / (n + self.empty[0] + 2)
         self.prior = (bad + everyone) / (n + 1)
         self.prior_empty = (self.empty[1] + everyone) / (self.empty[0] + 1)
-        self.known: dict[tuple[bytes, bytes], tuple[float, list[int]]] = {}
-
-    def weights(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(counts)) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
+        self.known: dict[bytes, tuple[float, list[int]]] = {}
 
-    def nearest(self, terms: np.ndarray, counts: np.ndarray) -> list[tuple[float, int]]:
+    def nearest(self, terms: np.ndarray) -> list[tuple[float, int]]:
         """(cosine, example) of the k nearest, by cosine and then position: exact."""
-        terms, w = self.weights(terms, counts)
+        w = self.idf[terms] / np.sqrt((self.idf[terms] ** 2).sum())
         bound = w @ self.top[terms]
         best: list[tuple[float, int]] = []
         k, size = self.cfg.neighbours, self.cfg.block
@@ -198,13 +229,13 @@ class BlockMaxIndex:
             best = sorted([*best, *((float(got[i]), b * size + int(i)) for i in hit)], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
-    def score(self, terms: bytes, counts: bytes) -> tuple[float, list[int]]:
+    def score(self, terms: bytes) -> tuple[float, list[int]]:
         """Calibrated score and the ids of the three nearest examples."""
         if not terms:
             return self.prior_empty, []
-        got = self.known.get((terms, counts))
+        got = self.known.get(terms)
         if got is None:
-            near = self.nearest(np.frombuffer(terms, "<i4"), np.frombuffer(counts, "<i4"))
+            near = self.nearest(np.frombuffer(terms, "<i4"))
             vote = np.array([c for c, _ in near]) ** self.cfg.sharpness
             i = np.array([x for _, x in near], int)
             m = self.cfg.prior_votes
@@ -212,9 +243,9 @@ class BlockMaxIndex:
                 float(((vote * self.toxic[i]).sum() + m * self.prior) / ((vote * self.rows[i]).sum() + m)),
                 self.doc[i[:3]].tolist(),
             )
-            if len(self.known) > 100_000:
+            if len(self.known) > 20_000:
                 self.known.clear()
-            self.known[terms, counts] = got
+            self.known[terms] = got
         return got
 
 
@@ -232,12 +263,13 @@ def _unpacked(n: int, data: bytes) -> np.ndarray:
 class WholeTextIndex:
     """Distinct example texts over all of their terms.
 
-    Only terms and frequencies are sent, compressed; what is searched is made where it is used.
+    Rare terms have lists of examples, frequent ones are kept by example.  Both are sent as
+    compressed numbers; weights are made where they are used.
     """
 
     def __init__(self, examples: list[tuple[int, int, bytes, bytes]], cfg: ToxicityConfig):
+        """examples: id, label, sorted hashes of terms, frequencies."""
         self.cfg = cfg
-        self.examples = len(examples)
         merged: dict[tuple[bytes, bytes], list[int]] = {}
         for doc, toxic, terms, counts in sorted(examples):
             if terms:
@@ -248,80 +280,91 @@ class WholeTextIndex:
         self.toxic = np.array([x[1] for x in merged.values()], float)
         self.doc = np.array([x[2] for x in merged.values()], np.int64)
         size = np.array([len(k[0]) // 8 for k in merged], np.int64)
+        where = np.repeat(np.arange(len(size), dtype=np.int32), size)
         h = np.frombuffer(b"".join(k[0] for k in merged), "<u8")
+        n = np.frombuffer(b"".join(k[1] for k in merged), "<i4")
         self.terms = np.unique(h)
         term = np.empty(len(h), np.int32)
         for lo in range(0, len(h), 1 << 20):
             term[lo : lo + (1 << 20)] = np.searchsorted(self.terms, h[lo : lo + (1 << 20)])
-        self.sent = [_packed(x) for x in (size, np.diff(term, prepend=np.int32(0)), np.frombuffer(b"".join(k[1] for k in merged), "<i4"))]
-        self.dense = None
+        df = np.bincount(term, self.rows[where], minlength=len(self.terms))
+        self.idf = np.log((len(examples) + 1) / (df + 1)) + 1
+        self.idf_other = float(np.log(len(examples) + 1) + 1)
+        w = (1 + np.log(n)) * self.idf[term]
+        self.norm = np.sqrt(np.bincount(where, w * w, minlength=len(size)))
+        in_texts = np.bincount(term, minlength=len(self.terms))
+        #: Number among the frequent terms, -1 for a rare one.
+        self.column = np.full(len(self.terms), -1, np.int32)
+        frequent = np.flatnonzero(in_texts >= max(2, cfg.frequent * len(size)))
+        self.column[frequent] = np.arange(len(frequent))
+        often = self.column[term] >= 0
+        self.often_norm = np.sqrt(np.bincount(where[often], w[often] ** 2, minlength=len(size))) / np.maximum(self.norm, 1e-300)
+        self.often_first = np.concatenate([[0], np.cumsum(np.bincount(where[often], minlength=len(size)))])
+        self.rare_first = np.concatenate([[0], np.cumsum(np.where(self.column < 0, in_texts, 0))])
+        rare = np.flatnonzero(~often)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.sent = [_packed(x) for x in (np.diff(where[rare], prepend=np.int32(0)), n[rare], self.column[term[often]], n[often])]
 
     def build(self) -> None:
-        cfg = self.cfg
-        size, term, n = (_unpacked(*x) for x in self.sent)
+        where, n, column, m = (_unpacked(*x) for x in self.sent)
         self.sent = None
-        self.term = np.cumsum(term, dtype=np.int32)
-        self.first = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
-        where = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        df = np.bincount(self.term, self.rows[where], minlength=len(self.terms))
-        self.idf = np.log((self.examples + 1) / (df + 1)) + 1
-        self.idf_other = float(np.log(self.examples + 1) + 1)
-        w = (1 + np.log(n)) * self.idf[self.term]
-        self.weight = (w / np.sqrt(np.bincount(where, w * w, minlength=len(size)))[where]).astype(np.float32)
-        in_texts = np.bincount(self.term, minlength=len(self.terms))
-        frequent = np.argsort(-in_texts, kind="stable")[: cfg.most_frequent]
-        frequent = np.sort(frequent[in_texts[frequent] >= max(2, cfg.frequent * len(size))])
-        self.column = np.full(len(self.terms), -1, np.int32)
-        self.column[frequent] = np.arange(len(frequent))
-        c = self.column[self.term]
-        self.dense = np.zeros((len(frequent), len(size)), np.float32)
-        self.dense[c[c >= 0], where[c >= 0]] = self.weight[c >= 0]
-        rare = np.flatnonzero(c < 0)
-        rare = rare[np.argsort(self.term[rare], kind="stable")]
-        self.rare_where, self.rare_weight = where[rare], self.weight[rare]
-        self.rare_first = np.searchsorted(self.term[rare], np.arange(len(self.terms) + 1))
+        self.rare_where = np.cumsum(where, dtype=np.int32)
+        self.often_column = column
+        self.rare_weight, self.often_weight = np.empty(len(n), np.float32), np.empty(len(m), np.float32)
+        frequent = self.idf[self.column >= 0]
+        for lo in range(0, len(n), 1 << 20):
+            hi = min(len(n), lo + (1 << 20))
+            term = np.searchsorted(self.rare_first, np.arange(lo, hi), "right") - 1
+            self.rare_weight[lo:hi] = (1 + np.log(n[lo:hi])) * self.idf[term] / self.norm[self.rare_where[lo:hi]]
+        for lo in range(0, len(m), 1 << 20):
+            hi = min(len(m), lo + (1 << 20))
+            where = np.searchsorted(self.often_first, np.arange(lo, hi), "right") - 1
+            self.often_weight[lo:hi] = (1 + np.log(m[lo:hi])) * frequent[column[lo:hi]] / self.norm[where]
+        self.mine = np.zeros(len(frequent))
 
     def nearest(self, cut: np.ndarray, term: np.ndarray, count: np.ndarray, others: np.ndarray):
-        """For each text, the cosines and examples of the k nearest, by cosine and then position: exact.
+        """For each text, the cosines and examples of the nearest of those near, by cosine and then position: exact.
 
         Text i has terms cut[i]:cut[i + 1]; others[i] sums the squares of 1 + log(frequency) of terms that no example has.
         """
-        if self.dense is None:
+        if self.sent is not None:
             self.build()
-        texts, examples, k = len(cut) - 1, len(self.rows), self.cfg.neighbours
+        texts, examples, near = len(cut) - 1, len(self.rows), self.cfg.near
         w = (1 + np.log(count)) * self.idf[term]
         owner = np.repeat(np.arange(texts), np.diff(cut))
         norm = np.sqrt(np.bincount(owner, w * w, minlength=texts) + others * self.idf_other**2)
         w = w / norm[owner]
         column = self.column[term]
         often = column >= 0
-        q = np.zeros((texts, len(self.dense)), np.float32)
-        q[owner[often], column[often]] = w[often]
-        near = q @ self.dense
-        mine = np.zeros(len(self.terms))
+        often_norm = np.sqrt(np.bincount(owner[often], w[often] ** 2, minlength=texts))
+        first, last = self.rare_first[term], self.rare_first[term + 1]
         for i in range(texts):
             lo, hi = cut[i], cut[i + 1]
-            if lo == hi:
-                yield np.zeros(0), np.zeros(0, int)
+            o = often[lo:hi]
+            a, b = first[lo:hi][~o], last[lo:hi][~o]
+            if len(a):
+                spans = list(zip(a.tolist(), b.tolist(), strict=True))
+                part = np.concatenate([self.rare_weight[x:y] for x, y in spans]) * np.repeat(w[lo:hi][~o], b - a)
+                got = np.bincount(np.concatenate([self.rare_where[x:y] for x, y in spans]), part, minlength=examples)
+            else:
+                got = np.zeros(examples)
+            at = np.flatnonzero(got + often_norm[i] * self.often_norm >= near - 1e-6)
+            if not len(at):
+                yield np.zeros(0), at
                 continue
-            got = near[i]
-            t, v = term[lo:hi][~often[lo:hi]], w[lo:hi][~often[lo:hi]]
-            a, b = self.rare_first[t], self.rare_first[t + 1]
-            spans = list(zip(a.tolist(), b.tolist(), strict=True))
-            if spans:
-                part = np.concatenate([self.rare_weight[x:y] for x, y in spans]) * np.repeat(v.astype(np.float32), b - a)
-                got = got + np.bincount(np.concatenate([self.rare_where[x:y] for x, y in spans]), part, minlength=examples).astype(np.float32)
-            # Single precision errs by far less than this.
-            least = np.partition(got, examples - k)[examples - k] - 1e-5 if examples > k else 0
-            at = np.flatnonzero(got >= max(least, 1e-12))
-            size = self.first[at + 1] - self.first[at]
-            begin = np.cumsum(size) - size
-            place = np.arange(size.sum()) - np.repeat(begin - self.first[at], size)
-            mine[term[lo:hi]] = w[lo:hi]
-            exact = mine[self.term[place]] * self.weight[place]
-            mine[term[lo:hi]] = 0
-            cosine = np.add.reduceat(exact, begin) if len(at) else np.zeros(0)
-            order = np.lexsort((at, -cosine))[:k]
+            cosine = got[at]
+            if o.any():
+                self.mine[column[lo:hi][o]] = w[lo:hi][o]
+                begin, size = self.often_first[at], self.often_first[at + 1] - self.often_first[at]
+                ends = np.cumsum(size)
+                place = np.arange(ends[-1]) + np.repeat(begin - (ends - size), size)
+                cosine = cosine + np.bincount(
+                    np.repeat(np.arange(len(at)), size), self.mine[self.often_column[place]] * self.often_weight[place], len(at)
+                )
+                self.mine[column[lo:hi][o]] = 0
+            hit = cosine >= near
+            at, cosine = at[hit], cosine[hit]
+            order = np.lexsort((at, -cosine))[: self.cfg.neighbours]
             yield cosine[order], at[order]
 
     def raised(self, prior: float, cosine: np.ndarray, at: np.ndarray) -> tuple[float, list[int]]:
@@ -331,39 +374,62 @@ class WholeTextIndex:
         return float(((vote * self.toxic[at]).sum() + m * prior) / ((vote * self.rows[at]).sum() + m)), self.doc[at[:3]].tolist()
 
 
+def _index_of(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Place of each value in a sorted array, -1 where it isn't there."""
+    if not len(sorted_):
+        return np.full(len(values), -1, np.int64)
+    at = np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)
+    return np.where(sorted_[at] == values, at, -1)
+
+
 class Examples:
     """The labelled examples in both spaces."""
 
-    def __init__(self, telling: np.ndarray, examples: list[tuple[int, int, bytes, bytes]], cfg: ToxicityConfig):
-        """`telling`: sorted hashes of the telling terms; examples: id, label, sorted hashes of terms, frequencies."""
+    def __init__(self, telling: np.ndarray, roots: np.ndarray, examples: list[tuple[int, int, bytes, bytes, int]], cfg: ToxicityConfig):
+        """telling: sorted hashes of the telling terms and variants; roots: sorted hashes of the terms that
+        have one; examples: id, label, sorted hashes of terms, frequencies, number of words."""
         self.cfg = cfg
-        self.whole = WholeTextIndex(examples, cfg)
+        self.tellers, self.roots = telling, roots
+        self.whole = WholeTextIndex([x[:4] for x in examples], cfg)
         part = []
-        for doc, toxic, terms, counts in examples:
+        for doc, toxic, terms, counts, words in examples:
             h, n = np.frombuffer(terms, "<u8"), np.frombuffer(counts, "<i4")
-            at = np.minimum(np.searchsorted(telling, h), max(0, len(telling) - 1))
-            hit = telling[at] == h if len(telling) else np.zeros(len(h), bool)
-            part.append((doc, toxic, at[hit].astype("<i4").tobytes(), n[hit].tobytes()))
+            owner, at = self._telling(np.zeros(len(h), np.int64), h, n, np.array([words]))
+            part.append((doc, toxic, at.astype("<i4").tobytes()))
         self.telling = BlockMaxIndex(len(telling), part, cfg)
-        self.index = np.full(len(self.whole.terms), -1, np.int32)
-        self.index[np.searchsorted(self.whole.terms, telling)] = np.arange(len(telling))
 
-    def scores(self, raw: np.ndarray, offsets: np.ndarray, step: int = 64):
+    def _telling(self, owner: np.ndarray, h: np.ndarray, count: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, number) of the telling terms of texts, by owner and number."""
+        hit = np.flatnonzero(_index_of(self.roots, h) >= 0)
+        place, v = _variants(h[hit], count[hit], words[owner[hit]], self.cfg)
+        at = _index_of(self.tellers, v)
+        owner, at = owner[hit][place][at >= 0], at[at >= 0]
+        order = np.lexsort((at, owner))
+        return owner[order], at[order]
+
+    def scores(self, t: Terms, step: int = 256):
         """Score and ids of the nearest examples of each text."""
-        owner, term, n, other, _, m = _counts(raw, offsets, self.whole.terms, self.cfg.prefix)
-        texts = len(offsets) - 1
+        texts = len(t.words)
+        index = _index_of(self.whole.terms, t.hashes)[t.term]
+        has_root = (_index_of(self.roots, t.hashes) >= 0)[t.term]
+        own, telling = self._telling(t.owner[has_root], t.hashes[t.term[has_root]], t.count[has_root], t.words)
+        own_cut = np.searchsorted(own, np.arange(texts + 1))
+        telling = telling.astype("<i4")
+        known = index >= 0
+        others = np.bincount(t.owner[~known], (1 + np.log(t.count[~known])) ** 2, minlength=texts)
+        owner, term, count = t.owner[known], index[known], t.count[known]
         cut = np.searchsorted(owner, np.arange(texts + 1))
-        others = np.bincount(other, (1 + np.log(m)) ** 2, minlength=texts)
-        telling = self.index[term]
         for lo in range(0, texts, step):
             hi = min(texts, lo + step)
             a, b = cut[lo], cut[hi]
-            near = self.whole.nearest(cut[lo : hi + 1] - a, term[a:b], n[a:b], others[lo:hi])
+            near = self.whole.nearest(cut[lo : hi + 1] - a, term[a:b], count[a:b], others[lo:hi])
             for i, (cosine, at) in zip(range(lo, hi), near, strict=True):
-                t, c = telling[cut[i] : cut[i + 1]], n[cut[i] : cut[i + 1]]
-                score, evidence = self.telling.score(t[t >= 0].astype("<i4").tobytes(), c[t >= 0].astype("<i4").tobytes())
-                voted, nearest = self.whole.raised(score, cosine, at)
-                yield (max(score, voted), nearest) if voted > score or not evidence else (score, evidence)
+                score, evidence = self.telling.score(telling[own_cut[i] : own_cut[i + 1]].tobytes())
+                if len(at):
+                    voted, nearest = self.whole.raised(score, cosine, at)
+                    if voted > score or not evidence:
+                        score, evidence = max(score, voted), nearest
+                yield score, evidence
 
 
 def _scored(index, cfg: ToxicityConfig):
@@ -371,8 +437,8 @@ def _scored(index, cfg: ToxicityConfig):
         idx = index.value
         for batch in it:
             got = []
-            for _, _, raw, offs in K.row_ranges(batch.column("text")):
-                got += idx.scores(raw, offs)
+            for _, _, terms in _text_terms(batch.column("text"), cfg):
+                got += idx.scores(terms)
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -409,30 +475,25 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     sample = work.save(texts.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text"), "sample")
     n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not bad or bad == n:
-        return Examples(np.zeros(0, np.uint64), [(r[0], r[1], b"", b"") for r in sample.select("doc_id", "toxic").collect()], cfg)
+        none = np.zeros(0, np.uint64)
+        return Examples(none, none, [(r[0], r[1], b"", b"", 0) for r in sample.select("doc_id", "toxic").collect()], cfg)
     counted = work.save(
         sample.select("text", "toxic")
-        .mapInArrow(_term_rows(cfg), "term long, rows long, toxic long")
-        .groupBy("term")
-        .agg(F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic"))
-        .where(F.col("rows") >= cfg.least_rows),
+        .mapInArrow(_term_rows(cfg), "term long, root long, rows long, toxic long")
+        .groupBy("term", "root")
+        .agg(F.sum("rows").alias("rows"), F.sum("toxic").alias("toxic")),
         "terms",
     )
     share = bad / n
     ratio = _ratio(F.col("toxic").cast("double"), F.col("rows").cast("double"), share)
     # As many false terms as true ones would pass by chance below twice the log of their number.
-    least = 2 * float(np.log(max(2, counted.count())))
-    picked = (
-        counted.where(F.col("toxic") > 2 * share * F.col("rows"))
-        .withColumn("ratio", ratio)
-        .where(F.col("ratio") >= least)
-        .orderBy(F.desc("ratio"), "term")
-        .limit(cfg.terms)
-        .collect()
-    )
-    terms = np.sort(np.array([r.term for r in picked], np.int64).view(np.uint64))
-    rows = sample.mapInArrow(_example_rows(cfg), "doc_id long, toxic int, terms binary, counts binary").toArrow()
-    return Examples(terms, list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), cfg)
+    least = 2 * float(np.log(max(2, counted.where("rows > 1").count())))
+    # As few as the sample's rows can tell apart.
+    picked = counted.where((F.col("toxic") > cfg.lean * share * F.col("rows")) & (ratio >= least)).select("term", "root").collect()
+    terms, roots = (np.unique(np.array([r[c] for r in picked], np.int64).view(np.uint64)) for c in ("term", "root"))
+    rows = sample.mapInArrow(_example_rows(cfg), "doc_id long, toxic int, terms binary, counts binary, words long").toArrow()
+    work.drop(counted)
+    return Examples(terms, roots, list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), cfg)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
@@ -444,7 +505,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Tox
     a null or empty text, or one without a letter, gets that share; a null doc_id stays
     null; of repeated labels the largest counts; without labels of both kinds all rows
     get the share of the label there is, or one half; an empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored; a long text is read in pieces.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, cfg))  # at most `sample` examples
     keep = [F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c) for c in carry)]
@@ -454,7 +515,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = Tox
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig()) -> DataFrame:
-    """The rows of `docs`, all columns, that score below the threshold."""
+    """The rows of `docs`, all columns, that score below the threshold.
+
+    Null and empty texts and null ids are scored as in `score_toxicity`; rows that occur
+    more than once stay or go together; an empty table gives an empty result; other columns,
+    whatever their names, stay as they are.
+    """
     whole = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct("*").alias("row")
     )
