@@ -23,6 +23,7 @@ otherwise like clean ones stay toxic.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,7 +38,7 @@ from .storage import Workspace
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    sample: int = 20_000  # labelled rows that are learnt from, the first by a hash of their id
+    sample: int = 8_000  # labelled rows that are learnt from, the first by a hash of their id
     prefixes: tuple[int, ...] = (4, 5)
     levels: tuple[int, ...] = (2, 3, 5)
     lean: float = 2.0  # times the share of toxic rows that a telling term has
@@ -260,6 +261,38 @@ def _unpacked(n: int, data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, -1).T).view("<i4").ravel()
 
 
+@dataclass
+class ExampleRows:
+    """The labelled examples: example i has `terms` (sorted hashes) and `counts` from cut[i] to cut[i + 1]."""
+
+    doc: np.ndarray
+    toxic: np.ndarray
+    words: np.ndarray
+    cut: np.ndarray
+    terms: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def read(cls, table: pa.Table) -> ExampleRows:
+        table = table.combine_chunks()
+        column = lambda c: table.column(c).combine_chunks() if table.num_rows else pa.array([], table.schema.field(c).type)
+
+        def flat(c, kind):
+            x = column(c)
+            x = x.chunk(0) if isinstance(x, pa.ChunkedArray) else x
+            x = x.cast(pa.large_binary())
+            if not len(x):
+                return np.zeros(1, np.int64), np.zeros(0, kind)
+            _, offs, data = x.buffers()
+            offs = np.frombuffer(offs, np.int64)[x.offset : x.offset + len(x) + 1]
+            return offs, np.frombuffer(data or b"", np.uint8)[offs[0] : offs[-1]].view(kind)
+
+        offs, terms = flat("terms", "<u8")
+        _, counts = flat("counts", "<i4")
+        doc, toxic, words = (np.array(column(c).to_pylist(), np.int64) for c in ("doc_id", "toxic", "words"))
+        return cls(doc, toxic, words, (offs - offs[0]) // 8, terms, counts)
+
+
 class WholeTextIndex:
     """Distinct example texts over all of their terms.
 
@@ -267,38 +300,50 @@ class WholeTextIndex:
     compressed numbers; weights are made where they are used.
     """
 
-    def __init__(self, examples: list[tuple[int, int, bytes, bytes]], cfg: ToxicityConfig):
-        """examples: id, label, sorted hashes of terms, frequencies."""
+    def __init__(self, rows: ExampleRows, cfg: ToxicityConfig):
         self.cfg = cfg
-        merged: dict[tuple[bytes, bytes], list[int]] = {}
-        for doc, toxic, terms, counts in sorted(examples):
-            if terms:
-                own = merged.setdefault((terms, counts), [0, 0, doc])
+        merged: dict[bytes, list[int]] = {}
+        first: list[int] = []
+        for i in np.lexsort((rows.toxic, rows.doc)).tolist():
+            lo, hi = rows.cut[i], rows.cut[i + 1]
+            if lo < hi:
+                key = hashlib.blake2b(rows.terms[lo:hi].data, digest_size=16)
+                key.update(rows.counts[lo:hi].data)
+                own = merged.setdefault(key.digest(), [0, 0])
+                if not own[0]:
+                    first.append(i)
                 own[0] += 1
-                own[1] += toxic
-        self.rows = np.array([x[0] for x in merged.values()], float)
-        self.toxic = np.array([x[1] for x in merged.values()], float)
-        self.doc = np.array([x[2] for x in merged.values()], np.int64)
-        size = np.array([len(k[0]) // 8 for k in merged], np.int64)
+                own[1] += int(rows.toxic[i])
+        self.rows, self.toxic = (np.array([x[k] for x in merged.values()], float) for k in (0, 1))
+        self.doc = rows.doc[first]
+        size = np.diff(rows.cut)[first]
         where = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        h = np.frombuffer(b"".join(k[0] for k in merged), "<u8")
-        n = np.frombuffer(b"".join(k[1] for k in merged), "<i4")
+        spans = [slice(rows.cut[i], rows.cut[i + 1]) for i in first]
+        none = [np.zeros(0, np.uint64)]
+        h = np.concatenate([rows.terms[x] for x in spans] or none)
+        n = np.concatenate([rows.counts[x] for x in spans] or none).astype(np.int32)
         self.terms = np.unique(h)
         term = np.empty(len(h), np.int32)
         for lo in range(0, len(h), 1 << 20):
             term[lo : lo + (1 << 20)] = np.searchsorted(self.terms, h[lo : lo + (1 << 20)])
+        del h
         df = np.bincount(term, self.rows[where], minlength=len(self.terms))
-        self.idf = np.log((len(examples) + 1) / (df + 1)) + 1
-        self.idf_other = float(np.log(len(examples) + 1) + 1)
-        w = (1 + np.log(n)) * self.idf[term]
-        self.norm = np.sqrt(np.bincount(where, w * w, minlength=len(size)))
+        self.idf = np.log((len(rows.doc) + 1) / (df + 1)) + 1
+        self.idf_other = float(np.log(len(rows.doc) + 1) + 1)
         in_texts = np.bincount(term, minlength=len(self.terms))
         #: Number among the frequent terms, -1 for a rare one.
         self.column = np.full(len(self.terms), -1, np.int32)
         frequent = np.flatnonzero(in_texts >= max(2, cfg.frequent * len(size)))
         self.column[frequent] = np.arange(len(frequent))
         often = self.column[term] >= 0
-        self.often_norm = np.sqrt(np.bincount(where[often], w[often] ** 2, minlength=len(size))) / np.maximum(self.norm, 1e-300)
+        squares, often_squares = np.zeros(len(size)), np.zeros(len(size))
+        for lo in range(0, len(term), 1 << 20):
+            part = slice(lo, lo + (1 << 20))
+            w = ((1 + np.log(n[part])) * self.idf[term[part]]) ** 2
+            squares += np.bincount(where[part], w, len(size))
+            often_squares += np.bincount(where[part], w * often[part], len(size))
+        self.norm = np.sqrt(squares)
+        self.often_norm = np.sqrt(often_squares) / np.maximum(self.norm, 1e-300)
         self.often_first = np.concatenate([[0], np.cumsum(np.bincount(where[often], minlength=len(size)))])
         self.rare_first = np.concatenate([[0], np.cumsum(np.where(self.column < 0, in_texts, 0))])
         rare = np.flatnonzero(~often)
@@ -385,18 +430,18 @@ def _index_of(sorted_: np.ndarray, values: np.ndarray) -> np.ndarray:
 class Examples:
     """The labelled examples in both spaces."""
 
-    def __init__(self, telling: np.ndarray, roots: np.ndarray, examples: list[tuple[int, int, bytes, bytes, int]], cfg: ToxicityConfig):
-        """telling: sorted hashes of the telling terms and variants; roots: sorted hashes of the terms that
-        have one; examples: id, label, sorted hashes of terms, frequencies, number of words."""
+    def __init__(self, telling: np.ndarray, roots: np.ndarray, rows: ExampleRows, cfg: ToxicityConfig):
+        """telling: sorted hashes of the telling terms and variants; roots: sorted hashes of the terms that have one."""
         self.cfg = cfg
         self.tellers, self.roots = telling, roots
-        self.whole = WholeTextIndex([x[:4] for x in examples], cfg)
         part = []
-        for doc, toxic, terms, counts, words in examples:
-            h, n = np.frombuffer(terms, "<u8"), np.frombuffer(counts, "<i4")
-            owner, at = self._telling(np.zeros(len(h), np.int64), h, n, np.array([words]))
+        for i, (doc, toxic) in enumerate(zip(rows.doc.tolist(), rows.toxic.tolist(), strict=True)):
+            own = slice(rows.cut[i], rows.cut[i + 1])
+            h = rows.terms[own]
+            _, at = self._telling(np.zeros(len(h), np.int64), h, rows.counts[own], rows.words[i : i + 1])
             part.append((doc, toxic, at.astype("<i4").tobytes()))
         self.telling = BlockMaxIndex(len(telling), part, cfg)
+        self.whole = WholeTextIndex(rows, cfg)
 
     def _telling(self, owner: np.ndarray, h: np.ndarray, count: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(owner, number) of the telling terms of texts, by owner and number."""
@@ -476,7 +521,9 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not bad or bad == n:
         none = np.zeros(0, np.uint64)
-        return Examples(none, none, [(r[0], r[1], b"", b"", 0) for r in sample.select("doc_id", "toxic").collect()], cfg)
+        doc, toxic = (np.array(x, np.int64) for x in zip(*sample.select("doc_id", "toxic").collect(), strict=True)) if n else (np.zeros(0, np.int64),) * 2
+        rows = ExampleRows(doc, toxic, np.zeros(n, np.int64), np.zeros(n + 1, np.int64), none, np.zeros(0, np.int32))
+        return Examples(none, none, rows, cfg)
     counted = work.save(
         sample.select("text", "toxic")
         .mapInArrow(_term_rows(cfg), "term long, root long, rows long, toxic long")
@@ -493,7 +540,7 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     terms, roots = (np.unique(np.array([r[c] for r in picked], np.int64).view(np.uint64)) for c in ("term", "root"))
     rows = sample.mapInArrow(_example_rows(cfg), "doc_id long, toxic int, terms binary, counts binary, words long").toArrow()
     work.drop(counted)
-    return Examples(terms, roots, list(zip(*(c.to_pylist() for c in rows.columns), strict=True)), cfg)
+    return Examples(terms, roots, ExampleRows.read(rows), cfg)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig(), carry: tuple[str, ...] = ()) -> DataFrame:

@@ -169,8 +169,7 @@ def test_whole_text_search_is_exact(frequent, near):
     queries = [*examples[::9], *(prose(500 + k, 1 + 7 * k) for k in range(30)), "", "unseen unheard", "rare", prose(9, 20) + " unseen"]
     cfg = toxicity.ToxicityConfig(frequent=frequent, neighbours=7, near=near)
     batch = pa.record_batch({"doc_id": pa.array(range(len(examples))), "toxic": pa.array([k % 2 for k in range(len(examples))], pa.int32()), "text": pa.array(examples)})
-    rows = [tuple(x.values())[:4] for b in toxicity._example_rows(cfg)([batch]) for x in b.to_pylist()]
-    index = toxicity.WholeTextIndex(rows, cfg)
+    index = toxicity.WholeTextIndex(toxicity.ExampleRows.read(pa.Table.from_batches(toxicity._example_rows(cfg)([batch]))), cfg)
     ((_, _, t),) = toxicity._text_terms(pa.array(queries), cfg)
     number = toxicity._index_of(index.terms, t.hashes)[t.term]
     known = number >= 0
