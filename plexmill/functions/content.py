@@ -7,18 +7,29 @@ from pyspark.sql import functions as F
 
 from .text import any_segment_in, base_name, extension
 
-#: Fixed values.
-DOC_EXTENSIONS = [".md", ".markdown", ".txt", ".rst", ".adoc"]
-CONFIG_EXTENSIONS = [".json", ".yaml", ".yml", ".toml", ".ini", ".xml", ".env", ".conf"]
-VENDOR_DIRS = ["vendor", "node_modules", "bower_components", ".venv", "venv"]
+#: File names and extensions and what they stand for.
+MODULE_FILES = {
+    "go.mod": "go", "package.json": "npm", "Cargo.toml": "cargo", "pom.xml": "maven", "build.gradle": "gradle", "build.gradle.kts": "gradle",
+    "requirements.txt": "python", "pyproject.toml": "python", "setup.py": "python", "composer.json": "composer",
+}
 BUILD_FILES = {
-    "Makefile": "make", "CMakeLists.txt": "cmake", "pom.xml": "maven", "build.gradle": "gradle", "build.gradle.kts": "gradle",
-    "package.json": "npm", "Cargo.toml": "cargo", "go.mod": "go", "BUILD": "bazel", "Dockerfile": "docker",
+    "makefile": "make", "gnumakefile": "make", "taskfile.yml": "taskfile", "taskfile.yaml": "taskfile", "cmakelists.txt": "cmake",
+    "pom.xml": "maven", "build.gradle": "gradle", "build.gradle.kts": "gradle", "package.json": "npm", "pnpm-lock.yaml": "pnpm",
+    "yarn.lock": "yarn", "cargo.toml": "cargo",
 }
-MODULE_FILES = {
-    "go.mod": "go", "package.json": "npm", "Cargo.toml": "cargo", "pom.xml": "maven", "composer.json": "composer",
-    "pyproject.toml": "python", "setup.py": "python",
+CONFIG_EXTENSIONS = {
+    ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".toml": "toml", ".ini": "ini", ".properties": "properties", ".xml": "xml",
 }
+DOC_NAMES = {
+    "README": "readme", "CONTRIBUTING": "contributing", "SECURITY": "security", "LICENSE": "license", "COPYING": "license",
+    "UNLICENSE": "license", "CHANGELOG": "changelog", "HISTORY": "changelog", "CHANGES": "changelog", "ROADMAP": "roadmap",
+}
+DOC_EXTENSIONS = [".md", ".txt", ".rst", ".adoc", ".html", ".pdf"]
+VENDOR_DIRS = {"vendor": "go/php", "node_modules": "npm", "bower_components": "npm", ".venv": "python", "venv": "python"}
+FILE_DOC_EXTENSIONS = [".md", ".txt", ".rst", ".adoc"]
+FILE_CONFIG_EXTENSIONS = [".json", ".yaml", ".yml", ".toml", ".xml", ".ini", ".conf"]
+#: White space around a line.
+BLANKS = "\t\n\x0b\f\r \x85\xa0"
 
 
 def content_hash(content: Column) -> Column:
@@ -49,10 +60,10 @@ def lines(text: Column) -> Column:
 
 
 def line_counts(text: Column) -> Column:
-    """struct(total, blank, comment, in_block): // and # lines and /* */ blocks are comments."""
+    """struct(total, blank, comment, in_block): // and # lines and /* */ blocks are comments; a blank line is blank in a block too."""
 
     def step(a: Column, line: Column) -> Column:
-        t = F.trim(F.regexp_replace(line, r"^[\t\r ]+|[\t\r ]+$", ""))
+        t = F.btrim(line, F.lit(BLANKS))
         opens = t.startswith("/*")
         inside = a["in_block"]
         comment = inside | opens | t.startswith("//") | t.startswith("#")
@@ -70,48 +81,60 @@ def line_counts(text: Column) -> Column:
 
 
 def is_generated(text: Column) -> Column:
-    """A generation mark in the first 50 lines."""
-    return F.exists(F.slice(lines(text), 1, 50), lambda x: x.rlike(r"(?i)code generated|do not edit|@generated"))
+    """A generation mark, in its own case, in the first 50 lines."""
+    both = lambda x: x.contains("Code generated") & x.contains("DO NOT EDIT")
+    return F.exists(F.slice(lines(text), 1, 50), lambda x: both(x) | x.contains("@generated") | x.contains("AUTOGENERATED BY"))
 
 
-def _from_dim(column: Column, dim: dict[str, str], other: str | None) -> Column:
+def _from_dim(column: Column, dim: dict[str, str]) -> Column:
     out = None
     for k, v in dim.items():
         out = F.when(column == k, v) if out is None else out.when(column == k, v)
-    return out.otherwise(F.lit(other))
+    return out
 
 
 def module_kind(path: Column) -> Column:
-    return _from_dim(base_name(path), MODULE_FILES, None)
+    return _from_dim(base_name(path), MODULE_FILES)
 
 
 def build_system(path: Column) -> Column:
-    return _from_dim(base_name(path), BUILD_FILES, None)
+    return _from_dim(F.lower(base_name(path)), BUILD_FILES)
 
 
 def config_kind(path: Column) -> Column:
-    return F.when(extension(path).isin(CONFIG_EXTENSIONS), F.regexp_replace(extension(path), r"^\.", ""))
+    """By extension, else env for names that begin or end with .env, and for env itself."""
+    name = base_name(path)
+    env = name.startswith(".env") | (name == "env") | name.endswith(".env")
+    return F.coalesce(_from_dim(extension(path), CONFIG_EXTENSIONS), F.when(env, "env"))
 
 
 def doc_kind(path: Column) -> Column:
-    name = F.lower(base_name(path))
-    out = None
-    for word in ("readme", "license", "changelog", "contributing", "security"):
-        out = F.when(name.startswith(word), word) if out is None else out.when(name.startswith(word), word)
-    return out.when(F.lower(path).rlike("(^|/)adr/"), "adr").when(extension(path).isin(DOC_EXTENSIONS), "document")
+    """Decision records by folder or name, then whole names without their extension, then documents in a folder of documents."""
+    name = base_name(path)
+    stem = F.upper(F.regexp_replace(name, r"\.[^.]*$", ""))
+    adr = path.contains("/adr/") | path.startswith("adr/") | stem.startswith("ADR")
+    folder = path.rlike("^(docs|doc|documentation)/|/docs?/")
+    out = F.when(adr, "adr")
+    for k, v in DOC_NAMES.items():
+        out = out.when(stem == k, v)
+    return out.when(folder & extension(path).isin(DOC_EXTENSIONS), "general")
 
 
 def is_vendored(path: Column) -> Column:
-    return any_segment_in(F.lower(F.regexp_extract(path, r"^(.*)/[^/]*$", 1)), VENDOR_DIRS)
+    return any_segment_in(F.lower(F.regexp_extract(path, r"^(.*)/[^/]*$", 1)), list(VENDOR_DIRS))
 
 
-def vendor_ecosystem(path: Column) -> Column:
-    low = F.lower(path)
-    return (
-        F.when(low.rlike("(^|/)node_modules(/|$)|(^|/)bower_components(/|$)"), "npm")
-        .when(low.rlike(r"(^|/)\.?venv(/|$)"), "python")
-        .when(low.rlike("(^|/)vendor(/|$)"), "go")
-    )
+def vendor_root(path: Column) -> Column:
+    """The path up to its first vendor folder, "" without one."""
+    parts = F.split(path, "/")
+    hit = F.transform(parts, lambda s: F.lower(s).isin(*VENDOR_DIRS))
+    at = F.array_position(hit, F.lit(True)).cast("int")
+    return F.when(at > 0, F.array_join(F.slice(parts, F.lit(1), at), "/")).otherwise("")
+
+
+def vendor_ecosystem(vendor_path: Column) -> Column:
+    """By the last segment of a vendor folder's path."""
+    return F.coalesce(_from_dim(F.lower(base_name(vendor_path)), VENDOR_DIRS), F.lit("general"))
 
 
 def file_kind(path: Column, language: Column, is_test: Column, enc: Column) -> Column:
@@ -119,8 +142,8 @@ def file_kind(path: Column, language: Column, is_test: Column, enc: Column) -> C
     return (
         F.when(is_test, "test")
         .when(enc == "Unknown", "binary")
-        .when(doc_kind(path).isNotNull(), "documentation")
-        .when(config_kind(path).isNotNull(), "configuration")
+        .when(extension(path).isin(FILE_DOC_EXTENSIONS) | F.lower(base_name(path)).startswith("readme"), "documentation")
+        .when(extension(path).isin(FILE_CONFIG_EXTENSIONS), "configuration")
         .when(F.coalesce(language, F.lit("")) != "", "source")
         .otherwise("unknown")
     )

@@ -7,8 +7,9 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Config keys whose values are hidden, and words after which a reason is cut.
-SECRET_KEY = r"(?i)(password|secret|token|apikey|api_key|private_key|credential|auth)"
+#: Keys whose snippets a search masks, keys whose values a finding hides, and words after which a reason is cut.
+SENSITIVE_KEY = r"(?i)(password|secret|token|apikey|api_key|private_key|auth|credential|cert|bearer|access_token|private)"
+SECRET_KEY = r"(?i)(password|secret|token|api_key|apikey|auth|private_key)"
 REASON_WORDS = ["password", "secret", "token", "apikey", "bearer", "private_key"]
 
 
@@ -43,9 +44,11 @@ def match_score(query: str, name: Column, path: Column, case_sensitive: bool = F
     n, p = (name, path) if case_sensitive else (F.lower(name), F.lower(path))
     pattern = glob_to_regex(q)
     ratio = F.lit(float(len(q.encode()))) / F.octet_length(n)
-    score = F.when(n.rlike(pattern), 0.95).when(p.rlike(pattern), 0.90)
+    # Without a wildcard a pattern is an equality, which needs no regular expression.
+    is_glob = any(c in q for c in "*?[\\")
+    score = F.when(n.rlike(pattern) if is_glob else n == q, 0.95).when(p.rlike(pattern) if is_glob else p == q, 0.90)
     if exact:
-        return score.when((n == q) | (p == q), 1.0).otherwise(0.0)
+        return score.when(n == q, 1.0).otherwise(0.0)
     return (
         score.when((n == q) | (p == q), 1.0)
         .when(n.startswith(q), 0.8 + 0.1 * ratio)
@@ -131,11 +134,15 @@ def sanitize_reason(message: Column) -> Column:
     return out.otherwise(message)
 
 
+#: Names of licence families, in the order they are tried.
+FAMILIES = ["MIT", "APACHE", "BSD", "LGPL", "GPL", "MPL"]
+
+
 def license_family(text: Column) -> Column:
     """The first family whose name occurs, in this order."""
     upper = F.upper(text)
     out = None
-    for name in ["MIT", "APACHE", "BSD", "LGPL", "GPL", "MPL"]:
+    for name in FAMILIES:
         out = F.when(upper.contains(name), name) if out is None else out.when(upper.contains(name), name)
     return out.otherwise("UNKNOWN")
 

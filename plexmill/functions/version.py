@@ -5,31 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Fixed value: the form of a strict version.
 _STRICT = r"^v?(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+([0-9A-Za-z.-]+))?$"
-_LOOSE = r"^[\s=v^~<>]*(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:-([^+]*))?(?:\+(.*))?$"
+_CONSTRAINT = r"^[\^~<>=]|\*|\|\|"
 
 
 def parse_loose(raw: Column) -> Column:
-    """struct(raw, major, minor, patch, prerelease, build, is_constraint, is_valid); valid if a major number leads."""
-    part = lambda i: F.regexp_extract(raw, _LOOSE, i)
-    number = lambda i: F.coalesce(F.try_to_number(F.nullif(part(i), F.lit("")), F.lit("9999999999")).cast("int"), F.lit(0))
+    """struct(raw, major, minor, patch, prerelease, build, is_constraint, is_valid).
+
+    Signs of a constraint and a v are left out at the front; what follows + is the build, and
+    what follows the first - before that the prerelease; of the numbers between dots the
+    first three count, and one that is no number is 0.  Valid if the first is a number.
+    """
+    clean = F.btrim(raw)
+    bare = F.regexp_replace(clean, r"^[\^~>=<vV ]+", "")
+    core = F.regexp_extract(bare, r"^([^+]*)", 1)
+    parts = F.split(F.regexp_extract(core, r"^([^-]*)", 1), r"\.")
+    number = lambda i: F.when(F.get(parts, i).rlike(r"^[+-]?\d{1,18}$"), F.get(parts, i).cast("long"))
+    filled = clean != ""
     return F.struct(
-        raw.alias("raw"),
-        number(1).alias("major"),
-        number(2).alias("minor"),
-        number(3).alias("patch"),
-        part(4).alias("prerelease"),
-        part(5).alias("build"),
-        raw.rlike(r"^\s*[\^~<>=]").alias("is_constraint"),
-        (part(1) != "").alias("is_valid"),
+        clean.alias("raw"),
+        *(F.coalesce(number(i), F.lit(0)).alias(name) for i, name in enumerate(("major", "minor", "patch"))),
+        F.regexp_extract(core, r"^[^-]*-(.*)$", 1).alias("prerelease"),
+        F.regexp_extract(bare, r"^[^+]*\+(.*)$", 1).alias("build"),
+        (filled & clean.rlike(_CONSTRAINT)).alias("is_constraint"),
+        (filled & number(0).isNotNull()).alias("is_valid"),
     )
 
 
 def parse(raw: Column) -> Column:
     """Comparable struct(major, minor, patch, release, prerelease), null unless strictly valid.
 
-    A release is above its prereleases; prereleases compare as text.
+    A release is above its prereleases; prereleases compare as text; blanks around don't count.
     """
+    raw = F.btrim(raw)
     part = lambda i: F.regexp_extract(raw, _STRICT, i)
     return F.when(
         raw.rlike(_STRICT),
@@ -71,14 +80,17 @@ def render(v: Column) -> Column:
 
 
 def satisfies(constraint: Column, version: Column) -> Column:
-    """All comma-separated clauses hold; "", * and latest hold for any version."""
+    """All comma-separated clauses hold; "", * and latest hold for any version.
+
+    ^0.x asks for the same minor number, and ^0.0.x for the same patch, whatever the major one.
+    """
 
     def clause(c: Column) -> Column:
         op = F.regexp_extract(c, r"^(>=|<=|>|<|=|\^|~)?", 1)
         want = parse(F.trim(F.regexp_replace(c, r"^(>=|<=|>|<|=|\^|~)", "")))
         caret = (version >= want) & F.when(want["major"] > 0, version["major"] == want["major"]).when(
-            want["minor"] > 0, (version["major"] == 0) & (version["minor"] == want["minor"])
-        ).otherwise((version["major"] == 0) & (version["minor"] == 0) & (version["patch"] == want["patch"]))
+            want["minor"] > 0, version["minor"] == want["minor"]
+        ).otherwise(version["patch"] == want["patch"])
         tilde = (version >= want) & (version["major"] == want["major"]) & (version["minor"] == want["minor"])
         held = (
             F.when(op == ">=", version >= want)

@@ -1,14 +1,16 @@
 """Graph operators over nodes (id, ...) and edges (id, src, dst, kind, ...).
 
 Traversals are rounds of joins between a frontier and the edges with an anti join
-against what was visited, so the cost is one pass over the edges touched; path
-enumeration is a recursive query with a depth limit.
+against what was visited.  The edges that a traversal may walk are computed once,
+before its rounds, so no round scans what they come from again.  Path enumeration
+extends all paths at once by an edge a round, up to a limit of nodes.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +49,7 @@ def bfs(edges: DataFrame, starts: DataFrame, direction: str = "outbound", max_de
     if max_depth > MOST_DEPTH:
         raise ValueError(f"depth {max_depth} is above {MOST_DEPTH}")
     steps = DEFAULT_DEPTH if max_depth < 0 else max_depth
-    walk = directed(edges, direction, kinds).select("here", "there").distinct()
+    walk = cut(directed(edges, direction, kinds).select("here", "there").distinct())
     frontier = starts.select("seed", "id", F.lit(0).alias("depth")).distinct()
     visited = frontier
     for depth in range(1, steps + 1):
@@ -71,6 +73,7 @@ def _one(spark, node_id: str) -> DataFrame:
 def traverse(nodes: DataFrame, edges: DataFrame, start: str, direction: str = "outbound", max_depth: int = DEFAULT_DEPTH, kinds: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(nodes with depth, edges touched): edges that leave nodes at the greatest depth aren't touched."""
     steps = DEFAULT_DEPTH if max_depth < 0 else max_depth
+    edges = cut(edges)
     reached = bfs(edges, _one(nodes.sparkSession, start), direction, steps, kinds).select("id", "depth")
     inner = reached.where(F.col("depth") < steps).select(F.col("id").alias("here"))
     touched = directed(edges, direction, kinds).join(inner, "here", "left_semi").select(F.col("edge_id").alias("id")).distinct()
@@ -82,70 +85,72 @@ def ego_graph(nodes: DataFrame, edges: DataFrame, root: str, radius: int) -> tup
     return traverse(nodes, edges, root, "both", radius)
 
 
+def _extended(first: DataFrame, step, rounds: int):
+    """The frames of each round: `first`, and what `step` makes of the one before, until one is empty."""
+    frontier = cut(first)
+    for n in range(rounds):
+        if frontier.isEmpty():
+            return
+        yield frontier
+        if n < rounds - 1:
+            frontier = cut(step(frontier))
+
+
+def _all(parts, schema: DataFrame) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts, schema.limit(0))
+
+
 def simple_paths(edges: DataFrame, start: str, end: str | None, max_nodes: int, kinds: Sequence[str] = ()) -> DataFrame:
     """(path, rels, hops): simple paths from start, of at most `max_nodes` nodes.
 
     Parallel edges give paths of their own.  With `end`, only paths that end there, and
-    none if it is the start; else every path of one edge or more.
+    none if it is the start; else every path of one edge or more.  With `end`, only edges
+    from which it can still be reached in time are walked.
     """
-    spark = edges.sparkSession
-    name = f"_edges_{abs(hash((start, end, max_nodes, tuple(kinds)))):x}"
-    _of_kinds(edges, kinds).select("id", "src", "dst").createOrReplaceTempView(name)
-    stop = "" if end is None else "AND p.node <> :end"
-    args = {"start": start, "limit": max_nodes} | ({} if end is None else {"end": end})
-    found = spark.sql(
-        f"""
-        WITH RECURSIVE p(node, path, rels) MAX RECURSION LEVEL {max_nodes + 1} AS (
-          SELECT :start, array(:start), cast(array() AS array<string>)
-          UNION ALL
-          SELECT e.dst, array_append(p.path, e.dst), array_append(p.rels, e.id)
-          FROM p JOIN {name} e ON p.node = e.src
-          WHERE size(p.path) < :limit AND NOT array_contains(p.path, e.dst) {stop}
-        )
-        SELECT path, rels, size(rels) AS hops FROM p WHERE size(rels) > 0 {"" if end is None else "AND node = :end"}
-        """,
-        args,
-    )
-    return found
+    e = cut(_of_kinds(edges, kinds).select("id", "src", "dst"))
+    if end is not None:
+        left = bfs(e.withColumn("kind", F.lit("")), _one(edges.sparkSession, end), "inbound", min(MOST_DEPTH, max_nodes))
+        e = cut(e.join(left.select(F.col("id").alias("dst"), F.col("depth").alias("left")), "dst"))
+        e = e.where(F.col("src") != end)
+    else:
+        e = e.withColumn("left", F.lit(0))
+
+    def step(p: DataFrame) -> DataFrame:
+        j = p.join(e, p["node"] == e["src"]).where(~F.array_contains("path", F.col("dst")) & (F.size("path") + 1 + F.col("left") <= max_nodes))
+        return j.select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"), F.array_append("rels", F.col("id")).alias("rels"))
+
+    none = F.array().cast("array<string>")
+    first = edges.sparkSession.range(1).select(F.lit(start).alias("node"), F.array(F.lit(start)).alias("path"), none.alias("rels"))
+    found = _all(list(_extended(first, step, max_nodes))[1:], first)
+    if end is not None:
+        found = found.where(F.col("node") == end)
+    return found.select("path", "rels", F.size("rels").alias("hops"))
 
 
 def cycles(edges: DataFrame, max_nodes: int, kinds: Sequence[str] = ()) -> DataFrame:
     """(cycle, length): elementary cycles of at most `max_nodes` nodes, each from its smallest node."""
-    spark = edges.sparkSession
-    name = f"_cycle_edges_{max_nodes}_{abs(hash(tuple(kinds))):x}"
-    _of_kinds(edges, kinds).select("src", "dst").distinct().createOrReplaceTempView(name)
-    return spark.sql(
-        f"""
-        WITH RECURSIVE p(first, node, path) MAX RECURSION LEVEL {max_nodes + 1} AS (
-          SELECT src, dst, array(src) FROM {name} WHERE dst >= src
-          UNION ALL
-          SELECT p.first, e.dst, array_append(p.path, p.node)
-          FROM p JOIN {name} e ON p.node = e.src
-          WHERE p.node <> p.first AND size(p.path) < {max_nodes} AND e.dst >= p.first
-            AND NOT array_contains(p.path, p.node)
-        )
-        SELECT path AS cycle, size(path) AS length FROM p WHERE node = first
-        """
-    )
+    e = cut(_of_kinds(edges, kinds).select("src", "dst").distinct())
+    first = e.where("dst >= src").select(F.col("src").alias("first"), F.col("dst").alias("node"), F.array("src").alias("path"))
+
+    def step(p: DataFrame) -> DataFrame:
+        j = p.where("node <> first").join(e, p["node"] == e["src"]).where((F.col("dst") >= F.col("first")) & ~F.array_contains("path", F.col("node")))
+        return j.select("first", F.col("dst").alias("node"), F.array_append("path", F.col("node")).alias("path"))
+
+    found = _all(_extended(first, step, max_nodes), first)
+    return found.where("node = first").select(F.col("path").alias("cycle"), F.size("path").alias("length"))
 
 
 def dependency_chains(edges: DataFrame, max_edges: int, kinds: Sequence[str]) -> DataFrame:
     """(start, path, hops): every simple dependency path of at most `max_edges` edges, once each."""
-    spark = edges.sparkSession
-    name = f"_chain_edges_{max_edges}"
-    _of_kinds(edges, kinds).select("src", "dst").distinct().createOrReplaceTempView(name)
-    return spark.sql(
-        f"""
-        WITH RECURSIVE p(start, node, path) MAX RECURSION LEVEL {max_edges + 1} AS (
-          SELECT src, dst, array(src, dst) FROM {name} WHERE src <> dst
-          UNION ALL
-          SELECT p.start, e.dst, array_append(p.path, e.dst)
-          FROM p JOIN {name} e ON p.node = e.src
-          WHERE size(p.path) <= {max_edges} AND NOT array_contains(p.path, e.dst)
-        )
-        SELECT start, path, size(path) - 1 AS hops FROM p
-        """
-    )
+    e = cut(_of_kinds(edges, kinds).select("src", "dst").where("src <> dst").distinct())
+    first = e.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.array("src", "dst").alias("path"))
+
+    def step(p: DataFrame) -> DataFrame:
+        j = p.join(e, p["node"] == e["src"]).where(~F.array_contains("path", F.col("dst")))
+        return j.select("start", F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
+
+    found = _all(_extended(first, step, max_edges), first)
+    return found.select("start", "path", (F.size("path") - 1).alias("hops"))
 
 
 def call_depth(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
@@ -179,8 +184,8 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def _depths(edges: DataFrame, starts: DataFrame, direction: str, kinds: Sequence[str]) -> DataFrame:
     """(seed, id, depth): everything reached, in as many rounds as it takes; each round visits something new."""
-    walk = directed(edges, direction, kinds).select("here", "there").distinct()
-    frontier = starts.select("seed", "id").distinct().withColumn("depth", F.lit(0))
+    walk = cut(directed(edges, direction, kinds).select("here", "there").distinct())
+    frontier = cut(starts.select("seed", "id").distinct().withColumn("depth", F.lit(0)))
     visited, depth = frontier, 0
     while True:
         depth += 1
@@ -263,10 +268,14 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return stuck if done is None else done.unionByName(stuck)
 
 
-def merge_edges(edges: DataFrame) -> DataFrame:
-    """Edges by id, provenance arrays united."""
-    rest = [F.first(c).alias(c) for c in edges.columns if c not in ("id", "provenance")]
-    return edges.groupBy("id").agg(*rest, F.array_sort(F.array_distinct(F.flatten(F.collect_list("provenance")))).alias("provenance"))
+def merge_edges(edges: DataFrame, order: Sequence[str] = ()) -> DataFrame:
+    """Edges by id, provenance arrays united; other columns are those of the last row by `order`, then by themselves."""
+    rest = [c for c in edges.columns if c not in ("id", "provenance")]
+    united = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array_distinct("provenance"))))).alias("provenance")
+    if not rest:
+        return edges.groupBy("id").agg(united)
+    last = F.max_by(F.struct(*rest), F.struct(*order, *rest)).alias("_last")
+    return edges.groupBy("id").agg(last, united).select("id", *[F.col(f"_last.{c}").alias(c) for c in rest], "provenance")
 
 
 def first_by_id(df: DataFrame, *order: Column) -> DataFrame:
@@ -310,6 +319,7 @@ def impact(nodes: DataFrame, edges: DataFrame, target: str, max_depth: int = 10)
         .unionByName(edges.where(F.col("kind").isin(follow)).select(F.col("src").alias("here"), F.col("dst").alias("there")))
         .distinct()
     )
+    walk = cut(walk)
     frontier = nodes.sparkSession.range(1).select(
         F.lit(target).alias("id"), F.lit(0).alias("depth"), F.array(F.lit(target)).alias("path")
     )

@@ -35,13 +35,13 @@ def list_symbols(symbols: DataFrame, scope: str, target: str = "") -> DataFrame:
         got = symbols
     elif scope == "package":
         exact = F.col("package_path") == target
-        loose = (F.col("package_name") == target) | F.col("package_path").endswith(target)
+        loose = (F.col("package_name") == target) | F.col("package_path").endswith("/" + target)
         none = symbols.where(exact).limit(1).agg((F.count("*") == 0).alias("_none"))
         got = symbols.join(F.broadcast(none)).where(exact | (F.col("_none") & loose)).drop("_none")
     elif scope == "file":
         got = symbols.where(F.col("file_path") == target)
     elif scope == "module":
-        got = symbols.where(F.col("package_path").startswith(target))
+        got = symbols.where(F.col("file_path").startswith(target))
     else:
         raise ValueError(scope)
     return got.orderBy("id")
@@ -111,4 +111,4 @@ def search_configuration(files: DataFrame, query: str, **how) -> DataFrame:
     """Configuration files; the snippet of a sensitive path is masked."""
     config = files.where(F.lower("path").rlike(r"\.(json|ya?ml|toml|ini|xml|env)$"))
     got = search_domain(config, query, "configuration", **how)
-    return got.withColumn("snippet", F.when(F.col("path").rlike(X.SECRET_KEY), "[MASKED]").otherwise(F.col("path")))
+    return got.withColumn("snippet", F.when(F.col("path").rlike(X.SENSITIVE_KEY), "***MASKED_CONFIG***").otherwise(F.col("path")))

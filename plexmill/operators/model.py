@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -104,11 +105,12 @@ def resolve_types(uses: DataFrame, types: DataFrame) -> DataFrame:
     return j.select(*uses.columns, "element", state.alias("state"), id_.alias("type_id"))
 
 
-def alias_ends(aliases: DataFrame, rounds: int = 64) -> DataFrame:
+def alias_ends(aliases: DataFrame) -> DataFrame:
     """(id, end, is_cyclic): where each alias (id, target) leads to in the end."""
     step = aliases.select(F.col("id").alias("_from"), F.col("target").alias("_to"))
     cur = aliases.select("id", F.col("target").alias("end"), F.array("id", "target").alias("path"), (F.col("id") == F.col("target")).alias("is_cyclic"))
-    for _ in range(rounds):
+    step = cut(step)
+    while True:  # each round finds a further name of some chain, or ends it as a cycle
         j = cur.join(step, (F.col("end") == F.col("_from")) & ~F.col("is_cyclic"), "left")
         loops = F.array_contains("path", F.col("_to"))
         moved = cut(
@@ -123,7 +125,7 @@ def alias_ends(aliases: DataFrame, rounds: int = 64) -> DataFrame:
     return cur.select("id", "end", "is_cyclic")
 
 
-def resolve_in_scope(uses: DataFrame, scopes: DataFrame, declarations: DataFrame, rounds: int = 64) -> DataFrame:
+def resolve_in_scope(uses: DataFrame, scopes: DataFrame, declarations: DataFrame, most_levels: int = 1000) -> DataFrame:
     """(use_id, state, declaration): the nearest enclosing scope that declares the name.
 
     uses: (use_id, scope_id, name); scopes: (scope_id, parent_id); declarations: (id,
@@ -132,7 +134,9 @@ def resolve_in_scope(uses: DataFrame, scopes: DataFrame, declarations: DataFrame
     climb = scopes.select(F.col("scope_id").alias("start"), F.col("scope_id").alias("at"), F.lit(0).alias("level"))
     up = scopes.where("parent_id is not null").select(F.col("scope_id").alias("_s"), F.col("parent_id").alias("_p"))
     front = climb
-    for level in range(1, rounds + 1):
+    for level in itertools.count(1):
+        if level > most_levels:
+            raise ValueError(f"scopes nest deeper than {most_levels} levels, or in a circle")
         front = cut(front.join(up, F.col("at") == F.col("_s")).select("start", F.col("_p").alias("at"), F.lit(level).alias("level")))
         if front.isEmpty():
             break

@@ -10,11 +10,17 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the folder that all executors share."""
+    """`df`, computed once and kept in the folder that all executors share.
+
+    `spark.checkpoint.dir` names that folder.  Where it is unset a folder of this machine is
+    made, on a local master only: executors of a cluster could not see it.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             folder = tempfile.mkdtemp(prefix="plexmill-rounds-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)

@@ -15,7 +15,8 @@ SEVERITY_WEIGHT = {"critical": 15.0, "high": 8.0, "medium": 4.0, "low": 1.0, "in
 HEALTH_SHARES = {"engineering": 0.30, "architecture": 0.25, "maintainability": 0.20, "test": 0.15, "documentation": 0.10}
 GRADES = [(90, "A"), (80, "B"), (70, "C"), (60, "D")]
 LAYERS = [
-    ("platform", 1), ("repository", 2), ("engine", 2), ("intelligence", 3), ("cli", 4), ("cmd", 4),
+    ("platform", 1), ("filesystem", 1), ("parser", 1), ("language", 1), ("capabilities/repository", 2), ("engine", 2), ("repository", 2),
+    ("capabilities/intelligence", 3), ("cli", 4), ("cmd", 4),
 ]
 MANDATORY_KEYS = ["host", "database"]
 
@@ -57,8 +58,8 @@ def circular_dependencies(cycles: DataFrame) -> DataFrame:
 
 
 def layer(path: Column) -> Column:
-    """Rank of the first listed layer whose name occurs in the path, else 0."""
-    out = None
+    """Rank of the first listed layer whose name occurs in the path, in any case, else 0."""
+    path, out = F.lower(path), None
     for name, rank in LAYERS:
         out = F.when(path.contains(name), rank) if out is None else out.when(path.contains(name), rank)
     return out.otherwise(0)

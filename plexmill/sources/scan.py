@@ -11,7 +11,7 @@ from ..functions import content as C
 from ..functions import text as X
 
 #: Fixed values.
-IGNORED = [".git", "node_modules", "vendor", "dist", "build", "bin", "obj", ".idea", ".vscode", "__pycache__"]
+IGNORED = [".git", ".svn", ".hg", ".idea", ".vscode", "node_modules", "vendor", ".cache", ".DS_Store", "Thumbs.db"]
 LANGUAGES = {
     ".go": "go", ".py": "python", ".js": "javascript", ".ts": "typescript", ".java": "java", ".rs": "rust", ".c": "c",
     ".cpp": "cpp", ".rb": "ruby", ".php": "php", ".sh": "shell", ".md": "markdown", ".json": "json", ".yaml": "yaml",
