@@ -21,6 +21,16 @@ def find(df: DataFrame, **equal) -> DataFrame:
     return df.where(reduce(lambda a, b: a & b, conditions)) if conditions else df
 
 
+def filter_nodes(df: DataFrame, kinds: list[str] | None = None, name_part: str = "", where: Column | None = None) -> DataFrame:
+    """Rows of some kinds whose name has a part, in any case, and for which a predicate over any column holds."""
+    got = df
+    if kinds:
+        got = got.where(F.col("kind").isin(*kinds))
+    if name_part:
+        got = got.where(F.lower("name").contains(name_part.lower()))
+    return got if where is None else got.where(where)
+
+
 def by_id(df: DataFrame, id_: str) -> DataFrame:
     """The row with the trimmed id; raises if there is none."""
     got = df.where(F.col("id") == id_.strip())

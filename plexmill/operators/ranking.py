@@ -95,3 +95,8 @@ def running_files(points: DataFrame, key: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
     run = points.withColumn("_s", F.sum(F.col("added") - F.col("removed")).over(w))
     return run.withColumn("files", F.col("_s") - F.least(F.lit(0), F.min("_s").over(w))).drop("_s")
+
+
+def inventory(uses: DataFrame, item: str, consumer: str, kind: str) -> DataFrame:
+    """(item, consumers, uses, kinds) of each item used."""
+    return uses.groupBy(item).agg(F.countDistinct(consumer).alias("consumers"), F.count("*").alias("uses"), F.countDistinct(kind).alias("kinds"))
