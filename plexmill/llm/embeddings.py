@@ -1,13 +1,17 @@
 """Embedding near-dedup: spherical k-means cells, blocked cosines within cells.
 
 Equal vectors of one label are one class.  Spherical k-means, fitted on a bounded
-sample, gives every class a home cell.  Two vectors within the angle of the
-threshold may have other homes, so a class also visits the cells of lower number
-that a partner may live in: with centroids a (home) and b, a vector x has partners
-nearer to b than to a only if x . (a - b) <= sin(angle) * |a - b|.  Every linked
-pair therefore meets in just one cell, the lower of the two homes, and no link is
-lost.  Cells are split in blocks of bounded size; a block returns link counts and
-a spanning forest, never pairs.
+sample, gives every class a home cell; a cell holds one label.  Two vectors within
+the angle of the threshold may have other homes, so a class also visits the cells
+of lower number that a partner may live in.  With centroids a (home) and b, a
+partner at angle t of x lies nearer to b just if cos t * m < sin t * z, where m is
+x's distance from the border, x . (a - b) / |a - b|, and z is the part of the
+partner's direction across it.  z is at most 1 (`spread` None: no link is lost),
+but for directions at random in d dimensions its standard deviation is 1 / sqrt(d - 1);
+`spread` standard deviations are allowed for, so a link of the least cosine is lost
+with a chance of 0.6 % for each border near by, a link of a greater one with less.
+Every pair meets in one cell at most, the lower of the two homes.  Cells are split in
+blocks of bounded size; a block returns link counts and a spanning forest, never pairs.
 """
 
 from __future__ import annotations
@@ -27,8 +31,9 @@ from .storage import Workspace
 @dataclass(frozen=True)
 class CosineConfig:
     threshold: float = 0.93
-    cell_rows: int = 4096  # aimed at, over all labels
-    most_cells: int = 1024
+    cell_rows: int = 2048  # aimed at, over all labels
+    most_cells: int = 4096  # beyond as many cells grow with the input
+    spread: float | None = 2.5  # standard deviations of a partner's direction across a border; None: any direction
     sample: int = 20_000  # vectors that k-means is fitted on
     rounds: int = 10
     block: int = 1024
@@ -87,41 +92,56 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int, seed: int) -> np.ndarra
     return c
 
 
+def margin(cfg: CosineConfig, dim: int) -> float:
+    """Distance from a border within which a vector of `dim` components visits the cell behind it."""
+    far = np.sqrt(1 - cfg.threshold**2)
+    if cfg.spread is None or dim < 2:
+        return far + 1e-9
+    return min(far, far / cfg.threshold * cfg.spread / np.sqrt(dim - 1)) + 1e-9
+
+
+#: Rows that are held against all centroids at once.
+_ROWS = 512
+
+
 def _cells(centroids: dict[int, np.ndarray], cfg: CosineConfig):
     """Classes to (label, dim, cell, visit, node, copies, vector): the home and the cells visited."""
-    reach = np.sqrt(1 - cfg.threshold**2) + 1e-9
 
     def run(it):
+        apart: dict[int, np.ndarray] = {}
         for batch in it:
             by: dict[int, list[int]] = {}
             vectors = batch.column("vector").to_pylist()
             for i, v in enumerate(vectors):
                 by.setdefault(len(v), []).append(i)
-            for dim, rows in by.items():
+            for dim, every in by.items():
                 c = centroids[dim]
-                x = _unit([vectors[i] for i in rows])
-                sim = x @ c.T
-                home = sim.argmax(axis=1)
-                apart = np.linalg.norm(c[:, None, :] - c[None, :, :], axis=2) if len(c) <= 256 else None
-                own = sim[np.arange(len(rows)), home]
-                r, cell = np.nonzero(np.arange(len(c))[None, :] < home[:, None])
-                gap = apart[home[r], cell] if apart is not None else np.linalg.norm(c[home[r]] - c[cell], axis=1)
-                near = own[r] - sim[r, cell] <= reach * gap + 1e-9
-                r, cell = r[near], cell[near]
-                at = np.concatenate([np.arange(len(rows)), r])
-                take = pa.array(np.array(rows)[at])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("label").take(take),
-                        pa.array(np.full(len(at), dim, np.int32)),
-                        pa.array(np.concatenate([home, cell]).astype(np.int32)),
-                        pa.array(np.arange(len(at)) >= len(rows)),
-                        batch.column("node").take(take),
-                        batch.column("copies").take(take),
-                        pa.array([x[i].tobytes() for i in at], pa.binary()),
-                    ],
-                    ["label", "dim", "cell", "visit", "node", "copies", "vector"],
-                )
+                if dim not in apart:
+                    apart[dim] = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+                within = margin(cfg, dim // 8)
+                for lo in range(0, len(every), _ROWS):
+                    rows = every[lo : lo + _ROWS]
+                    x = _unit([vectors[i] for i in rows])
+                    sim = x @ c.T
+                    home = sim.argmax(axis=1)
+                    own = sim[np.arange(len(rows)), home]
+                    near = own[:, None] - sim <= within * apart[dim][home] + 1e-9
+                    near &= np.arange(len(c))[None, :] < home[:, None]
+                    r, cell = np.nonzero(near)
+                    at = np.concatenate([np.arange(len(rows)), r])
+                    take = pa.array(np.array(rows)[at])
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("label").take(take),
+                            pa.array(np.full(len(at), dim, np.int32)),
+                            pa.array(np.concatenate([home, cell]).astype(np.int32)),
+                            pa.array(np.arange(len(at)) >= len(rows)),
+                            batch.column("node").take(take),
+                            batch.column("copies").take(take),
+                            pa.array([x[i].tobytes() for i in at], pa.binary()),
+                        ],
+                        ["label", "dim", "cell", "visit", "node", "copies", "vector"],
+                    )
 
     return run
 
@@ -181,7 +201,8 @@ def near_duplicates(
     """vec_id, n_links, component_id, kept for each row of `vectors`.
 
     Two rows are linked when their labels are equal and the cosine in double precision
-    reaches the threshold.  Defined cases: a vector that is null, empty, zero or holds a
+    reaches the threshold and the cells bring them together (see above; `spread` None
+    finds all).  Defined cases: a vector that is null, empty, zero or holds a
     null or non-finite component, and a row with a null label or vec_id, links with
     nothing; vectors of different lengths aren't linked; rows that repeat a vec_id count
     as vectors of their own; a null vec_id has a null component_id and is kept; an empty
@@ -195,14 +216,16 @@ def near_duplicates(
         F.col(vector_col).cast("array<double>").alias("embedding"),
     )
     rows = work.save(raw.mapInArrow(_clean(cfg), "vec_id long, label long, vector binary"), "rows")
-    node = F.xxhash64("label", "vector")
-    usable = rows.where("vector is not null").withColumn("node", node)
-    classes = work.save(
-        usable.groupBy("label", "vector").agg(
-            F.first("node").alias("node"), F.count("*").alias("copies"), F.min("vec_id").alias("vec_id")
-        ),
-        "classes",
+    merged = (
+        rows.where("vector is not null").groupBy("label", "vector").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"))
     )
+    for salt in range(cfg.seed, cfg.seed + 8):  # a number of its own for each class: with another salt where two share one
+        node = F.xxhash64(F.lit(salt), "label", "vector")
+        classes = work.save(merged.withColumn("node", node), "classes")
+        if classes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            break
+    else:
+        raise RuntimeError("two classes share a hash under every salt")
     sizes = classes.groupBy(F.octet_length("vector").alias("dim")).agg(F.count("*").alias("n")).collect()  # a row per vector length
     centroids = {}
     for dim, n in sizes:

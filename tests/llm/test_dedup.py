@@ -138,3 +138,55 @@ def test_embeddings_agree_with_all_pairs(spark, cells):
 def test_embeddings_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).collect() == []
+
+
+def test_links_across_cells_are_found(spark):
+    """Recall on random vectors, each with a partner just over the threshold, against brute force."""
+    r = np.random.default_rng(8)
+    n, d = 3000, 64
+    x = r.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.normal(size=(n, d))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    cosine = r.uniform(0.9301, 0.96, n)[:, None]
+    y = cosine * x + np.sqrt(1 - cosine**2) * z
+    rows = [(k, [float(v) for v in (x if k % 2 == 0 else y)[k // 2]], 1) for k in range(2 * n)]
+    cfg = embeddings.CosineConfig(cell_rows=100)
+    got = {g.vec_id: g for g in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), cfg).collect()}
+    found = sum(got[k].n_links > 0 and got[k + 1].component_id <= k for k in range(0, 2 * n, 2))
+    assert found / n >= 0.98
+    # Far fewer visits than cells: 60 cells, 30 lower ones on average.
+    every = _unit_rows(rows)
+    c = embeddings.spherical_kmeans(every, 60, 10, 9)
+    sim = every @ c.T
+    home = sim.argmax(axis=1)
+    gap = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
+    visits = ((sim.max(axis=1)[:, None] - sim <= embeddings.margin(cfg, d) * gap) & (np.arange(60)[None, :] < home[:, None])).sum(axis=1)
+    assert visits.mean() < 6
+
+
+def _unit_rows(rows):
+    x = np.array([v for _, v, _ in rows])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_a_thousand_cells_fit_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from plexmill.llm import embeddings as E
+r = np.random.default_rng(1)
+c = r.normal(size=(1024, 64)); c /= np.linalg.norm(c, axis=1, keepdims=True)
+x = r.normal(size=(10_000, 64))
+batch = pa.record_batch({"label": pa.array(np.ones(10_000, np.int64)), "node": pa.array(np.arange(10_000)), "copies": pa.array(np.ones(10_000, np.int64)),
+    "vector": pa.array([v.tobytes() for v in x], pa.binary())})
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = sum(b.num_rows for b in E._cells({512: c}, E.CosineConfig())(iter([batch])))
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, n)
+"""
+    used, n = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert used < 150 and 10_000 < n < 400_000
