@@ -2,12 +2,15 @@
 
 Pass one scatters records uniformly: a seeded consistent hash of (doc_id, number
 of shards) names the shard, and a second seeded hash names one of the shard's
-memory-sized buckets.  Pass two reads one bucket at a time, puts it in a fixed
-order, applies a Fisher-Yates shuffle seeded by the bucket's number and writes
-it.  A record's position is its bucket's first slot plus its place there.
-
-Everything depends on the rows and the seed alone, so a task that is run again
-after a lost executor gives the same result.
+memory-sized buckets, which are as many as the shard's bytes and rows call for.
+Pass two reads one bucket at a time, puts it in a fixed order, applies a
+Fisher-Yates shuffle seeded by the bucket's number and writes it.  A record's
+position is its bucket's first slot plus its place there.
+
+The shard depends on doc_id and the seed alone.  The bucket also depends on where
+the record stands in the input, so that rows which repeat one doc_id and text are
+dealt to all buckets of their shard.  An input that isn't a plain scan of files is
+written first, so that a task run again after a lost executor deals as before.
 """
 
 from __future__ import annotations
@@ -20,15 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from . import kernels as K
+from .storage import Workspace, rereadable
 
 
 @dataclass(frozen=True)
 class ShardConfig:
     shards: int = 24
     seed: int = 20
-    bucket_mb: int = 16
-    most_rows: int = 200_000  # of a bucket held at once; see `_shuffle`
+    bucket_mb: int = 16  # aimed at
+    bucket_rows: int = 100_000  # aimed at
+    most_partitions: int = 20_000  # beyond as many buckets a task takes several, one after the other
 
 
 def shard_of(key: Column, shards: int, seed: int) -> Column:
@@ -41,46 +46,27 @@ def shard_of(key: Column, shards: int, seed: int) -> Column:
     return (F.greatest(*draws) if shards > 1 else draws[0])["s"]
 
 
-def _shuffle(cfg: ShardConfig):
-    """Fisher-Yates over each bucket of a task's rows, which come sorted by bucket.
+def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
+    """An order of n rows, every one as likely: each place gets one of the rows not yet placed."""
+    order = np.arange(n)
+    draw = np.random.Generator(np.random.PCG64([seed, bucket]))
+    picks = draw.integers(0, np.arange(n, 0, -1))
+    for i, p in enumerate(picks.tolist()):
+        order[i], order[i + p] = order[i + p], order[i]
+    return order
 
-    A bucket above `most_rows` holds many rows of one doc_id and text; as these
-    can't be told apart, it is shuffled in parts of that many rows.
-    """
 
-    def flush(parts: list[pa.RecordBatch], start: int, bucket: int) -> pa.RecordBatch:
-        table = pa.Table.from_batches(parts).combine_chunks()
-        n = table.num_rows
-        order = np.arange(n)
-        draw = np.random.Generator(np.random.PCG64([cfg.seed, bucket, start]))
-        picks = (draw.random(n) * np.arange(n, 0, -1)).astype(np.int64)
-        for i, p in enumerate(picks.tolist()):  # place i gets one of the rows not yet placed
-            order[i], order[i + p] = order[i + p], order[i]
-        table = table.take(pa.array(order))
-        return table.append_column("place", pa.array(np.arange(start, start + n, dtype=np.int64))).combine_chunks().to_batches()[0]
+def _shuffle(cfg: ShardConfig):
+    """Fisher-Yates over each bucket of a task's rows, which come sorted by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows, start, last = 0, 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            b = batch.column("bucket").to_numpy()
-            bounds = [0, *(np.flatnonzero(b[1:] != b[:-1]) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                if last is not None and b[lo] != last and held:
-                    yield flush(held, start, last)
-                    held, rows = [], 0
-                if b[lo] != last:
-                    start = 0
-                last = int(b[lo])
-                held.append(batch.slice(lo, hi - lo))
-                rows += hi - lo
-                if rows >= cfg.most_rows:
-                    yield flush(held, start, last)
-                    start, held, rows = start + rows, [], 0
-        if held:
-            yield flush(held, start, last)
+        for rows in K.sorted_groups(batches, ["bucket"]):
+            order = fisher_yates(rows.num_rows, cfg.seed, rows.column("bucket")[0].as_py())
+            # Written some rows at a time; the bucket itself is held once.
+            for lo in range(0, rows.num_rows, 4096):
+                part = rows.take(pa.array(order[lo : lo + 4096]))
+                place = pa.array(np.arange(lo, lo + part.num_rows, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([*part.columns, place], [*part.schema.names, "place"])
 
     return run
 
@@ -104,24 +90,36 @@ def shard(docs: DataFrame, cfg: ShardConfig = ShardConfig(), id_col: str = "doc_
 
     Defined cases: a null doc_id is a key of its own; null texts stay null and
     count 0 bytes plus 8; rows that repeat a doc_id share its shard and have slots
-    of their own; an empty table gives no bucket; other columns are not written.
+    of their own; an empty table gives no bucket; other columns are not written; a
+    bucket holds a very long text whole.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "shards")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    if not rereadable(rows):
+        rows = work.save(rows, "input")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 8
-    total = rows.agg(F.sum(size)).first()[0] or 0
-    per = max(1, -(-total // (cfg.shards * cfg.bucket_mb << 20)))
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    shard_col = shard_of(F.col("doc_id"), cfg.shards, cfg.seed)
+    totals = rows.groupBy(shard_col.alias("shard")).agg(F.sum(size).alias("bytes"), F.count("*").alias("rows")).collect()  # a row per shard
+    per = [1] * cfg.shards
+    for r in totals:
+        per[r["shard"]] = max(1, -(-r.bytes // (cfg.bucket_mb << 20)), -(-r["rows"] // cfg.bucket_rows))
+    before = [0, *np.cumsum(per).tolist()]
+    of_shard = lambda values: F.get(F.array(*map(F.lit, values)), F.col("shard"))
+    dealt = F.xxhash64("doc_id", "text", F.monotonically_increasing_id(), F.lit(cfg.seed + 1))
     placed = rows.select(
         "doc_id",
         "text",
-        shard_of(key, cfg.shards, cfg.seed).alias("shard"),
-        shard_of(key, cfg.shards + 1, cfg.seed).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id", "text", F.lit(cfg.seed + 1)), F.lit(per)).alias("part"),
-    ).withColumn("bucket", (F.col("shard") * F.lit(per) + F.col("part")).cast("long"))
-    placed = placed.select("doc_id", "text", "shard", "grown_shard", "bucket")
-    scattered = placed.repartition(cfg.shards * per, "bucket").sortWithinPartitions("bucket", "doc_id", "text")
+        shard_col.alias("shard"),
+        shard_of(F.col("doc_id"), cfg.shards + 1, cfg.seed).alias("grown_shard"),
+        dealt.alias("dealt"),
+    )
+    bucket = (of_shard(before[:-1]) + F.pmod("dealt", of_shard(per))).cast("long")
+    placed = placed.select("doc_id", "text", "shard", "grown_shard", bucket.alias("bucket"))
+    partitions = min(before[-1], cfg.most_partitions)
+    # Whole buckets to partitions by number: no two large ones meet by chance of a hash.
+    scattered = placed.repartitionById(partitions, F.pmod("bucket", F.lit(partitions)).cast("int"))
+    scattered = scattered.sortWithinPartitions("bucket", "doc_id", "text")
     written = work.save(
         scattered.mapInArrow(
             _shuffle(cfg), "doc_id long, text string, shard int, grown_shard int, bucket long, place long"
