@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .quality import COMMON_WORDS, SYMBOLS
-from .storage import bound_batches
+from .storage import Workspace
 
 
 @dataclass(frozen=True)
 class WeakLabelConfig:
     dims: int = 1024
-    sample: int = 4096  # documents that the scorer is trained on, the first by a hash of their text
+    sample: int = 4096  # distinct texts that the scorer is trained on, the first by a hash
+    most_weight: int = 8  # of a text that occurs more often than this in training
     em_rounds: int = 100
     train_rounds: int = 300
     rate: float = 4.0
@@ -54,6 +55,22 @@ def _distinct(owner: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((key[new] >> np.uint64(44)).astype(np.int64), minlength=n)
 
 
+def _class_shares(raw: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Share of each text's bytes that are of a class."""
+    size = np.diff(offsets)
+    out = np.zeros(len(size))
+    has = size > 0
+    if has.any():
+        out[has] = np.add.reduceat(inside[raw], offsets[:-1][has], dtype=np.int64) / size[has]
+    return out
+
+
+_SYMBOL, _DIGIT, _LINE = np.zeros(256, bool), np.zeros(256, bool), np.ones(256, bool)
+_SYMBOL[list(SYMBOLS.encode())] = True
+_DIGIT[48:58] = True
+_LINE[10] = False
+
+
 def votes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Votes (texts by labellers) of 1 good, -1 bad, 0 none."""
     n = len(offsets) - 1
@@ -61,11 +78,9 @@ def votes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     w = K.words(low, offsets)
     count = w.counts()
     owner = np.repeat(np.arange(n), count)
-    size = np.diff(offsets)
-    text_of = np.repeat(np.arange(n), size)
     mean = np.bincount(owner, w.end - w.start, n) / np.maximum(count, 1)
-    symbols = _share(np.isin(raw, np.frombuffer(SYMBOLS.encode(), np.uint8)), text_of, n, size)
-    digits = _share((raw >= 48) & (raw <= 57), text_of, n, size)
+    symbols = _class_shares(raw, offsets, _SYMBOL)
+    digits = _class_shares(raw, offsets, _DIGIT)
     common = _common_hashes()
     at = np.minimum(np.searchsorted(common, w.hash), len(common) - 1)
     usual = _share(common[at] == w.hash, owner, n, count)
@@ -74,9 +89,7 @@ def votes(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     window = w.hash[inner] * np.uint64(3) + w.hash[inner + 1] * np.uint64(0x9E3779B97F4A7C15) + w.hash[inner + 2] * np.uint64(0xC2B2AE3D27D4EB4F)
     fresh = _distinct(owner[inner], window, n) / np.maximum(count - 2, 1)
     fresh[count < 3] = 1.0
-    line_class = np.ones(256, bool)
-    line_class[10] = False
-    lines = K.words(raw, offsets, line_class)
+    lines = K.words(raw, offsets, _LINE)
     own_lines = _distinct(np.repeat(np.arange(n), lines.counts()), lines.hash, n) / np.maximum(lines.counts(), 1)
     variety = _distinct(owner, w.hash, n) / np.maximum(count, 1)
 
@@ -142,14 +155,15 @@ def hashed(raw: np.ndarray, offsets: np.ndarray, dims: int) -> np.ndarray:
     return out
 
 
-def train(x: np.ndarray, y: np.ndarray, cfg: WeakLabelConfig) -> np.ndarray:
-    """Weights and bias of a logistic scorer for soft labels, by accelerated full-batch descent."""
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cfg: WeakLabelConfig) -> np.ndarray:
+    """Weights and bias of a logistic scorer for soft labels of weighted rows, by accelerated full-batch descent."""
     x = np.concatenate([x, np.ones((len(x), 1), np.float32)], axis=1)
+    share = weight / weight.sum()
     w = np.zeros(x.shape[1])
     ahead = w.copy()
     for k in range(cfg.train_rounds):
         p = 1 / (1 + np.exp(-(x @ ahead)))
-        grad = x.T @ (p - y) / len(x) + cfg.decay * ahead
+        grad = x.T @ ((p - y) * share) + cfg.decay * ahead
         new = ahead - cfg.rate * grad
         ahead = new + k / (k + 3) * (new - w)
         w = new
@@ -166,28 +180,31 @@ def classify(docs: DataFrame, cfg: WeakLabelConfig = WeakLabelConfig()) -> DataF
     null; repeated rows are returned as often as they occur; an empty table gives an empty
     result; other columns are ignored.
     """
-    bound_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
     def vote_rows(it):
         for batch in it:
             for lo, hi, raw, offs in K.row_ranges(batch.column("text")):
                 v = votes(raw, offs)
-                # Patterns of equal votes are one row of a batch.
-                kinds, n = np.unique(v, axis=0, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k.tobytes() for k in kinds], pa.binary()), pa.array(n.astype(np.int64))], ["pattern", "n"]
+                    [batch.column("h").slice(lo, hi - lo), pa.array([k.tobytes() for k in v], pa.binary())], ["h", "pattern"]
                 )
 
-    counted = rows.select("text").mapInArrow(vote_rows, "pattern binary, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
+    # Texts are read once for this, once for the sample and once to be scored.
+    text_hash = F.xxhash64("text").alias("h")
+    voted = Workspace(docs.sparkSession, "weaklabel").save(
+        rows.select(text_hash, "text").mapInArrow(vote_rows, "h long, pattern binary"), "votes"
+    )
+    counted = voted.groupBy("pattern").agg(F.count("*").alias("n"))
     found = sorted((bytes(r.pattern), r.n) for r in counted.collect())  # at most 3 ** labellers rows
     kinds = np.array([np.frombuffer(p, np.int8) for p, _ in found]).reshape(len(found), len(LABELLERS))
     post, _, _ = fit_labellers(kinds, np.array([n for _, n in found], float), cfg.em_rounds)
     posterior = dict(zip((p for p, _ in found), post.tolist(), strict=True))
 
-    # The cut is made on hashes, so that no text passes the driver.
-    edge = rows.select(F.xxhash64("text").alias("h")).orderBy("h").limit(cfg.sample).agg(F.max("h")).first()[0]
-    chosen = rows.where(F.xxhash64("text") <= F.lit(edge)) if edge is not None else rows.limit(0)
+    # The sample is of distinct texts, each with its number of rows: a hot text is one of them.
+    sampled = voted.groupBy("h").agg(F.count("*").alias("n")).orderBy("h").limit(cfg.sample).collect()
+    weight = {r.h: min(r.n, cfg.most_weight) for r in sampled}
+    chosen = rows.where(F.xxhash64("text") <= F.lit(max(weight))) if weight else rows.limit(0)
 
     def features(it):
         for batch in it:
@@ -196,18 +213,19 @@ def classify(docs: DataFrame, cfg: WeakLabelConfig = WeakLabelConfig()) -> DataF
                 x = hashed(raw, offs, cfg.dims).astype("<f2")
                 yield pa.RecordBatch.from_arrays(
                     [
+                        batch.column("h").slice(lo, hi - lo),
                         pa.array([r.tobytes() for r in x], pa.binary()),
                         pa.array([posterior[r.tobytes()] for r in v], pa.float64()),
                     ],
-                    ["x", "y"],
+                    ["h", "x", "y"],
                 )
 
-    # A hot text has one hash and is learnt from once: the rows are merged before they are gathered.
-    merged = chosen.groupBy(F.xxhash64("text").alias("h")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
-    learnt = merged.orderBy("h").limit(cfg.sample).select("text").mapInArrow(features, "x binary, y double").collect()
+    # Rows of one text are merged before they are gathered; different texts of one hash would be too.
+    merged = chosen.groupBy(text_hash).agg(F.first("text").alias("text"))
+    learnt = sorted(merged.mapInArrow(features, "h long, x binary, y double").collect())
     if learnt:
         x = np.frombuffer(b"".join(bytes(r.x) for r in learnt), "<f2").reshape(len(learnt), cfg.dims).astype(np.float32)
-        weights = train(x, np.array([r.y for r in learnt]), cfg)
+        weights = train(x, np.array([r.y for r in learnt]), np.array([weight[r.h] for r in learnt], float), cfg)
     else:
         weights = np.zeros(cfg.dims + 1)
     shared = docs.sparkSession.sparkContext.broadcast((weights, posterior))  # `dims` numbers and the patterns

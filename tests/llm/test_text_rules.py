@@ -28,7 +28,7 @@ def test_shards_keep_the_law(spark):
 
 def test_shards_spread_and_split_hot_buckets(spark):
     df = documents(spark, [(k, "t") for k in range(4000)] + [(5, "hot")] * 300)
-    cfg = sharding.ShardConfig(most_rows=100)
+    cfg = sharding.ShardConfig(bucket_rows=100)
     got = sharding.digest(sharding.shard(df, cfg)).toPandas()
     assert len(got) == 4300
     for _, g in got.groupby("shard"):
@@ -37,6 +37,29 @@ def test_shards_spread_and_split_hot_buckets(spark):
     assert sizes.min() > 110 and sizes.max() < 230
 
 
+def test_repeated_rows_are_dealt_to_all_buckets_of_their_shard(spark):
+    rows = [(5, "hot")] * 2000 + [(k, "t") for k in range(100, 400)] + [(None, "n"), (-(1 << 63), "least")]
+    made = sharding.shard(documents(spark, rows), sharding.ShardConfig(bucket_rows=100, shards=6))
+    got = [r.asDict() for r in made.slotted().collect()]
+    assert len(got) == len(rows)
+    hot = collections.Counter(r["bucket"] for r in got if r["doc_id"] == 5)
+    assert len(hot) >= 20 and max(hot.values()) < 160 and len({r["shard"] for r in got if r["doc_id"] == 5}) == 1
+    for s in {r["shard"] for r in got}:
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
+
+
+def test_fisher_yates_makes_every_order_as_likely():
+    seen = collections.Counter(tuple(sharding.fisher_yates(4, 20, b)) for b in range(24_000))
+    assert len(seen) == 24 and min(seen.values()) > 850 and max(seen.values()) < 1150
+    # Against a plain version: the same draws, a list, one pick at a time.
+    for n in (1, 2, 17, 400):
+        left, order = list(range(n)), []
+        for p in np.random.Generator(np.random.PCG64([20, 3])).integers(0, np.arange(n, 0, -1)).tolist():
+            left[0], left[p] = left[p], left[0]
+            order.append(left.pop(0))
+        assert sharding.fisher_yates(n, 20, 3).tolist() == order
+
+
 def base_counts(text):
     w = words(text)
     k = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
@@ -285,6 +308,79 @@ def test_weak_labels_find_junk(spark):
     assert weaklabel.classify(documents(spark, [])).collect() == []
 
 
+def plain_votes(t):
+    """Votes of one text in plain Python."""
+    raw, w = t.encode(), words(lowered(t))
+    n = len(w)
+    windows = [tuple(w[k : k + 3]) for k in range(n - 2)]
+    lines = [x for x in t.split("\n") if x]
+    symbols = sum(c in "#*$%&|<>" for c in t) / max(len(raw), 1)
+    digits = sum(c in "0123456789" for c in t) / max(len(raw), 1)
+    common = {w for text in quality.COMMON_WORDS.values() for w in text.split()}
+    mean = sum(len(x.encode()) for x in w) / max(n, 1)
+    fresh = len(set(windows)) / len(windows) if windows else 1.0
+    own, variety, usual = len(set(lines)) / max(len(lines), 1), len(set(w)) / max(n, 1), sum(x in common for x in w) / max(n, 1)
+    vote = lambda good, bad: 1 if good else -1 if bad else 0
+    enough = n >= 20
+    return [
+        vote(n >= 50, n < 1), vote(3 <= mean <= 7, mean < 2 or mean > 9), vote(symbols < 0.005, symbols > 0.02),
+        vote(enough and fresh > 0.9, enough and fresh < 0.6), vote(len(lines) > 1 and own > 0.9, own < 0.7),
+        vote(usual > 0.08, enough and usual < 0.02), vote(enough and variety > 0.3, enough and variety < 0.15), vote(enough and digits < 0.05, digits > 0.2),
+    ]
+
+
+def plain_hashed(t, dims):
+    b = lowered(t).encode()
+    row = np.zeros(dims)
+    for k in range(len(b) - 2):
+        x = (b[k] * 0x9E3779B1 + b[k + 1] * 0x85EBCA77 + b[k + 2] * 0xC2B2AE3D) % (1 << 32)
+        row[(x >> 12) % dims] += 1
+    row = np.sqrt(row)
+    return row / max(np.linalg.norm(row), 1e-300)
+
+
+def test_votes_and_features_agree_with_plain_versions():
+    all_ = [t or "" for _, t in texts()] + ["a b c " * 30, "x\n" * 9 + "y", "12 34 56 78 #%&", "the of and to in is " * 10, prose(3, 200) + "\nthe of", "ab", "\n\n"]
+    raw, offs = kernels.text_buffer(pa.array(all_))
+    assert weaklabel.votes(raw, offs).tolist() == [plain_votes(t) for t in all_]
+    assert np.allclose(weaklabel.hashed(raw, offs, 64), [plain_hashed(t, 64) for t in all_], atol=1e-6)
+
+
+def test_classifier_agrees_with_a_plain_version(spark):
+    rows = [(k, prose(k, 40 + 7 * k)) for k in range(12)] + [(50 + k, f"spam {k % 3} " * (30 + k % 3)) for k in range(30)] + [(90, None), (91, "")]
+    cfg = weaklabel.WeakLabelConfig(dims=64, train_rounds=150)
+    got = {r.doc_id: r for r in weaklabel.classify(documents(spark, rows), cfg).collect()}
+    patterns = collections.Counter(tuple(plain_votes(t or "")) for _, t in rows)
+    kinds = sorted(patterns, key=lambda p: np.array(p, np.int8).tobytes())
+    post, _, _ = weaklabel.fit_labellers(np.array(kinds), np.array([patterns[k] for k in kinds], float), cfg.em_rounds)
+    known = dict(zip(kinds, post, strict=True))
+    often = collections.Counter(t or "" for _, t in rows)
+    x = np.array([np.append(plain_hashed(t, 64).astype("<f2"), 1) for t in often])
+    y, n = np.array([known[tuple(plain_votes(t))] for t in often]), np.array([min(8, c) for c in often.values()])
+    w = np.zeros(65)
+    before, ahead = w, w
+    for k in range(cfg.train_rounds):
+        p = [1 / (1 + np.exp(-sum(a * b for a, b in zip(row, ahead, strict=True)))) for row in x]
+        grad = sum(row * (a - b) * c for row, a, b, c in zip(x, p, y, n, strict=True)) / n.sum() + cfg.decay * ahead
+        w = ahead - cfg.rate * grad
+        ahead, before = w + k / (k + 3) * (w - before), w
+    for i, t in rows:
+        score = 1 / (1 + np.exp(-(plain_hashed(t or "", 64) @ w[:-1] + w[-1])))
+        assert abs(got[i].score - score) < 2e-3 and abs(got[i].weak_label - known[tuple(plain_votes(t or ""))]) < 1e-9
+        assert got[i].kept == ((got[i].score + got[i].weak_label) / 2 >= cfg.threshold)
+
+
+def test_a_hot_text_leaves_room_for_others_in_the_sample(spark):
+    df = documents(spark, [(k, "same text " * 30) for k in range(500)] + [(1000 + k, prose(k, 60)) for k in range(40)])
+    low = df.selectExpr("xxhash64(text) as h").distinct().orderBy("h").limit(20).count()
+    assert low == 20
+    whole = weaklabel.classify(df, weaklabel.WeakLabelConfig(sample=41))
+    part = weaklabel.classify(df, weaklabel.WeakLabelConfig(sample=41, most_weight=1))
+    score = lambda d: d.where("doc_id = 0").first().score
+    # The hot text is one of 41 distinct ones, with a weight of 8 at most.
+    assert abs(score(whole) - score(part)) < 0.5 and whole.count() == 540
+
+
 def test_em_recovers_accuracies():
     r = np.random.default_rng(8)
     truth = r.random(20_000) < 0.85
