@@ -76,6 +76,12 @@ def filter_files(files: DataFrame, pattern: str = "", tests: bool = False, langu
     return got
 
 
+def match_order(symbols: DataFrame, query: str) -> DataFrame:
+    """Symbols (id, name, file) with score, best matches first."""
+    scored = symbols.withColumn("score", X.match_score(query, F.col("name"), F.col("file")))
+    return scored.where("score > 0").orderBy(F.desc("score"), "id")
+
+
 def search_domain(df: DataFrame, query: str, domain: str, limit: int = DEFAULT_RESULTS, min_score: float = 0.0, **how) -> DataFrame:
     """(domain, id, name, path, score) of the best matches of one domain."""
     score = X.match_score(query, F.col("name"), F.col("path"), **how)
