@@ -93,6 +93,73 @@ def test_quality_rejects_divergence_and_keeps_prose(spark):
     assert kept.columns == documents(spark, rows).columns and kept.count() == sum(g.kept for g in got.values())
 
 
+def plain_quality(rows, cfg=quality.QualityConfig()):
+    """(n_words, kept) of each (text, language), by counting characters and words one by one."""
+    in_class = [lambda c: c in quality.WHITE, lambda c: c in quality.SYMBOLS, lambda c: "A" <= c <= "Z", lambda c: c in "0123456789", lambda c: c in quality.PUNCTUATION]
+
+    def histograms(text, lang):
+        chars = [sum(map(f, text)) for f in in_class]
+        chars.append(len(text) - sum(chars))
+        known = cfg.words.get(lang, "").split()
+        plain = [w.lower().rstrip(quality.MARKS) if len(w) <= 7 else "" for w in words(text)]
+        common = [plain.count(k) for k in known] + [0] * (20 - len(known))
+        return np.array(chars, float), np.array([*common, len(plain) - sum(common)], float)
+
+    def distance(a, b):
+        p, q = a / a.sum(), b / b.sum()
+        m = (p + q) / 2
+        half = lambda x: sum(v * np.log2(v / w) for v, w in zip(x, m, strict=True) if v > 0) / 2
+        return np.sqrt(max(0.0, half(p) + half(q)))
+
+    made = [(t or "", lang, *histograms(t or "", lang), base_counts(t)) for t, lang in rows]
+    failed = [c[0] < cfg.least_words or 100 * c[4] > cfg.most_repeat_percent * c[0] for *_, c in made]
+
+    def references(use):
+        out = {}
+        for lang in cfg.words:
+            own = [m for m, u in zip(made, use, strict=True) if u and m[1] == lang]
+            if own:
+                out[lang] = sum(m[2] for m in own), sum(m[3] for m in own)
+        return out
+
+    def near(refs):
+        ok = []
+        for text, lang, chars, common, c in made:
+            n, fine = c[0], True
+            if len(text) >= cfg.guard_chars and refs:
+                d = distance(chars, refs[lang][0]) if lang in refs else min(distance(chars, r[0]) for r in refs.values())
+                fine &= d <= np.sqrt(cfg.most_char_distance**2 + cfg.char_chance / max(n, 1))
+            if n >= cfg.guard_words and lang in refs:
+                fine &= distance(common, refs[lang][1]) <= np.sqrt(cfg.most_word_distance**2 + cfg.word_chance / max(n, 1))
+            ok.append(fine)
+        return ok
+
+    passed = [not f for f in failed]
+    settled = references([a and b for a, b in zip(near(references(passed)), passed, strict=True)])
+    return [(m[4][0], p and k) for m, p, k in zip(made, passed, near(settled), strict=True)]
+
+
+def test_quality_verdict_agrees_with_a_plain_version(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = spark.createDataFrame([(9001, None, "en"), (9002, "", None), (9003, prose(4, 90), None), (9004, prose(5, 80), "xx"), (9005, "a b " * 40, "en"), (9006, "The, of. AND! " * 30, "en")], "doc_id long, text string, lang string")
+    rows = docs.select("doc_id", "text", "lang").unionByName(extra)
+    local = rows.collect()
+    want = plain_quality([(r.text, r.lang) for r in local])
+    got = {g.doc_id: (g.n_words, g.kept) for g in quality.judge(rows).collect()}
+    assert got == {r.doc_id: w for r, w in zip(local, want, strict=True)}
+    assert 20 < sum(k for _, k in want) < len(want) - 20
+    kept = quality.keep_good(rows)
+    assert {r.doc_id for r in kept.collect()} == {i for i, (_, k) in got.items() if k}
+
+
+def test_guards_leave_short_histograms_unjudged(spark):
+    odd = " ".join("q%x" % k for k in range(55))
+    rows = [(k, prose(k, 200)) for k in range(20)] + [(100, odd), (101, odd + " " + " ".join("%x&&|" % k for k in range(100)))]
+    got = {g.doc_id: g for g in quality.judge(documents(spark, rows)).collect()}
+    assert got[100].char_distance is None and got[100].word_distance is None and got[100].kept
+    assert got[101].char_distance is not None and not got[101].kept
+
+
 def test_js_distance_is_right(spark):
     p, q = np.array([1.0, 2, 0, 5]), np.array([2.0, 2, 3, 1])
     a, b = p / p.sum(), q / q.sum()
@@ -105,8 +172,9 @@ def test_js_distance_is_right(spark):
 
 def test_quality_runs_no_python(spark):
     docs = documents(spark)
-    plan = quality.features(docs)._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    for df in (quality.features(docs), quality.judge(docs), quality.keep_good(docs)):
+        plan = df._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def toxic_fixture(spark):
