@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import model as M
 from ..operators import navigate as N
 from ..operators import report as P
+from ..sources import golang as GO
 from ..sources import scan as S
 
 from .code import CALLS, PATHS, REFS, SYMBOLS, Code
@@ -236,3 +237,46 @@ def changed_files(t: Tables) -> DataFrame:
     return got.select(F.col("path").cast("long").alias("doc_id"), "content_hash")
 
 
+
+
+_SRC = f"""{SYMBOLS}, g AS (SELECT n, pkg, pkg || '/g' || n || '.go' AS path, pkg || '.(*T' || (n % 9) || ').M' || n AS m FROM symbols), h AS (SELECT pkg, n % 5 AS k FROM g GROUP BY 1, 2)"""
+
+
+def _go_files(t: Tables) -> DataFrame:
+    """A source for each symbol: a method that calls a helper, an import, itself and a literal, and constants; every fifth declares the helper."""
+    n = F.col("n").cast("string")
+    k = lambda m: (F.col("n") % m).cast("string")
+    text = F.concat(
+        F.lit('// file\npackage p\n\nimport (\n\t"fmt"\n\tsvc "pkg/service"\n)\n\n// M'), n, F.lit(" runs. TODO: less\nfunc (r *T"), k(9), F.lit(") M"), n,
+        F.lit("(a int, b ...string) (int, error) {\n\tif a > 1 { // {\n\t\thelper"), k(5), F.lit("(a)\n\t}\n\tsvc.Execute(len(b))\n\tx := &Rec"), k(3),
+        F.lit('{A: "f(x) {"}\n\tr.M'), n, F.lit("(x)\n\treturn 1, nil\n}\n\nconst (\n\tC"), n, F.lit(" = iota\n\td"), n, F.lit(" int = 2\n)\n"),
+        F.when(F.col("n") % 25 < 5, F.concat(F.lit("\nfunc helper"), k(5), F.lit("(n int) { fmt.Println(n) }\n"))).otherwise(""),
+    )
+    return Code(t).symbols().select(F.concat("pkg", F.lit("/g"), n, F.lit(".go")).alias("path"), text.alias("content"))
+
+
+@query(
+    f"""WITH {_SRC} SELECT file_path, kind, name, id, line FROM (SELECT path AS file_path, 'method' AS kind, 'M' || n AS name, m AS id, 10 AS line FROM g UNION ALL SELECT path, 'constant', 'C' || n, pkg || '.C' || n, 21 FROM g
+ UNION ALL SELECT path, 'constant', 'd' || n, pkg || '.d' || n, 22 FROM g UNION ALL SELECT path, 'function', 'helper' || (n % 5), pkg || '.helper' || (n % 5), 25 FROM g WHERE n % 25 < 5 UNION ALL SELECT path, 'todo', 'TODO: less', NULL, 9 FROM g)"""
+)
+def go_declarations(t: Tables) -> DataFrame:
+    d = GO.declarations(_go_files(t))
+    return d.where("what in ('symbol', 'note')").select("file_path", "kind", "name", "id", "line")
+
+
+@query(
+    f"""WITH {_SRC}, hp AS (SELECT DISTINCT pkg || '.helper' || (n % 5) AS id FROM g WHERE n % 25 < 5), r AS (SELECT m AS source, pkg || '.T' || (n % 9) AS target, 'type_reference' AS kind, 10 AS line FROM g
+ UNION ALL SELECT m, pkg || '.helper' || (n % 5), 'function_reference', 12 FROM g UNION ALL SELECT m, 'pkg/service.Execute', 'function_reference', 14 FROM g UNION ALL SELECT m, pkg || '.Rec' || (n % 3), 'struct_reference', 15 FROM g
+ UNION ALL SELECT m, m, 'method_reference', 16 FROM g UNION ALL SELECT pkg || '.helper' || (n % 5), 'fmt.Println', 'function_reference', 25 FROM g WHERE n % 25 < 5)
+ SELECT source, target, kind, line, CASE WHEN target IN (SELECT m FROM g) OR target IN (SELECT id FROM hp) THEN 'resolved' ELSE 'unresolved_external' END AS state FROM r"""
+)
+def go_references(t: Tables) -> DataFrame:
+    return GO.resolved(GO.declarations(_go_files(t))).select("source", "target", "kind", "line", "state")
+
+
+@query(
+    f"""WITH {_SRC}, c AS (SELECT m AS src, pkg || '.helper' || (n % 5) AS dst FROM g UNION ALL SELECT m, 'pkg/service.Execute' FROM g UNION ALL SELECT m, m FROM g UNION ALL SELECT pkg || '.helper' || (n % 5), 'fmt.Println' FROM g WHERE n % 25 < 5)
+ SELECT DISTINCT src, dst, CASE WHEN src = dst THEN 'recursive' ELSE 'calls' END AS kind FROM c"""
+)
+def go_calls(t: Tables) -> DataFrame:
+    return GO.call_edges(GO.resolved(GO.declarations(_go_files(t))))

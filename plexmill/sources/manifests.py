@@ -125,7 +125,8 @@ def imports(files: DataFrame) -> DataFrame:
 def go_symbols(files: DataFrame) -> DataFrame:
     """Top-level symbols of Go sources: id, kind, name, package_path, file_path, receiver, is_exported, signature, line.
 
-    Declarations are found by line, as gofmt lays them out; bodies aren't parsed.
+    Declarations are found by line, as gofmt lays them out, with built-in functions alone; `golang.declarations`
+    reads whole sources.
     """
     src = files.where(X.extension(F.col("path")) == ".go")
     func = r"^func\s+(?:\(\s*\w*\s*(\*?\w+)[^)]*\)\s*)?(\w+)\s*(?:\[[^\]]*\])?(\([^{]*)"
