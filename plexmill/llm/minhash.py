@@ -320,8 +320,8 @@ def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
             m[i, at[vocabulary[at] == x]] = 1
         return m
 
-    for at in range(0, len(shared), 1 << 14):
-        part = shared[at : at + (1 << 14)]
+    for at in range(0, len(shared), 1 << 11):  # some shingles at a time: the matrices stay small
+        part = shared[at : at + (1 << 11)]
         out += ones(left, part) @ ones(right, part).T
     return np.rint(out).astype(np.int64)
 
