@@ -8,6 +8,7 @@ A table written here survives the loss of any executor and cuts the lineage.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -56,13 +57,33 @@ def rereadable(docs: DataFrame) -> bool:
     return plain(docs._jdf.queryExecution().optimizedPlan())
 
 
+#: Folders of this process's runs, removed at its end.
+_folders: list[tuple[SparkSession, str]] = []
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for spark, path in _folders:
+        with contextlib.suppress(Exception):  # the session may have ended before; what is left is in one folder
+            _remove(spark, path)
+
+
 class Workspace:
-    """A folder of one run of an operator; tables no longer needed can be dropped."""
+    """A folder of one run of an operator.
+
+    Tables no longer needed can be dropped; the rest stays as long as the process, since results read from it.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         bound_batches(spark)
+        _folders.append((spark, self.path))
         self._n = 0
 
     def save(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -78,6 +99,4 @@ class Workspace:
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_plexmill_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _remove(self.spark, path)

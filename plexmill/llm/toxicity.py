@@ -38,7 +38,7 @@ from .storage import Workspace
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    sample: int = 8_000  # labelled rows that are learnt from, the first by a hash of their id
+    sample: int = 6_000  # labelled rows that are learnt from, the first by a hash of their id
     prefixes: tuple[int, ...] = (4, 5)
     levels: tuple[int, ...] = (2, 3, 5)
     lean: float = 2.0  # times the share of toxic rows that a telling term has
@@ -328,7 +328,7 @@ class WholeTextIndex:
             term[lo : lo + (1 << 20)] = np.searchsorted(self.terms, h[lo : lo + (1 << 20)])
         del h
         df = np.bincount(term, self.rows[where], minlength=len(self.terms))
-        self.idf = np.log((len(rows.doc) + 1) / (df + 1)) + 1
+        self.idf = (np.log((len(rows.doc) + 1) / (df + 1)) + 1).astype(np.float32)
         self.idf_other = float(np.log(len(rows.doc) + 1) + 1)
         in_texts = np.bincount(term, minlength=len(self.terms))
         #: Number among the frequent terms, -1 for a rare one.
@@ -339,13 +339,13 @@ class WholeTextIndex:
         squares, often_squares = np.zeros(len(size)), np.zeros(len(size))
         for lo in range(0, len(term), 1 << 20):
             part = slice(lo, lo + (1 << 20))
-            w = ((1 + np.log(n[part])) * self.idf[term[part]]) ** 2
+            w = ((1 + np.log(n[part].astype(float))) * self.idf[term[part]]) ** 2
             squares += np.bincount(where[part], w, len(size))
             often_squares += np.bincount(where[part], w * often[part], len(size))
         self.norm = np.sqrt(squares)
         self.often_norm = np.sqrt(often_squares) / np.maximum(self.norm, 1e-300)
         self.often_first = np.concatenate([[0], np.cumsum(np.bincount(where[often], minlength=len(size)))])
-        self.rare_first = np.concatenate([[0], np.cumsum(np.where(self.column < 0, in_texts, 0))])
+        self.rare_first = np.concatenate([[0], np.cumsum(np.where(self.column < 0, in_texts, 0))]).astype(np.int32)
         rare = np.flatnonzero(~often)
         rare = rare[np.argsort(term[rare], kind="stable")]
         self.sent = [_packed(x) for x in (np.diff(where[rare], prepend=np.int32(0)), n[rare], self.column[term[often]], n[often])]
