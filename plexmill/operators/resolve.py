@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Interfaces without methods that may be broadcast to all types.
+MOST_EMPTY = 10_000
+
+
 def resolve_references(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """refs with target and state.
 
@@ -42,6 +46,8 @@ def satisfied_interfaces(required: DataFrame, methods: DataFrame, same_package:
     out = got.join(total, "interface_id").where("_got = _need").select("type_id", "interface_id")
     if empty_holds:
         empty = required.select("interface_id").distinct().join(total, "interface_id", "left_anti")
+        if empty.limit(MOST_EMPTY + 1).count() > MOST_EMPTY:  # every type holds every one of them
+            raise ValueError(f"more than {MOST_EMPTY} interfaces without methods")
         out = out.unionByName(methods.select("type_id").distinct().join(F.broadcast(empty)).select("type_id", "interface_id"))
     return out
 
@@ -86,9 +92,9 @@ def package_communications(refs: DataFrame, symbols: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """The last row of each key, by a partial aggregate, so that a hot key is never gathered in one task."""
+    last = df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row"))
+    return last.select("_row.*")
 
 
 def suffix_resolution(imports: DataFrame, packages: DataFrame) -> DataFrame:

@@ -280,3 +280,38 @@ def go_references(t: Tables) -> DataFrame:
 )
 def go_calls(t: Tables) -> DataFrame:
     return GO.call_edges(GO.resolved(GO.declarations(_go_files(t))))
+
+
+# A tree that grows with the tables: each part under the one of half its number
+
+
+def _tree(t: Tables) -> tuple[DataFrame, DataFrame]:
+    n = F.col("p_partkey")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    edges = t.part.where("p_partkey > 1").select(name(n).alias("src"), name(F.floor(n / 2)).alias("dst"), F.lit("belongs_to").alias("kind"))
+    return t.part.select(name(n).alias("id"), n.alias("n")), edges.withColumn("id", F.concat_ws("->", "src", "dst"))
+
+
+@query("SELECT 'p' || p_partkey AS id, length(bin(p_partkey))::INT - 1 AS level FROM part")
+def tree_levels(t: Tables) -> DataFrame:
+    nodes, edges = _tree(t)
+    return G.topological_levels(nodes, edges)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT p_partkey AS s, p_partkey // 2 AS d FROM part WHERE p_partkey > 1), r(id, depth) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey NOT IN (SELECT d FROM e) UNION SELECT d, depth + 1 FROM r JOIN e ON s = id)
+ SELECT max(depth)::INT AS max_depth FROM r"""
+)
+def tree_depth(t: Tables) -> DataFrame:
+    return G.max_depth(*_tree(t))
+
+
+@query("WITH RECURSIVE r(id, top, n) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey > 1 UNION ALL SELECT id, top // 2, n + 1 FROM r WHERE top > 1) SELECT 'p' || id AS id, 'p1' AS root, max(n)::INT + 1 AS length FROM r GROUP BY 1")
+def tree_owners(t: Tables) -> DataFrame:
+    return G.ownership(_tree(t)[1]).select("id", "root", F.size("chain").alias("length"))
+
+
+@query("WITH RECURSIVE r(id, depth) AS (SELECT 1, 0 UNION ALL SELECT p_partkey, depth + 1 FROM r JOIN part ON p_partkey // 2 = id AND p_partkey > 1 WHERE depth < 9) SELECT 'p' || id AS id, depth::INT AS depth FROM r")
+def tree_below(t: Tables) -> DataFrame:
+    nodes, edges = _tree(t)
+    return G.traverse(nodes, edges, "p1", "inbound", 9)[0].select("id", "depth")

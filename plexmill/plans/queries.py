@@ -224,8 +224,8 @@ def graph_degrees(t: Tables) -> DataFrame:
 
 @query("SELECT o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def graph_orphans(t: Tables) -> DataFrame:
-    edges = t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return t.orders.select(F.col("o_orderkey").alias("id")).join(edges.select(F.col("src").alias("id")), "id", "left_anti")
+    edges = t.lineitem.select(F.col("l_orderkey").alias("src"), F.col("l_orderkey").alias("dst"))
+    return G.orphans(t.orders.select(F.col("o_orderkey").alias("id")), edges)
 
 
 @query(f"WITH {CALLS}, n AS (SELECT src AS id FROM e UNION SELECT dst FROM e) SELECT id, coalesce((SELECT string_agg(DISTINCT src, ',' ORDER BY src) FROM e WHERE dst = n.id), '') AS callers, coalesce((SELECT string_agg(DISTINCT dst, ',' ORDER BY dst) FROM e WHERE src = n.id), '') AS callees FROM n")
