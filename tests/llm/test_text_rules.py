@@ -311,6 +311,76 @@ def test_held_out_rows_are_found_in_every_language(spark):
     assert all(recall(found[k]) >= 0.9 for k in ("en", "fr", "de", "es"))
 
 
+def plain_toxicity(examples, queries, cfg):
+    """Scores of texts by examples (label, text): terms, variants, likelihood ratios, cosines and votes one by one."""
+
+    def bag(t):
+        w = re.findall("[^\x00-\x60\x7b-\x7f]+", lowered(t))
+        return collections.Counter([*w, *(("head", x[:n]) for n in cfg.prefixes for x in w if len(x) > n)]), len(w)
+
+    def variants(t):
+        b, n = bag(t)
+        out = set(b) | {(x, "at least", k) for x, c in b.items() for k in cfg.levels if c >= k}
+        return out | {(x, "rate", int(np.floor(np.log2(c * 1000 / n)))) for x, c in b.items() if c >= 2}
+
+    rows, toxic = collections.Counter(), collections.Counter()
+    for label, t in examples:
+        rows.update(variants(t))
+        toxic.update(variants(t) if label else ())
+    share = sum(x for x, _ in examples) / len(examples)
+    least = 2 * np.log(max(2, sum(n > 1 for n in rows.values())))
+
+    def ratio(a, n):
+        return 2 * sum(x * np.log(x / (n * q)) for x, q in ((a, share), (n - a, 1 - share)) if x)
+
+    telling = {x for x, n in rows.items() if toxic[x] > cfg.lean * share * n and ratio(toxic[x], n) >= least}
+    own = [frozenset(variants(t) & telling) for _, t in examples]
+    df = collections.Counter(x for v in own for x in v)
+    idf = {x: np.log((len(examples) + 1) / (df[x] + 1)) + 1 for x in telling}
+    merged = collections.defaultdict(lambda: [0, 0])
+    for v, (label, _) in zip(own, examples, strict=True):
+        merged[v][0] += 1
+        merged[v][1] += label
+    empty = merged.pop(frozenset(), [0, 0])
+    n, bad = (sum(m[k] for m in merged.values()) for k in (0, 1))
+    everyone = (bad + empty[1] + 1) / (n + empty[0] + 2)
+    norm = lambda v: np.sqrt(sum(idf[x] ** 2 for x in v))
+    distinct = collections.defaultdict(lambda: [0, 0])
+    for label, t in examples:
+        if bag(t)[0]:
+            distinct[t][0] += 1
+            distinct[t][1] += label
+    known = list(distinct)
+    cosines = whole_text_cosines(queries, [t for _, t in examples])
+    first = [[t for _, t in examples].index(k) for k in known]
+    scores = []
+    for q, cos in zip(queries, cosines[:, first], strict=True):
+        v = variants(q) & telling
+        prior = (empty[1] + everyone) / (empty[0] + 1)
+        if v:
+            near = sorted((sum(idf[x] ** 2 for x in v & k) / norm(v) / norm(k), m) for k, m in merged.items() if v & k)[-cfg.neighbours :]
+            up = sum(c**cfg.sharpness * m[1] for c, m in near) + cfg.prior_votes * (bad + everyone) / (n + 1)
+            prior = up / (sum(c**cfg.sharpness * m[0] for c, m in near) + cfg.prior_votes)
+        votes = sorted((c, distinct[k]) for c, k in zip(cos, known, strict=True) if c >= cfg.near)[-cfg.neighbours :]
+        weight = [(c**cfg.sharpness / (max(0, 1 - c) + cfg.softness), m) for c, m in votes]
+        voted = (sum(w * m[1] for w, m in weight) + cfg.prior_votes * prior) / (sum(w * m[0] for w, m in weight) + cfg.prior_votes) if votes else prior
+        scores.append(max(prior, voted))
+    return scores
+
+
+def test_scores_agree_with_a_plain_version(spark):
+    rows, labels = toxic_fixture(spark)
+    rows = [(i, t + " vileword" * (i % 7 if y else 0)) for (i, t), (_, y) in zip(rows, labels, strict=True)]
+    cfg = toxicity.ToxicityConfig(neighbours=1000)  # no ties for the last place
+    more = [(5000, ""), (5001, None), (5002, "vileword"), (5003, "vileword vileword vileword some words"), (5004, rows[0][1] + " end"), (5005, "1 2 3"), (5006, rows[1][1])]
+    got = {g.doc_id: g.score for g in toxicity.score_toxicity(documents(spark, rows + more), spark.createDataFrame(labels, "doc_id long, toxic int"), cfg).collect()}
+    learnt = [(y, t) for (i, t), (_, y) in zip(rows, labels, strict=True) if zlib.crc32(str(i).encode()) % 3 != 1]
+    queries = more + rows[:60]
+    want = plain_toxicity(learnt, [t or "" for _, t in queries], cfg)
+    assert all(abs(got[i] - w) < 1e-5 for (i, _), w in zip(queries, want, strict=True))
+    assert max(want) > 0.9 and min(want) < 0.1
+
+
 def test_texts_near_a_toxic_example_of_rare_wording_are_toxic(spark):
     rows, labels = toxic_fixture(spark)
     rare = [" ".join(f"{a}{b}seldom" for b in "abcdefghijklmnopqrst") for a in ("u", "v")]
