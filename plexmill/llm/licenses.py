@@ -27,7 +27,7 @@ BASE_PHRASES = {
     "all rights reserved": "reserved",
 }
 
-#: Label and opening or notice text of public licences.
+#: Label, and opening, notice or clause of public licences.
 TEMPLATES = [
     ("mit", "released under the MIT License"),
     ("mit", "licensed under the MIT License"),
@@ -58,6 +58,46 @@ TEMPLATES = [
         "following conditions are met",
     ),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    (
+        "mit",
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software",
+    ),
+    (
+        "apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS "
+        "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License",
+    ),
+    (
+        "gpl",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details",
+    ),
+    ("lgpl", "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation"),
+    (
+        "bsd",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+    ),
+    (
+        "bsd",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer "
+        "in the documentation and/or other materials provided with the distribution",
+    ),
+    (
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
+        "that the above copyright notice and this permission notice appear in all copies",
+    ),
+    (
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software",
+    ),
+    ("unlicense", "This is free and unencumbered software released into the public domain"),
+    (
+        "cc0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work",
+    ),
 ]
 
 

@@ -422,6 +422,23 @@ def test_licence_phrases_and_labels(spark):
     assert licenses.scan_licenses(documents(spark, [])).collect() == []
 
 
+def test_templates_are_found_with_changes_and_not_in_part(spark):
+    rows, want = [], {}
+    for k, (label, text) in enumerate(licenses.TEMPLATES):
+        w = re.findall(r"[A-Za-z0-9]+", text)
+        changed = [*w]
+        if len(w) >= 15:  # one word in the middle is another
+            changed[len(w) // 2] = "otherwise"
+        for j, (t, found) in enumerate(((text, True), (" ".join(changed), True), (" ".join(w[: len(w) // 3]), False))):
+            rows.append((10 * k + j, f"{prose(k, 30)} {t} {prose(k + 50, 30)}"))
+            want[10 * k + j] = (label, found)
+    got = {g.doc_id: g for g in licenses.scan_licenses(documents(spark, rows)).collect()}
+    for i, (label, found) in want.items():
+        assert (label in [s.label for s in got[i].spans]) == found, rows[i % 10 + 3 * (i // 10)]
+        for s in got[i].spans:
+            assert s.cover >= 0.8 and 30 <= s.first_word < s.end_word <= got[i].n_words - 30
+
+
 def test_suffix_automaton_gives_matching_statistics():
     cfg = licenses.LicenseConfig(phrases={"a b": "x"}, templates=(("t", "a b c a b d"), ("u", "c a b a"), ("v", "b b a b c")))
     sa = licenses.SuffixAutomaton(cfg)
