@@ -334,3 +334,69 @@ def impact(nodes: DataFrame, edges: DataFrame, target: str, max_depth: int = 10)
             break
         seen = seen.unionByName(frontier)
     return seen.where("depth > 0")
+
+
+def impact_scope(affected: DataFrame, target_package: str) -> DataFrame:
+    """One row (symbols, packages, cross_module, scope) of affected entities (id, type, pkg).
+
+    Nothing affected is local; several packages or another package than the target's is module, and
+    repository from 5 packages or 20 symbols on; one package is package; else local.
+    """
+    symbol, package = F.col("type") == "symbol", F.col("type") == "package"
+    other = (F.col("pkg") != "") & F.lit(target_package != "") & (F.col("pkg") != target_package)
+    n = affected.agg(
+        F.countDistinct(F.when(symbol, F.col("id"))).alias("symbols"), F.countDistinct(F.when(package, F.col("id"))).alias("packages"),
+        F.coalesce(F.bool_or(other), F.lit(False)).alias("cross_module"), F.count("*").alias("_n"),
+    )
+    wide = (F.col("packages") > 1) | F.col("cross_module")
+    large = (F.col("packages") >= 5) | (F.col("symbols") >= 20)
+    scope = F.when(F.col("_n") == 0, "local").when(wide & large, "repository").when(wide, "module").when(F.col("packages") == 1, "package").otherwise("local")
+    return n.select("symbols", "packages", "cross_module", scope.alias("scope"))
+
+
+def on_cycles(edges: DataFrame) -> DataFrame:
+    """(id): nodes on a cycle of two edges or more.
+
+    Nodes without a way in or out are taken off until none is left; of the others, those that reach themselves are kept.
+    """
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    n = e.count()
+    while n:
+        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, n = n, e.count()
+        if n == before:
+            break
+    pairs = reached = e.select(F.col("src").alias("seed"), F.col("dst").alias("id"))
+    while True:
+        step = reached.join(e, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
+        reached = cut(step.join(pairs, ["seed", "id"], "left_anti"))
+        if reached.isEmpty():
+            return pairs.where("seed = id").select("id").distinct()
+        pairs = cut(pairs.unionByName(reached))
+
+
+def function_roles(functions: DataFrame, calls: DataFrame) -> DataFrame:
+    """(id, entry, leaf, recursion, reach) of functions (id) and whatever calls (src, dst) name.
+
+    Entries are main and init; leaves call nothing; recursion is direct, mutual or none; reach is
+    confirmed from an entry, unreachable without a caller if not exported or at the top, else
+    unknown; without any entry all is unknown.
+    """
+    c = cut(calls.select("src", "dst").distinct())
+    ids = functions.select("id").unionByName(c.select(F.col("src").alias("id"))).unionByName(c.select(F.col("dst").alias("id"))).distinct()
+    entry = F.col("id").endswith("main.main") | F.col("id").endswith(".init") | F.col("id").isin("main", "init")
+    ids = cut(ids.withColumn("entry", entry))
+    has = lambda end, name: c.select(F.col(end).alias("id")).distinct().withColumn(name, F.lit(True))
+    direct = c.where("src = dst").select(F.col("src").alias("id")).withColumn("_direct", F.lit(True))
+    mutual = on_cycles(c).withColumn("_mutual", F.lit(True))
+    starts = ids.where("entry").select(F.lit("all").alias("seed"), "id")
+    edges = c.select("src", "dst", F.lit("calls").alias("kind"), F.concat_ws("->", "src", "dst").alias("id"))
+    reached = _depths(edges, starts, "outbound", ()).select("id").withColumn("_reached", F.lit(True))
+    j = ids.join(has("src", "_out"), "id", "left").join(has("dst", "_in"), "id", "left").join(direct, "id", "left").join(mutual, "id", "left").join(reached, "id", "left")
+    exported = F.substring_index("id", ".", -1).rlike("^[A-Z]")
+    plain = ~exported | F.col("id").startswith("main.") | ~F.col("id").contains("/")
+    reach_ = F.when(F.lit(starts.isEmpty()), "unknown").when(F.col("_reached"), "confirmed").when(F.col("_in").isNull() & plain, "unreachable").otherwise("unknown")
+    return j.select(
+        "id", "entry", F.col("_out").isNull().alias("leaf"),
+        F.when(F.col("_mutual"), "mutual").when(F.col("_direct"), "direct").otherwise("none").alias("recursion"), reach_.alias("reach"),
+    )

@@ -100,3 +100,17 @@ def running_files(points: DataFrame, key: str) -> DataFrame:
 def inventory(uses: DataFrame, item: str, consumer: str, kind: str) -> DataFrame:
     """(item, consumers, uses, kinds) of each item used."""
     return uses.groupBy(item).agg(F.countDistinct(consumer).alias("consumers"), F.count("*").alias("uses"), F.countDistinct(kind).alias("kinds"))
+
+
+def evolution(commits: DataFrame, message: str = "message", most: int = 5) -> DataFrame:
+    """(ordinal, ts, added, removed, structural, note) of commits (ordinal, ts, added, removed, message): an expansion of the
+    structure is one of more than `most` files added or removed, and has its message as note."""
+    large = (F.col("added") > most) | (F.col("removed") > most)
+    return commits.select("ordinal", "ts", "added", "removed", large.alias("structural"), F.when(large, F.col(message)).alias("note"))
+
+
+def growth(commits: DataFrame, files: int, packages: int) -> DataFrame:
+    """One row (commits, file_rate, package_rate): what is there now for each commit; zero with fewer than two commits."""
+    n = F.count("*")
+    rate = lambda x: F.when(n > 1, F.lit(float(x)) / n).otherwise(0.0)
+    return commits.agg(n.alias("commits"), rate(files).alias("file_rate"), rate(packages).alias("package_rate"))

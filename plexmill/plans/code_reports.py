@@ -11,9 +11,11 @@ from ..operators import audit as A
 from ..operators import graph as G
 from ..operators import model as M
 from ..operators import navigate as N
+from ..operators import ranking as K
 from ..operators import report as P
 from ..sources import golang as GO
 from ..sources import scan as S
+from ..streaming import events as E
 
 from .code import CALLS, PATHS, REFS, SYMBOLS, Code
 from .code_queries import _FILE_DEPS, _IMPLEMENTS, _UNUSED, _implements
@@ -315,3 +317,67 @@ def tree_owners(t: Tables) -> DataFrame:
 def tree_below(t: Tables) -> DataFrame:
     nodes, edges = _tree(t)
     return G.traverse(nodes, edges, "p1", "inbound", 9)[0].select("id", "depth")
+
+
+# Roles of functions, scope of a change, audit events, evolution
+
+
+@query(
+    f"""WITH RECURSIVE {CALLS}, fn AS (SELECT id FROM symbols WHERE kind IN ('function', 'method') UNION SELECT src FROM calls UNION SELECT dst FROM calls), en AS (SELECT id FROM fn WHERE n_is_init(id)),
+ rc(id) AS (SELECT id FROM en UNION SELECT dst FROM rc JOIN calls ON src = id), t AS (SELECT src, dst FROM calls WHERE src <> dst AND src IN (SELECT dst FROM calls) AND dst IN (SELECT src FROM calls)),
+ pr(seed, id) AS (SELECT src, dst FROM t UNION SELECT seed, dst FROM pr JOIN t ON src = id)
+ SELECT id, n_is_init(id) AS entry, id NOT IN (SELECT src FROM calls) AS leaf, CASE WHEN id IN (SELECT id FROM pr WHERE seed = id) THEN 'mutual' WHEN id IN (SELECT src FROM calls WHERE src = dst) THEN 'direct' ELSE 'none' END AS recursion,
+ CASE WHEN NOT EXISTS (SELECT 1 FROM en) THEN 'unknown' WHEN id IN (SELECT id FROM rc) THEN 'confirmed' WHEN id NOT IN (SELECT dst FROM calls) AND (NOT regexp_matches(regexp_extract(id, '([^.]*)$', 1), '^[A-Z]') OR starts_with(id, 'main.') OR NOT contains(id, '/')) THEN 'unreachable' ELSE 'unknown' END AS reach FROM fn""".replace(
+        "n_is_init(id)", "(ends_with(id, '.init') OR ends_with(id, 'main.main') OR id IN ('main', 'init'))"
+    )
+)
+def function_roles(t: Tables) -> DataFrame:
+    """Of calls and their callers; no symbol of the tables is named init alone, so nothing is confirmed."""
+    c = Code(t)
+    return G.function_roles(c.symbols().where("kind in ('function', 'method')"), c.calls())
+
+
+@query("WITH x AS (SELECT count(DISTINCT p_name) FILTER (p_size % 2 = 0) AS symbols, count(DISTINCT p_brand) FILTER (p_size % 2 = 1) AS packages FROM part WHERE p_partkey < 60) SELECT symbols, packages, TRUE AS cross_module, CASE WHEN packages >= 5 OR symbols >= 20 THEN 'repository' ELSE 'module' END AS scope FROM x")
+def impact_scope(t: Tables) -> DataFrame:
+    """A change that touches the first sixty parts: even ones as symbols by name, odd ones as packages by brand."""
+    even = F.col("p_size") % 2 == 0
+    touched = t.part.where("p_partkey < 60").select(F.when(even, F.col("p_name")).otherwise(F.col("p_brand")).alias("id"), F.when(even, "symbol").otherwise("package").alias("type"), F.col("p_brand").alias("pkg"))
+    return G.impact_scope(touched, "elsewhere")
+
+
+@query(
+    """SELECT event_id, sha256(event_id || ':' || strftime(ts, '%Y-%m-%dT%H:%M:%S') || CASE WHEN microsecond(ts) % 1000000 = 0 THEN '' ELSE '.' || rtrim(lpad((microsecond(ts) % 1000000)::VARCHAR, 6, '0'), '0') END || 'Z:org:' || user_id || ':user:' || event_type || ':' || props || '::1.0.0:prod:allow:ok::' || (event_id % 7) || ':p' || event_id) AS hash FROM events"""
+)
+def audit_hashes(t: Tables) -> DataFrame:
+    c, v = F.col, F.lit
+    e = t.events.select(
+        "event_id", c("event_id").alias("sequence"), c("ts").alias("timestamp"), v("org").alias("organization_id"), c("user_id").alias("actor_id"), v("user").alias("actor_type"), c("event_type").alias("action"),
+        c("props").alias("target"), v(None).cast("string").alias("plugin_id"), v("1.0.0").alias("version"), v("prod").alias("deployment_target"), v("allow").alias("policy_result"), v("ok").alias("outcome"),
+        v("").alias("reason"), (c("event_id") % 7).alias("correlation_id"),
+    )
+    return e.select("event_id", E.audit_hash(F.concat(v("p"), "event_id")).alias("hash"))
+
+
+@query("SELECT o_custkey AS ordinal, count(*) FILTER (o_orderstatus = 'O') AS added, count(*) FILTER (o_orderstatus = 'F') AS removed, (count(*) FILTER (o_orderstatus = 'O') > 5 OR count(*) FILTER (o_orderstatus = 'F') > 5) AS structural, CASE WHEN count(*) FILTER (o_orderstatus = 'O') > 5 OR count(*) FILTER (o_orderstatus = 'F') > 5 THEN max(o_orderpriority) END AS note FROM orders GROUP BY 1")
+def evolution_points(t: Tables) -> DataFrame:
+    """Each customer's orders as a commit."""
+    commits = t.orders.groupBy(F.col("o_custkey").alias("ordinal")).agg(
+        F.min("o_orderdate").alias("ts"), F.count_if(F.col("o_orderstatus") == "O").alias("added"), F.count_if(F.col("o_orderstatus") == "F").alias("removed"), F.max("o_orderpriority").alias("message")
+    )
+    return K.evolution(commits).drop("ts")
+
+
+@query("SELECT count(*) AS commits, 300.0::DOUBLE / count(*) AS file_rate, 12.0::DOUBLE / count(*) AS package_rate FROM orders")
+def growth_rates(t: Tables) -> DataFrame:
+    return K.growth(t.orders, 300, 12)
+
+
+@query(
+    """WITH r AS (SELECT *, count(*) FILTER (event_type = 'error') OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+ SELECT event_id, CASE WHEN max(CASE WHEN c >= 30 OR (event_type = 'purchase' AND value > 95) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 THEN 'quarantine' WHEN event_type = 'signup' THEN 'warn' ELSE 'none' END AS action FROM r"""
+)
+def rejected_actions(t: Tables) -> DataFrame:
+    """A rejected verification quarantines as an escape does."""
+    kind = F.col("event_type")
+    got = E.recovery_states(t.events, "user_id", kind == "error", F.lit(False), kind == "signup", F.lit(False), 30, 5, (kind == "purchase") & (F.col("value") > 95))
+    return got.select("event_id", "action")

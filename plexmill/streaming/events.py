@@ -52,12 +52,13 @@ def recent(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(F.desc("ts"), F.desc("event_id")).limit(n)
 
 
-def recovery_states(events: DataFrame, key: str, crash: Column, violation: Column, denied: Column, escape: Column, crashes: int = 3, violations: int = 5) -> DataFrame:
+def recovery_states(events: DataFrame, key: str, crash: Column, violation: Column, denied: Column, escape: Column, crashes: int = 3, violations: int = 5, rejected: Column | None = None) -> DataFrame:
     """Each event with the action it leads to (batch).
 
-    An escape, or enough crashes, quarantines for good; enough violations suspend;
-    a denial warns.
+    An escape, a rejected verification, or enough crashes, quarantines for good; enough
+    violations suspend; a denial warns.
     """
+    escape = escape if rejected is None else escape | rejected
     w = Window.partitionBy(key).orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     run = events.withColumn("_c", F.count_if(crash).over(w)).withColumn("_v", F.count_if(violation).over(w))
     run = run.withColumn("_q", F.max(F.when(escape | (F.col("_c") >= crashes), 1).otherwise(0)).over(w))
@@ -95,6 +96,25 @@ def discrepancy(desired: Column, actual: Column) -> Column:
     )
 
 
+#: The fields of an audit event, in the order they are hashed; the hash before comes last.
+AUDIT_FIELDS = [
+    "sequence", "timestamp", "organization_id", "actor_id", "actor_type", "action", "target", "plugin_id", "version", "deployment_target",
+    "policy_result", "outcome", "reason", "correlation_id",
+]
+
+
+def instant(ts: Column) -> Column:
+    """A UTC instant as text: seconds, and as many decimals as it takes, without zeros at their end."""
+    decimals = F.rtrim(F.date_format(ts, "SSSSSS"), F.lit("0"))
+    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.when(decimals != "", F.concat(F.lit("."), decimals)).otherwise(""), F.lit("Z"))
+
+
+def audit_hash(previous: Column, ts: str = "timestamp") -> Column:
+    """SHA-256 of an audit event's fields and the hash before it; missing texts are empty."""
+    text = lambda f: instant(F.col(ts)) if f == "timestamp" else F.coalesce(F.col(f).cast("string"), F.lit(""))
+    return F.sha2(F.concat_ws(":", *map(text, AUDIT_FIELDS), previous), 256)
+
+
 def event_hash(previous: Column, fields: list[str]) -> Column:
     return F.sha2(F.concat_ws(":", previous, *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256)
 
