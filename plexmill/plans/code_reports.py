@@ -14,6 +14,7 @@ from ..operators import navigate as N
 from ..operators import ranking as K
 from ..operators import report as P
 from ..sources import golang as GO
+from ..sources import repository as RP
 from ..sources import scan as S
 from ..streaming import events as E
 
@@ -381,3 +382,15 @@ def rejected_actions(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     got = E.recovery_states(t.events, "user_id", kind == "error", F.lit(False), kind == "signup", F.lit(False), 30, 5, (kind == "purchase") & (F.col("value") > 95))
     return got.select("event_id", "action")
+
+
+@query(
+    """WITH m AS (SELECT p_size % 3 AS folder_order, 'd/' || p_partkey || '/plugin.json' AS path, CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE 'plug' || (p_partkey % 90) END AS id, CASE WHEN p_partkey % 10 <> 0 THEN p_name END AS name, CASE WHEN p_partkey % 10 <> 0 THEN '1.' || p_size END AS version FROM part)
+ SELECT id, name, version, path, CASE WHEN id IS NULL THEN 'invalid' WHEN row_number() OVER (PARTITION BY id ORDER BY folder_order, path) = 1 THEN 'found' ELSE 'duplicate' END AS state FROM m"""
+)
+def plugin_manifests(t: Tables) -> DataFrame:
+    """Manifests of ninety plugins in three folders; every tenth isn't JSON."""
+    n = F.col("p_partkey")
+    text = F.to_json(F.struct(F.concat(F.lit("plug"), n % 90).alias("id"), F.col("p_name").alias("name"), F.concat(F.lit("1."), "p_size").alias("version")))
+    files = t.part.select((F.col("p_size") % 3).alias("folder_order"), F.concat(F.lit("d/"), n, F.lit("/plugin.json")).alias("path"), F.when(n % 10 == 0, "{no json").otherwise(text).alias("content"))
+    return RP.manifests(files)
