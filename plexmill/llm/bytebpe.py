@@ -307,6 +307,12 @@ def _encoded(path: str, pattern: str, cfg: BpeConfig):
     return run
 
 
+def _binary(cuts: np.ndarray, parts: list[bytes]) -> pa.Array:
+    """The bytes of `parts`, end to end, as one value from each cut to the next."""
+    offsets = pa.py_buffer(cuts.astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, pa.py_buffer(b"".join(parts))])
+
+
 #: Pre-tokens that are put together at once.
 _STEP = 1 << 16
 
@@ -365,13 +371,12 @@ def _assembled(path: str):
             # Ends of the documents, in tokens and in bytes.
             stops = np.append(0, np.cumsum(counts[lo:hi]))
             cut, byte_cut = np.concatenate(cut)[stops], np.concatenate(byte_cut)[stops]
-            whole = [memoryview(b"".join(x)) for x in (numbers, texts)]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names[lo:hi], pa.int64()),
                     pa.array(np.diff(cut)),
-                    pa.array([whole[0][4 * s : 4 * e] for s, e in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)], pa.binary()),
-                    pa.array([whole[1][s:e] for s, e in zip(byte_cut[:-1].tolist(), byte_cut[1:].tolist(), strict=True)], pa.binary()),
+                    _binary(4 * cut, numbers),
+                    _binary(byte_cut, texts),
                 ],
                 ["doc_id", "n_tokens", "ids", "decoded"],
             )
