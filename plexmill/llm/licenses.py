@@ -359,7 +359,8 @@ def scan_licenses(docs: DataFrame, cfg: LicenseConfig = LicenseConfig(), id_col:
     least with a base phrase.  Defined cases: a null or empty text has no words and no
     labels (empty strings), null first_word and last_word and score 0; a null doc_id stays
     null; repeated rows are returned as often as they occur; an empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored; a long text is held whole, with some 40 bytes for
+    each of its words, by the task that reads it.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(cfg))  # as large as the templates

@@ -161,7 +161,8 @@ def pack(docs: DataFrame, vocabulary: str, cfg: PackConfig = PackConfig(), id_co
     `cfg.end_id`.  Each id lies in one piece; each window is full.  Defined cases:
     a null or empty text has only the end id; a null doc_id stays null; rows that
     repeat a doc_id are packed as often as they occur, each with starts of its own;
-    an empty table gives no piece; other columns are ignored.
+    an empty table gives no piece; other columns are ignored; a long text is read in
+    pieces, its ids wait in the task that packs them.
     """
 
     bound_batches(docs.sparkSession)

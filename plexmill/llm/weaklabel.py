@@ -178,7 +178,8 @@ def classify(docs: DataFrame, cfg: WeakLabelConfig = WeakLabelConfig()) -> DataF
     documents; the scorer learns from a bounded sample.  Defined cases: a null or empty
     text has its votes as an empty one and the scorer's bias as score; a null doc_id stays
     null; repeated rows are returned as often as they occur; an empty table gives an empty
-    result; other columns are ignored.
+    result; other columns are ignored; a long text is held whole, with some 30 bytes for each
+    of its words, by the task that reads it.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
