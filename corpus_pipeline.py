@@ -14,10 +14,12 @@ from plexmill.llm.storage import Workspace
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score 0.7 or more go; see `toxicity.drop_toxic` for nulls, long texts and repeated rows."""
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that fail a rule go; see `quality.keep_good` for nulls, long texts and repeated rows."""
     return quality.keep_good(docs)
 
 
@@ -27,6 +29,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of full windows; a null or empty text has its end id alone, a null doc_id stays null, rows that repeat
+    are packed as often as they occur, an empty table gives no piece, other columns are left out."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
