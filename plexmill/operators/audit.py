@@ -258,7 +258,7 @@ def _upward(calls: DataFrame, direct: DataFrame) -> DataFrame:
         if front.isEmpty():
             return reduce(DataFrame.unionByName, found, direct.limit(0))
         found.append(front)
-        seen = G.cut(seen.unionByName(front))
+        seen = G.cut(seen.unionByName(front)) if len(found) % 16 == 0 else seen.unionByName(front)
 
 
 def impact_by(impact: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
