@@ -540,7 +540,10 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
     terms, roots = (np.unique(np.array([r[c] for r in picked], np.int64).view(np.uint64)) for c in ("term", "root"))
     rows = sample.mapInArrow(_example_rows(cfg), "doc_id long, toxic int, terms binary, counts binary, words long").toArrow()
     work.drop(counted)
-    return Examples(terms, roots, ExampleRows.read(rows), cfg)
+    made = Examples(terms, roots, ExampleRows.read(rows), cfg)
+    del rows
+    pa.default_memory_pool().release_unused()
+    return made
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig(), carry: tuple[str, ...] = ()) -> DataFrame:
