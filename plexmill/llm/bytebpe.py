@@ -403,7 +403,7 @@ def encode_and_decode(
         rows = Workspace(docs.sparkSession, "bpe").save(rows, "texts")
     buckets = min(cfg.most_buckets, max(8, cfg.buckets_per_partition * rows.rdd.getNumPartitions()))
     blocks = lambda kind: rows.mapInArrow(_exploded(pattern, cfg, buckets, kind), _SCHEMA)
-    words = blocks("words").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    words = blocks("words").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     ids = words.mapInArrow(_encoded(rank_file, pattern, cfg), _SCHEMA)
     codes = blocks("codes")
     both = codes.unionByName(ids).select("block", "bucket", "payload").repartition("block").sortWithinPartitions("block", "bucket")
