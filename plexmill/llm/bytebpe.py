@@ -401,12 +401,16 @@ def encode_and_decode(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     if not rereadable(rows):
         rows = Workspace(docs.sparkSession, "bpe").save(rows, "texts")
-    buckets = min(cfg.most_buckets, max(8, cfg.buckets_per_partition * rows.rdd.getNumPartitions()))
+    partitions = max(1, rows.rdd.getNumPartitions())
+    buckets = min(cfg.most_buckets, max(8, cfg.buckets_per_partition * partitions))
     blocks = lambda kind: rows.mapInArrow(_exploded(pattern, cfg, buckets, kind), _SCHEMA)
     words = blocks("words").repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket")
     ids = words.mapInArrow(_encoded(rank_file, pattern, cfg), _SCHEMA)
     codes = blocks("codes")
-    both = codes.unionByName(ids).select("block", "bucket", "payload").repartition("block").sortWithinPartitions("block", "bucket")
+    # Blocks are put together by the input's partitions, so no task gets more than a partition's share.  Positions stand
+    # first in the union: their tasks have the numbers of the input's partitions, as those of the words had.
+    both = codes.unionByName(ids).select("block", "bucket", "payload")
+    both = both.repartitionById(partitions, F.shiftright("block", 32).cast("int")).sortWithinPartitions("block", "bucket")
     return both.mapInArrow(_assembled(rank_file), "doc_id long, n_tokens long, ids binary, decoded binary")
 
 
