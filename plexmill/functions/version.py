@@ -79,6 +79,14 @@ def render(v: Column) -> Column:
     return F.when(v["prerelease"] != "", F.concat(core, F.lit("-"), v["prerelease"])).otherwise(core)
 
 
+def render_loose(v: Column) -> Column:
+    """A loose version as text, prerelease and build included; one that isn't valid as it was given."""
+    text = F.concat_ws(".", v["major"], v["minor"], v["patch"])
+    text = F.concat(text, F.when(v["prerelease"] != "", F.concat(F.lit("-"), v["prerelease"])).otherwise(""))
+    text = F.concat(text, F.when(v["build"] != "", F.concat(F.lit("+"), v["build"])).otherwise(""))
+    return F.when(v["is_valid"], text).otherwise(v["raw"])
+
+
 def satisfies(constraint: Column, version: Column) -> Column:
     """All comma-separated clauses hold; "", * and latest hold for any version.
 

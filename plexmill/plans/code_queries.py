@@ -549,6 +549,11 @@ def loose_versions(t: Tables) -> DataFrame:
     return t.part.select(F.col("p_partkey").alias("id"), v.alias("v")).select("id", "v.*")
 
 
+@query(f"WITH k AS ({_LOOSE_SQL}) SELECT p_partkey AS id, CASE WHEN is_valid THEN major || '.' || minor || '.' || patch || CASE WHEN prerelease <> '' THEN '-' || prerelease ELSE '' END || CASE WHEN build <> '' THEN '+' || build ELSE '' END ELSE raw END AS version FROM part JOIN k ON k = p_partkey % 10")
+def rendered_versions(t: Tables) -> DataFrame:
+    return t.part.select(F.col("p_partkey").alias("id"), V.render_loose(V.parse_loose(S_._at(_LOOSE, F.col("p_partkey") % 10))).alias("version"))
+
+
 @query(
     """WITH v AS (SELECT p_partkey AS id, p_size % 2 AS a, p_partkey % 3 AS b, p_partkey % 4 AS c FROM part), w AS (SELECT *, (a = 0 AND b = 2 AND c >= 1 OR a = 1) AS ge FROM v)
  SELECT id, CASE WHEN a <> 0 THEN 'major' WHEN b <> 2 THEN 'minor' WHEN c <> 1 THEN 'patch' ELSE 'none' END AS difference, CASE WHEN a = 0 THEN b = 2 AND c >= 1 ELSE FALSE END AS compatible, a || '.' || b || '.' || c AS rendered,
