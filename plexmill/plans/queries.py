@@ -649,3 +649,27 @@ def export_mermaid(t: Tables) -> DataFrame:
 @query(f"""WITH {CALLS} SELECT '    <edge source="' || src || '" target="' || dst || '"><data key="kind">calls</data></edge>' AS line FROM e UNION ALL SELECT '    <node id="nation:' || n_nationkey || '"><data key="name">' || n_name || '</data></node>' FROM nation""")
 def export_graphml(t: Tables) -> DataFrame:
     return O.graphml_lines(t.nations(), t.calls()).select("line")
+
+
+@query(
+    f"""WITH {CALLS}, n AS (SELECT 'nation:' || n_nationkey AS id, n_name AS name, row_number() OVER (ORDER BY 'nation:' || n_nationkey) - 1 AS i FROM nation), p AS (SELECT id, name, 60 + i % 4 * 240 AS x, 80 + i // 4 * 130 AS y FROM n)
+ SELECT '<rect x="' || x || '" y="' || y || '" width="180" height="50" class="node"/><text x="' || (x + 90) || '" y="' || (y + 30) || '">' || name || '</text>' AS line FROM p
+ UNION ALL SELECT '<line x1="' || (a.x + 90) || '" y1="' || (a.y + 50) || '" x2="' || (b.x + 90) || '" y2="' || b.y || '" class="edge"/>' FROM e JOIN p a ON a.id = e.src JOIN p b ON b.id = e.dst"""
+)
+def export_svg(t: Tables) -> DataFrame:
+    """A drawing of all 25 nations; a sample has 50 nodes and 100 edges at most."""
+    return O.svg_lines(t.nations(), t.calls()).select("line")
+
+
+@query("""SELECT '- id: "' || p_partkey || '"' || chr(10) || '  name: "' || p_name || chr(92) || '"' || p_type || '"' || chr(10) || '  size: ' || CASE WHEN p_size > 40 THEN 'null' ELSE '"' || p_size || '"' END AS yaml, '[[part]]' || chr(10) || 'id = "' || p_partkey || '"' || chr(10) || 'name = "' || p_name || chr(92) || '"' || p_type || '"' || CASE WHEN p_size > 40 THEN '' ELSE chr(10) || 'size = "' || p_size || '"' END AS toml FROM part""")
+def export_items(t: Tables) -> DataFrame:
+    """Rows with a quote in a value and nulls, as YAML and TOML."""
+    d = t.part.select(F.col("p_partkey").alias("id"), F.concat("p_name", F.lit('"'), "p_type").alias("name"), F.when(F.col("p_size") <= 40, F.col("p_size")).alias("size"))
+    yaml, toml = O.yaml_items(d), O.toml_items(d, "part")
+    key = lambda df, form: F.regexp_extract("item", form, 1)
+    return yaml.select(key(yaml, '- id: "(\\d+)"').alias("k"), F.col("item").alias("yaml")).join(toml.select(key(toml, '\\nid = "(\\d+)"').alias("k"), F.col("item").alias("toml")), "k").drop("k")
+
+
+@query("WITH w AS (SELECT greatest(max(length(n_name)), 6) AS a, greatest(max(length(n_nationkey::VARCHAR)), 5) AS b FROM nation) SELECT rtrim(rpad('NAME', (a + 3)::INT, ' ') || rpad('KEY', (b + 3)::INT, ' ')) AS line FROM w UNION ALL SELECT rtrim(rpad('------', (a + 3)::INT, ' ') || rpad('-----', (b + 3)::INT, ' ')) FROM w UNION ALL SELECT rtrim(rpad(n_name, (a + 3)::INT, ' ') || rpad(n_nationkey::VARCHAR, (b + 3)::INT, ' ')) FROM nation, w")
+def export_table(t: Tables) -> DataFrame:
+    return O.table_lines(t.nation.select(F.col("n_name").alias("name"), F.col("n_nationkey").alias("key"))).select("line")
