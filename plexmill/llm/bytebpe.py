@@ -247,10 +247,11 @@ def _exploded(pattern: str, cfg: BpeConfig, buckets: int, kind: str):
                 begun = more
                 held += len(raw)
                 if held >= cfg.block_mb << 20 and not more:
-                    yield _rows(block_rows(parts, block))
+                    if rows := block_rows(parts, block):  # none of a block without pre-tokens
+                        yield _rows(rows)
                     parts, held, block = [], 0, block + 1
-        if parts:
-            yield _rows(block_rows(parts, block))
+        if parts and (rows := block_rows(parts, block)):
+            yield _rows(rows)
 
     return run
 

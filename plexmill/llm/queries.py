@@ -86,10 +86,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base phrases and covered licence templates."""
+    """Base phrases, covered licence templates and their spans."""
     from .licenses import scan_licenses
 
-    return scan_licenses(_read(spark, sf_dir, "documents")).drop("spans")
+    return scan_licenses(_read(spark, sf_dir, "documents"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
-`spark.checkpoint.dir` names that folder on a cluster.  Where it is unset (tests,
-a laptop) one is made: under the warehouse on a cluster, else in a temp folder.
+`spark.checkpoint.dir` names that folder.  Where it is unset a temp folder is made on a
+local master (tests, a laptop); on a cluster that is an error, as nobody else sees a folder
+of the driver's machine.
 A table written here survives the loss of any executor and cuts the lineage.
 """
 
@@ -22,11 +23,11 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get(KEY, None) or spark.sparkContext.getConf().get(KEY)
     if found:
         return found
-    if spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
-        found = tempfile.mkdtemp(prefix="plexmill-")
-        atexit.register(shutil.rmtree, found, ignore_errors=True)
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_plexmill"
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError(f"set {KEY} to a folder that driver and executors share")
+    found = tempfile.mkdtemp(prefix="plexmill-")
+    atexit.register(shutil.rmtree, found, ignore_errors=True)
     spark.conf.set(KEY, found)
     return found
 
