@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -92,6 +94,28 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_read(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods and more in texts of which a tenth are made periodic."""
+    from .periodic import digest, periodic_runs, planted
+
+    docs = _read(spark, sf_dir, "documents")
+    return digest(periodic_runs(docs.withColumn("text", planted(docs["doc_id"], docs["text"]))))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of eight parts by codebooks of sixteen entries after six rounds."""
+    from .vector_codes import compress, digest
+
+    return digest(compress(_read(spark, sf_dir, "embeddings")))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules, and host reputations where no rule fits."""
+    from .urls import judge_urls
+
+    return judge_urls(_read(spark, sf_dir, "pages")).drop("rate", "low")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -112,8 +136,15 @@ QUERIES: dict[str, Query] = {
         op8_quality_classifier,
         op9_embedding_dedup,
         op10_license_scan,
+        op11_periodic_runs,
+        op12_vector_codes,
+        op13_url_filters,
         pipeline,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op11_periodic_runs": sql.periodic_runs(),
+    "op12_vector_codes": sql.vector_codes(),
+    "op13_url_filters": sql.url_filters(),
+}

@@ -28,7 +28,7 @@ def test_stages_act_and_keep_the_columns(spark):
 
 def test_every_operator_has_one_query():
     names = [n.split("_")[0] for n in queries.QUERIES if n != "pipeline"]
-    assert names == [f"op{k}" for k in range(1, 11)]
+    assert names == [f"op{k}" for k in range(1, 14)]
 
 
 def test_stages_agree_with_plain_versions(spark):
