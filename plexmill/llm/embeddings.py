@@ -205,8 +205,10 @@ def near_duplicates(
     finds all).  Defined cases: a vector that is null, empty, zero or holds a
     null or non-finite component, and a row with a null label or vec_id, links with
     nothing; vectors of different lengths aren't linked; rows that repeat a vec_id count
-    as vectors of their own; a null vec_id has a null component_id and is kept; an empty
-    table gives an empty result; other columns are ignored.
+    as vectors of their own; equal vectors of one label are linked with each other, and of
+    rows that tie for the smallest vec_id each is kept; a null vec_id has a null component_id
+    and is kept; an empty table gives an empty result; other columns, whatever their names,
+    are ignored.
     """
     spark = vectors.sparkSession
     work = Workspace(spark, "embeddings")

@@ -16,9 +16,10 @@ query adds up these bounds, takes blocks from the highest bound down and stops w
 no further block can hold a nearer example.
 
 Neighbours vote with weights that fall with distance; a prior keeps few and far ones
-from certainty.  The vote by telling terms is the prior of the vote by whole texts,
-which may raise the score but not lower it: a few toxic words in a text that is
-otherwise like clean ones stay toxic.
+from certainty.  The vote by telling terms is the prior of the vote by whole texts, which
+moves it both ways.  It lowers a score by the votes of those neighbours only that hold all
+telling terms of the text: to be like a clean text but for a few toxic words is no sign of
+being clean.
 """
 
 from __future__ import annotations
@@ -38,7 +39,8 @@ from .storage import Workspace
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    sample: int = 6_000  # labelled rows that are learnt from, the first by a hash of their id
+    sample: int = 6_000  # labelled texts that are learnt from, the first by a hash of id and text
+    sample_mb: int = 48  # of their texts together; a text that would exceed it is passed over
     prefixes: tuple[int, ...] = (4, 5)
     levels: tuple[int, ...] = (2, 3, 5)
     lean: float = 2.0  # times the share of toxic rows that a telling term has
@@ -315,6 +317,7 @@ class WholeTextIndex:
                 own[0] += 1
                 own[1] += int(rows.toxic[i])
         self.rows, self.toxic = (np.array([x[k] for x in merged.values()], float) for k in (0, 1))
+        self.first = first
         self.doc = rows.doc[first]
         size = np.diff(rows.cut)[first]
         where = np.repeat(np.arange(len(size), dtype=np.int32), size)
@@ -412,7 +415,7 @@ class WholeTextIndex:
             order = np.lexsort((at, -cosine))[: self.cfg.neighbours]
             yield cosine[order], at[order]
 
-    def raised(self, prior: float, cosine: np.ndarray, at: np.ndarray) -> tuple[float, list[int]]:
+    def voted(self, prior: float, cosine: np.ndarray, at: np.ndarray) -> tuple[float, list[int]]:
         """The vote of the nearest examples with a prior, and the ids of the three nearest."""
         vote = cosine**self.cfg.sharpness / (np.maximum(0, 1 - cosine) + self.cfg.softness)
         m = self.cfg.prior_votes
@@ -442,6 +445,16 @@ class Examples:
             part.append((doc, toxic, at.astype("<i4").tobytes()))
         self.telling = BlockMaxIndex(len(telling), part, cfg)
         self.whole = WholeTextIndex(rows, cfg)
+        held = [np.frombuffer(part[i][2], "<i4") for i in self.whole.first]
+        self.held_cut = np.cumsum([0, *map(len, held)])
+        self.held = np.concatenate([*held, np.zeros(0, "<i4")])
+
+    def _holding(self, telling: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the examples `at` hold all of some telling terms."""
+        size = self.held_cut[at + 1] - self.held_cut[at]
+        spans = [self.held[lo:hi] for lo, hi in zip(self.held_cut[at].tolist(), self.held_cut[at + 1].tolist(), strict=True)]
+        common = np.isin(np.concatenate(spans), telling)
+        return np.bincount(np.repeat(np.arange(len(at)), size), common, len(at)) == len(telling)
 
     def _telling(self, owner: np.ndarray, h: np.ndarray, count: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(owner, number) of the telling terms of texts, by owner and number."""
@@ -471,9 +484,13 @@ class Examples:
             for i, (cosine, at) in zip(range(lo, hi), near, strict=True):
                 score, evidence = self.telling.score(telling[own_cut[i] : own_cut[i + 1]].tobytes())
                 if len(at):
-                    voted, nearest = self.whole.raised(score, cosine, at)
-                    if voted > score or not evidence:
-                        score, evidence = max(score, voted), nearest
+                    voted, nearest = self.whole.voted(score, cosine, at)
+                    if voted < score:
+                        own = self._holding(telling[own_cut[i] : own_cut[i + 1]], at)
+                        lower, nearer = self.whole.voted(score, cosine[own], at[own]) if own.any() else (score, nearest)
+                        voted, nearest = (lower, nearer) if lower < score else (score, nearest)
+                    if voted != score or not evidence:
+                        score, evidence = voted, nearest
                 yield score, evidence
 
 
@@ -515,9 +532,20 @@ def fit(docs: DataFrame, labels: DataFrame, cfg: ToxicityConfig = ToxicityConfig
         .limit(cfg.sample)
     )
     known = work.save(known, "labels")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # At most `sample` rows of two numbers: bounded, so it may be broadcast.
-    sample = work.save(texts.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text"), "sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    # At most `sample` rows of two numbers: bounded, so it may be broadcast.  An id may stand in any number of rows, with
+    # other texts: rows are told apart by 128 bits of the text, counted once, and the first `sample` of all are taken.
+    labelled = texts.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text", *(F.xxhash64(F.lit(k), "text").alias(f"h{k}") for k in (1, 2)))
+    key = ["doc_id", "toxic", "h1", "h2"]
+    sizes = labelled.groupBy(*key).agg(F.first(F.octet_length("text")).alias("size")).orderBy(F.xxhash64("doc_id", "h1"), *key).limit(cfg.sample)
+    taken, room = [], cfg.sample_mb << 20
+    for r in sizes.collect():  # `sample` rows of numbers
+        if r["size"] <= room:
+            room -= r["size"]
+            taken.append((*(r[c] for c in key),))
+    taken = docs.sparkSession.createDataFrame(taken, "doc_id long, toxic int, h1 long, h2 long")
+    sample = labelled.join(F.broadcast(taken), key).groupBy(*key).agg(F.first("text").alias("text"))
+    sample = work.save(sample.select("doc_id", "toxic", "text"), "sample")
     n, bad = sample.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not n or not bad or bad == n:
         none = np.zeros(0, np.uint64)

@@ -135,6 +135,19 @@ def test_embeddings_agree_with_all_pairs(spark, cells):
     assert sorted(((g.vec_id, g.n_links, g.component_id) for g in got), key=key) == sorted(want, key=key)
 
 
+def test_embeddings_beside_columns_of_the_same_names(spark):
+    """Columns named like those inside don't matter; rows that tie for the smallest id are all kept."""
+    names = ["node", "cell", "copies", "kept", "visit", "n_links", "component_id", "vector", "dim", "links"]
+    rows = vectors()
+    plain = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    clashing = spark.createDataFrame([(*r, *["x"] * len(names)) for r in rows], "vec_id long, embedding array<float>, label int, " + ", ".join(f"{n} string" for n in names))
+    cfg = embeddings.CosineConfig(cell_rows=40, block=32)
+    got, want = (sorted(map(repr, embeddings.near_duplicates(df, cfg).collect())) for df in (clashing, plain))
+    assert got == want
+    ties = spark.createDataFrame([(1, [1.0, 2.0], 0), (1, [1.0, 2.0], 0), (2, [2.0, 4.0], 0)], "vec_id long, embedding array<float>, label int")
+    assert sorted((g.vec_id, g.n_links, g.component_id, g.kept) for g in embeddings.near_duplicates(ties).collect()) == [(1, 2, 1, True), (1, 2, 1, True), (2, 2, 1, False)]
+
+
 def test_embeddings_of_an_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert embeddings.near_duplicates(df).collect() == []

@@ -1,4 +1,5 @@
 import collections
+import random
 import re
 import zlib
 
@@ -361,10 +362,14 @@ def plain_toxicity(examples, queries, cfg):
             near = sorted((sum(idf[x] ** 2 for x in v & k) / norm(v) / norm(k), m) for k, m in merged.items() if v & k)[-cfg.neighbours :]
             up = sum(c**cfg.sharpness * m[1] for c, m in near) + cfg.prior_votes * (bad + everyone) / (n + 1)
             prior = up / (sum(c**cfg.sharpness * m[0] for c, m in near) + cfg.prior_votes)
-        votes = sorted((c, distinct[k]) for c, k in zip(cos, known, strict=True) if c >= cfg.near)[-cfg.neighbours :]
-        weight = [(c**cfg.sharpness / (max(0, 1 - c) + cfg.softness), m) for c, m in votes]
-        voted = (sum(w * m[1] for w, m in weight) + cfg.prior_votes * prior) / (sum(w * m[0] for w, m in weight) + cfg.prior_votes) if votes else prior
-        scores.append(max(prior, voted))
+        votes = sorted((c, distinct[k], v <= own[f]) for c, k, f in zip(cos, known, first, strict=True) if c >= cfg.near)[-cfg.neighbours :]
+
+        def vote(votes, prior=prior):
+            weight = [(c**cfg.sharpness / (max(0, 1 - c) + cfg.softness), m) for c, m, _ in votes]
+            return (sum(w * m[1] for w, m in weight) + cfg.prior_votes * prior) / (sum(w * m[0] for w, m in weight) + cfg.prior_votes)
+
+        voted = vote(votes)
+        scores.append(voted if voted >= prior else min(prior, vote([x for x in votes if x[2]])))
     return scores
 
 
@@ -381,6 +386,48 @@ def test_scores_agree_with_a_plain_version(spark):
     assert max(want) > 0.9 and min(want) < 0.1
 
 
+def test_a_text_like_a_clean_one_is_lowered_unless_it_has_more_telling_terms(spark):
+    rows, labels = toxic_fixture(spark)
+    word = next(w for w in rows[next(k for k, (_, y) in enumerate(labels) if y)][1].split()[::-1])
+    clean = prose(7000, 60) + f" {word}"
+    ids = [k for k in range(1000, 1200) if zlib.crc32(str(k).encode()) % 3 != 1][:6]
+    lab = spark.createDataFrame([*labels, *((k, 0) for k in ids)], "doc_id long, toxic int")
+    docs = documents(spark, [*rows, *((k, clean + f" x{k}") for k in ids), (3000, clean), (3001, clean.replace(word, "")), (3002, prose(7001, 60) + f" {word}")])
+    got = {g.doc_id: g.score for g in toxicity.score_toxicity(docs, lab).collect()}
+    assert got[3000] < 0.3 and got[3001] < 0.1 and got[3002] > got[3000]
+
+
+def test_scores_are_calibrated(spark):
+    """Held-out rows by their score: the share of toxic ones lies near the mean score of a bin."""
+    rows, labels = toxic_fixture(spark)
+    r = random.Random(3)
+    labels = [(k, y if r.random() > 0.1 else 1 - y) for k, y in labels]  # noise that scores have to own up to
+    got = {g.doc_id: g.score for g in toxicity.score_toxicity(documents(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    held = [(got[k], y) for k, y in labels if zlib.crc32(str(k).encode()) % 3 == 1]
+    brier = sum((s - y) ** 2 for s, y in held) / len(held)
+    share = sum(y for _, y in held) / len(held)
+    assert brier < 0.7 * share * (1 - share)
+    for own in ([x for x in held if x[0] < 0.5], [x for x in held if x[0] >= 0.5]):
+        assert abs(sum(s - y for s, y in own) / len(own)) < 0.12
+
+
+def test_repeats_of_a_labelled_id_are_one_example_and_texts_are_bounded(spark):
+    rows, labels = toxic_fixture(spark)
+    lab = spark.createDataFrame(labels, "doc_id long, toxic int")
+    learnt = next(k for k, y in labels if y and zlib.crc32(str(k).encode()) % 3 != 1)
+    text = dict(rows)[learnt]
+    docs = documents(spark, rows)
+    many = docs.unionByName(docs.where(f"doc_id = {learnt}").crossJoin(spark.range(20_000)).drop("id"))
+    plain, repeated = toxicity.fit(docs, lab), toxicity.fit(many, lab)
+    assert sorted(plain.whole.doc.tolist()) == sorted(repeated.whole.doc.tolist())
+    assert plain.whole.rows.sum() == repeated.whole.rows.sum()
+    other = documents(spark, [*rows, *((learnt, f"{text} v{k}") for k in range(3000))])
+    assert toxicity.fit(other, lab, toxicity.ToxicityConfig(sample=500)).whole.rows.sum() <= 500
+    long = documents(spark, [*rows, (learnt, "word " * 300_000)])
+    cfg = toxicity.ToxicityConfig(sample_mb=1)
+    assert toxicity.fit(long, lab, cfg).whole.rows.sum() == plain.whole.rows.sum()
+
+
 def test_texts_near_a_toxic_example_of_rare_wording_are_toxic(spark):
     rows, labels = toxic_fixture(spark)
     rare = [" ".join(f"{a}{b}seldom" for b in "abcdefghijklmnopqrst") for a in ("u", "v")]
