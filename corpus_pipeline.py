@@ -24,7 +24,11 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, similarity of 0.8 or more."""
+    """Five-word shingles, similarity of 0.8 or more; one row of each group stays.
+
+    A row with a null doc_id or without a word is in no group and stays, a long text counts whole, of equal rows one
+    stays, an empty table stays empty; see `minhash.keep_one_of_each_group`.
+    """
     return minhash.keep_one_of_each_group(docs)
 
 
