@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .intervals import innermost
 
 #: Interfaces without methods that may be broadcast to all types.
 MOST_EMPTY = 10_000
@@ -53,10 +54,9 @@ def satisfied_interfaces(required: DataFrame, methods: DataFrame, same_package:
 
 
 def enclosing_scope(points: DataFrame, scopes: DataFrame) -> DataFrame:
-    """The innermost scope of each point (point_id, file, line): least span, then least id."""
-    hit = points.join(scopes, "file").where("line between line_start and line_end")
-    rank = F.struct((F.col("line_end") - F.col("line_start")).alias("span"), F.col("scope_id"))
-    return hit.groupBy("point_id").agg(F.min_by("scope_id", rank).alias("scope_id"))
+    """The innermost scope of each point (point_id, file, line): least span, then first line, then least id."""
+    spans = scopes.select(F.col("scope_id").alias("span_id"), "file", F.col("line_start").alias("low"), F.col("line_end").alias("high"))
+    return innermost(points.withColumn("at", F.col("line")), spans, ["file"]).withColumnRenamed("span_id", "scope_id")
 
 
 def usages(refs: DataFrame, calls: DataFrame, communications: DataFrame, symbol: str) -> DataFrame:
