@@ -9,6 +9,7 @@ from ..functions import content as C
 from ..functions import text as X
 from ..operators import audit as A
 from ..operators import graph as G
+from ..operators import intervals as IV
 from ..operators import model as M
 from ..operators import navigate as N
 from ..operators import ranking as K
@@ -285,6 +286,79 @@ def go_calls(t: Tables) -> DataFrame:
     return GO.call_edges(GO.resolved(GO.declarations(_go_files(t))))
 
 
+# Calls on variables, fields and results
+
+
+def _go_typed_files(t: Tables) -> DataFrame:
+    """Types of an own number for each symbol, and calls that need the types of variables, fields, results and embedded types."""
+    n, half = F.col("n").cast("string"), F.floor(F.col("n") / 2).cast("string")
+    text = """package p
+
+import o "{other}"
+
+type Own# struct {
+	inner *In#
+	*Emb#
+}
+type In# struct{}
+type Emb# struct{}
+
+func (i *In#) Run#() (*Emb#, error) { return nil, nil }
+func (e Emb#) Stop#() error { return nil }
+func New#() (*Own#, error) { return nil, nil }
+
+func use#(p *Own#, q int) {
+	x, err := New#()
+	x.Stop#()
+	p.inner.Run#()
+	y := p.inner
+	for _, z := range []*In#{y} {
+		z.Run#()
+	}
+	if w, bad := y.Run#(); bad != nil {
+		w.Stop#()
+		y := w
+		y.Stop#()
+	}
+	y.Run#()
+	q.Stop#()
+	err.Error()
+	v, _ := o.New@()
+	v.Stop@()
+}
+"""
+    s = Code(t).symbols()
+    other = s.select(F.col("n").alias("_half"), F.col("pkg").alias("other"))
+    s = s.withColumn("_half", F.floor(F.col("n") / 2).cast("long")).join(other, "_half", "left").withColumn("other", F.coalesce("other", F.lit("none")))
+    made = F.replace(F.replace(F.replace(F.lit(text), F.lit("#"), n), F.lit("@"), half), F.lit("{other}"), F.col("other"))
+    return s.select(F.concat("pkg", F.lit("/u"), n, F.lit(".go")).alias("path"), made.alias("content"))
+
+
+_TYPED = f"""{SYMBOLS}, g AS (SELECT s.n, s.pkg || '.use' || s.n AS source, s.pkg || '.(*In' || s.n || ').Run' || s.n AS run, s.pkg || '.(Emb' || s.n || ').Stop' || s.n AS stop, s.pkg || '.New' || s.n AS made,
+ coalesce(o.pkg, 'none') || '.New' || (s.n // 2) AS omade, o.pkg || '.(Emb' || o.n || ').Stop' || o.n AS ostop, 'Stop' || s.n AS m, 'Stop' || (s.n // 2) AS om FROM symbols s LEFT JOIN symbols o ON o.n = s.n // 2),
+ typed AS (SELECT source, line, target, state FROM (SELECT source, UNNEST([17, 18, 19, 22, 24, 25, 27, 29, 30, 31, 32, 33]) AS line, UNNEST([made, stop, run, run, run, stop, stop, run, 'q.' || m, 'err.Error', omade, coalesce(ostop, 'v.' || om)]) AS target,
+ UNNEST(['resolved', 'resolved', 'resolved', 'resolved', 'resolved', 'resolved', 'resolved', 'resolved', 'unresolved_external', 'unresolved_external', CASE WHEN ostop IS NULL THEN 'unresolved_external' ELSE 'resolved' END, CASE WHEN ostop IS NULL THEN 'unresolved_external' ELSE 'resolved' END]) AS state FROM g))"""
+
+
+@query(f"WITH {_TYPED} SELECT source, target, line::INT AS line, state FROM typed")
+def go_receiver_calls(t: Tables) -> DataFrame:
+    """Calls through variables, parameters, fields, results, embedded types and other packages."""
+    r = GO.resolved(GO.declarations(_go_typed_files(t)))
+    return r.where("kind in ('method_reference', 'function_reference')").select("source", "target", "line", "state")
+
+
+@query(f"""WITH {SYMBOLS}, s AS (SELECT pkg || '/u' || n || '.go' AS file, UNNEST([12, 13, 14, 16, 21, 24]) AS line, UNNEST([12, 13, 14, 34, 23, 28]) AS end_line, UNNEST([NULL, NULL, NULL, NULL, 16, 16]) AS parent FROM symbols)
+ SELECT file, line::INT AS line, end_line::INT AS end_line, coalesce(parent, 0)::INT AS parent_line FROM s""")
+def go_scopes(t: Tables) -> DataFrame:
+    """The blocks of bodies, each with the first line of the block around it; 0 at the top."""
+    found = GO.declarations(_go_typed_files(t)).where("what = 'scope'")
+    spans = found.select(F.concat_ws(":", "file_path", "at").alias("span_id"), "file_path", F.col("at").alias("low"), F.col("until").alias("high"), "line", "end_line")
+    around = IV.parents(spans, ["file_path"])
+    lines = spans.select(F.col("span_id").alias("parent_id"), F.col("line").alias("parent_line"))
+    j = spans.join(around, "span_id").join(lines, "parent_id", "left")
+    return j.select(F.col("file_path").alias("file"), "line", "end_line", F.coalesce("parent_line", F.lit(0)).alias("parent_line"))
+
+
 # A tree that grows with the tables: each part under the one of half its number
 
 
