@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import longest_path, on_cycles
 from .rounds import cut
 
 MOST_DEPTH = 100
@@ -154,9 +155,8 @@ def dependency_chains(edges: DataFrame, max_edges: int, kinds: Sequence[str]) ->
 
 
 def call_depth(edges: DataFrame, start: str, max_depth: int) -> DataFrame:
-    """One row: edges of the longest simple path from `start`, at most `max_depth`."""
-    paths = simple_paths(edges, start, None, max_depth + 1)
-    return paths.agg(F.coalesce(F.max("hops"), F.lit(0)).alias("depth"))
+    """One row: edges of the longest simple path from `start`, at most `max_depth`; see `components.longest_path`."""
+    return longest_path(edges, start, max_depth)
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -354,27 +354,6 @@ def impact_scope(affected: DataFrame, target_package: str) -> DataFrame:
     return n.select("symbols", "packages", "cross_module", scope.alias("scope"))
 
 
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """(id): nodes on a cycle of two edges or more.
-
-    Nodes without a way in or out are taken off until none is left; of the others, those that reach themselves are kept.
-    """
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    n = e.count()
-    while n:
-        e = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        before, n = n, e.count()
-        if n == before:
-            break
-    pairs = reached = e.select(F.col("src").alias("seed"), F.col("dst").alias("id"))
-    while True:
-        step = reached.join(e, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
-        reached = cut(step.join(pairs, ["seed", "id"], "left_anti"))
-        if reached.isEmpty():
-            return pairs.where("seed = id").select("id").distinct()
-        pairs = cut(pairs.unionByName(reached))
-
-
 def function_roles(functions: DataFrame, calls: DataFrame) -> DataFrame:
     """(id, entry, leaf, recursion, reach) of functions (id) and whatever calls (src, dst) name.
 
