@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rounds import cut
+from .rounds import written as cut
 
 
 def _degrees(e: DataFrame) -> DataFrame:
@@ -100,12 +100,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
         comp = cut(comp.unionByName(own.select("id", F.coalesce("c", "id").alias("component"))))
     comp = ids.join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
     least = comp.groupBy("component").agg(F.min("id").alias("_least"))
-    return comp.join(least, "component").select("id", F.col("_least").alias("component"))
+    return cut(comp.join(least, "component").select("id", F.col("_least").alias("component")))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(id): nodes on a cycle of two edges or more, which are those of components of two nodes or more."""
-    comp = cut(strong_components(edges))
+    comp = strong_components(edges)
     large = comp.groupBy("component").count().where("count > 1").select("component")
     return comp.join(large, "component", "left_semi").select("id")
 

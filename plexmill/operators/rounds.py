@@ -3,25 +3,55 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df`, computed once and kept in the folder that all executors share.
+def _folder(df: DataFrame) -> str:
+    """`spark.checkpoint.dir`; where it is unset a folder of this machine is made, on a local master only: executors of a
+    cluster could not see it."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="plexmill-rounds-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        df.sparkSession.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
-    `spark.checkpoint.dir` names that folder.  Where it is unset a folder of this machine is
-    made, on a local master only: executors of a cluster could not see it.
-    """
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df`, computed once and kept in the folder that all executors share."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="plexmill-rounds-")
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(_folder(df))
     return df.checkpoint()
+
+
+#: Tables of this process, removed at its end.
+_tables: list[tuple] = []
+
+
+@atexit.register
+def _remove_tables() -> None:
+    for spark, path in _tables:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in that folder, for rounds that join a frame with what was made of itself.
+
+    A checkpoint keeps the size estimated for its plan, and the estimates of such joins are squared each round, until
+    planning takes longer than the work; a table has the size of its files.
+    """
+    path = f"{_folder(df)}/rounds-{uuid.uuid4().hex}"
+    _tables.append((df.sparkSession, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
