@@ -10,6 +10,7 @@ from ..functions import text as X
 from ..functions import version as V
 from ..operators import audit as A
 from ..operators import graph as G
+from ..operators import install as I
 from ..operators import lookup as L
 from ..operators import model as M
 from ..operators import navigate as N
@@ -613,6 +614,42 @@ def plugin_versions(t: Tables) -> DataFrame:
     return A.best_versions(wanted, catalog)
 
 
+_INSTALL = """cat AS (SELECT DISTINCT 'p' || l_suppkey AS id, (1 + l_partkey % 2) || '.' || (l_partkey % 3) || '.' || (l_linenumber % 2) AS version, l_partkey % 6 <> 2 AS ok FROM lineitem),
+ raw AS (SELECT s_suppkey AS s, 1 AS o, 'p' || (s_suppkey // 2) AS d, '^1.0.0' AS k, FALSE AS optional FROM supplier WHERE s_suppkey > 1 UNION ALL SELECT s_suppkey, 2, 'p' || (s_suppkey // 3), CASE WHEN s_suppkey % 25 = 10 THEN '>=2.0.0' WHEN s_suppkey % 7 = 3 THEN '>=1.1.0' ELSE '^1.0.0' END, FALSE FROM supplier WHERE s_suppkey > 2
+ UNION ALL SELECT s_suppkey, 3, 'p' || (s_suppkey * 2), '', TRUE FROM supplier WHERE s_suppkey % 37 = 30 UNION ALL SELECT s_suppkey, 4, 'x' || s_suppkey, '', s_suppkey % 2 = 0 FROM supplier WHERE s_suppkey % 41 = 16),
+ dep AS (SELECT 'p' || s AS id, row_number() OVER (PARTITION BY s ORDER BY o) AS o, d, k, optional FROM raw),
+ bst AS (SELECT k, id, max(version) AS version FROM (SELECT DISTINCT k FROM raw), cat WHERE ok AND CASE k WHEN '^1.0.0' THEN version < '2' WHEN '' THEN TRUE ELSE version >= k[3:] END GROUP BY 1, 2),
+ q(target, qi, di, ids, vs, bad, what) AS (SELECT 'p' || s_suppkey, 1, 1, ['p' || s_suppkey], [v], CASE WHEN EXISTS (FROM cat WHERE cat.id = 'p' || s_suppkey AND cat.version = v) THEN NULL ELSE 'version_not_found' END, NULL::VARCHAR FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 13 = 7 THEN '3.0.0' ELSE '1.0.0' END AS v FROM supplier)
+  UNION ALL SELECT target, CASE WHEN d IS NULL THEN qi + 1 ELSE qi END, CASE WHEN d IS NULL THEN 1 ELSE di + 1 END, CASE WHEN d IS NOT NULL AND seat IS NULL AND version IS NOT NULL THEN list_append(ids, d) ELSE ids END, CASE WHEN d IS NOT NULL AND seat IS NULL AND version IS NOT NULL THEN list_append(vs, version) ELSE vs END,
+   CASE WHEN d IS NULL THEN NULL WHEN seat IS NULL AND version IS NULL AND NOT optional THEN CASE WHEN d IN (SELECT id FROM cat) THEN 'conflict' ELSE 'missing' END WHEN seat IS NOT NULL AND NOT CASE k WHEN '^1.0.0' THEN vs[seat] < '2' WHEN '' THEN TRUE ELSE vs[seat] >= k[3:] END THEN 'conflict' END, d
+  FROM (SELECT q.*, dep.d, dep.k, dep.optional, bst.version, list_position(ids, dep.d) AS seat FROM q LEFT JOIN dep ON dep.id = ids[qi] AND dep.o = di LEFT JOIN bst ON bst.id = dep.d AND bst.k = dep.k WHERE bad IS NULL AND qi <= len(ids))),
+ done AS (SELECT * FROM q WHERE bad IS NOT NULL OR qi > len(ids)), pn AS (SELECT target, unnest(ids) AS id, unnest(vs) AS version FROM done WHERE bad IS NULL),
+ pe AS (SELECT a.target, a.id AS src, dep.d AS dst FROM pn a JOIN dep ON dep.id = a.id JOIN pn b ON b.target = a.target AND b.id = dep.d),
+ w(target, id, way, cyc) AS (SELECT target, id, [id], FALSE FROM pn UNION ALL SELECT w.target, dst, list_append(way, dst), list_contains(way, dst) FROM w JOIN pe ON pe.target = w.target AND pe.src = w.id WHERE NOT cyc),
+ cy AS (SELECT DISTINCT target FROM w WHERE cyc), bw AS (SELECT target, id, min(way) AS way FROM w WHERE target NOT IN (SELECT target FROM cy) GROUP BY 1, 2)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_INSTALL} SELECT target, id, version, row_number() OVER (PARTITION BY target ORDER BY list_append(way, '~')) AS place, NULL::VARCHAR AS problem FROM bw JOIN pn USING (target, id)
+ UNION ALL SELECT target, what, NULL, 0, bad FROM done WHERE bad IS NOT NULL UNION ALL SELECT target, NULL, NULL, 0, 'cycle' FROM cy"""
+)
+def plugin_plans(t: Tables) -> DataFrame:
+    """Every supplier is a plugin that needs those of a half and a third of its number; some need one of twice theirs, or one that isn't there."""
+    s = F.col("s_suppkey")
+    name = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    line = t.lineitem.select("l_suppkey", "l_partkey", "l_linenumber")
+    catalog = line.select(name(F.col("l_suppkey")).alias("id"), F.concat_ws(".", 1 + F.col("l_partkey") % 2, F.col("l_partkey") % 3, F.col("l_linenumber") % 2).alias("version"), (F.col("l_partkey") % 6 != 2).alias("discoverable")).distinct()
+    need = lambda n, when, d, k, optional: F.when(when, F.struct(F.lit(n).alias("ordinal"), d.alias("dependency"), k.alias("constraint"), optional.alias("optional")))
+    half, third = F.floor(s / 2).cast("long"), F.floor(s / 3).cast("long")
+    needs = F.array(
+        need(1, s > 1, name(half), F.lit("^1.0.0"), F.lit(False)), need(2, s > 2, name(third), F.when(s % 25 == 10, ">=2.0.0").when(s % 7 == 3, ">=1.1.0").otherwise("^1.0.0"), F.lit(False)),
+        need(3, s % 37 == 30, name(s * 2), F.lit(""), F.lit(True)), need(4, s % 41 == 16, F.concat(F.lit("x"), s.cast("string")), F.lit(""), s % 2 == 0),
+    )
+    deps = t.supplier.select(name(s).alias("id"), F.explode(F.array_compact(needs)).alias("r")).select("id", "r.*")
+    targets = t.supplier.select(name(s).alias("target"), F.when(s % 13 == 7, "3.0.0").otherwise("1.0.0").alias("version"))
+    return I.plans(targets, catalog, deps).withColumn("place", F.coalesce("place", F.lit(0)))
+
+
 _ORDERS = {"downloads": "d DESC", "rating": "r DESC, c DESC", "name": "lower(p_name) DESC"}
 
 
