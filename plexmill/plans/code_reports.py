@@ -15,6 +15,7 @@ from ..operators import navigate as N
 from ..operators import ranking as K
 from ..operators import report as P
 from ..sources import golang as GO
+from ..sources import incremental as GI
 from ..sources import repository as RP
 from ..sources import scan as S
 from ..streaming import events as E
@@ -286,6 +287,23 @@ def go_calls(t: Tables) -> DataFrame:
     return GO.call_edges(GO.resolved(GO.declarations(_go_files(t))))
 
 
+@query(
+    f"""WITH {_SRC}, hp AS (SELECT DISTINCT pkg || '.helper' || (n % 5) AS id FROM g WHERE n % 25 < 5), r AS (SELECT n, m AS source, pkg || '.T' || (n % 9) AS target, 'type_reference' AS kind, 10 AS line FROM g
+ UNION ALL SELECT n, m, pkg || '.helper' || (n % 5), 'function_reference', 12 FROM g UNION ALL SELECT n, m, 'pkg/service.Execute', 'function_reference', 14 FROM g UNION ALL SELECT n, m, pkg || '.Rec' || (n % 3), 'struct_reference', 15 FROM g
+ UNION ALL SELECT n, m, m, 'method_reference', 16 FROM g UNION ALL SELECT n, pkg || '.helper' || (n % 5), 'fmt.Println', 'function_reference', 25 FROM g WHERE n % 25 < 5)
+ SELECT source, target, kind, line, CASE WHEN target IN (SELECT m FROM g) OR target IN (SELECT id FROM hp) THEN 'resolved' ELSE 'unresolved_external' END AS state, n % 10 IN (3, 7) AS parsed FROM r"""
+)
+def go_incremental(t: Tables) -> DataFrame:
+    """The sources after a run without those whose number ends in 3, with an empty one for a 7, and with one more, since deleted, for a 5."""
+    files = _go_files(t)
+    last = F.regexp_extract("path", r"(\d)\.go$", 1)
+    before = files.where(last != "3").withColumn("content", F.when(last == "7", "package p\n").otherwise(F.col("content")))
+    gone = files.where(last == "5").select(F.regexp_replace("path", r"\.go$", "_old.go").alias("path"), "content")
+    now, parsed = GI.update(files, GI.full(before.unionByName(gone)))
+    new = parsed.select(F.col("path").alias("file_path"), F.lit(True).alias("parsed"))
+    return now.references.join(new, "file_path", "left").select("source", "target", "kind", "line", "state", F.coalesce("parsed", F.lit(False)).alias("parsed"))
+
+
 # Calls on variables, fields and results
 
 
