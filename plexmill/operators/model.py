@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .pointers import chase
 from .rounds import cut
 
 #: Names that resolve without a declaration.
@@ -106,23 +107,8 @@ def resolve_types(uses: DataFrame, types: DataFrame) -> DataFrame:
 
 
 def alias_ends(aliases: DataFrame) -> DataFrame:
-    """(id, end, is_cyclic): where each alias (id, target) leads to in the end."""
-    step = aliases.select(F.col("id").alias("_from"), F.col("target").alias("_to"))
-    cur = aliases.select("id", F.col("target").alias("end"), F.array("id", "target").alias("path"), (F.col("id") == F.col("target")).alias("is_cyclic"))
-    step = cut(step)
-    while True:  # each round finds a further name of some chain, or ends it as a cycle
-        j = cur.join(step, (F.col("end") == F.col("_from")) & ~F.col("is_cyclic"), "left")
-        loops = F.array_contains("path", F.col("_to"))
-        moved = cut(
-            j.select(
-                "id", F.coalesce("_to", "end").alias("end"), F.when(F.col("_to").isNotNull(), F.array_append("path", F.col("_to"))).otherwise(F.col("path")).alias("path"),
-                (F.col("is_cyclic") | F.coalesce(loops, F.lit(False))).alias("is_cyclic"), F.col("_to").isNotNull().alias("moved"),
-            )
-        )
-        cur = moved.drop("moved")
-        if moved.where("moved and not is_cyclic").isEmpty():
-            break
-    return cur.select("id", "end", "is_cyclic")
+    """(id, end, is_cyclic): where each alias (id, target) leads to in the end, in the logarithm of the longest chain rounds."""
+    return chase(aliases).select("id", "end", "is_cyclic")
 
 
 def resolve_in_scope(uses: DataFrame, scopes: DataFrame, declarations: DataFrame, most_levels: int = 1000) -> DataFrame:

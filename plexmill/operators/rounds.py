@@ -45,13 +45,19 @@ def _remove_tables() -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def new_folder(df: DataFrame) -> str:
+    """A folder of its own in the shared one, removed at the end of the process."""
+    path = f"{_folder(df)}/rounds-{uuid.uuid4().hex}"
+    _tables.append((df.sparkSession, path))
+    return path
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a table in that folder, for rounds that join a frame with what was made of itself.
 
     A checkpoint keeps the size estimated for its plan, and the estimates of such joins are squared each round, until
     planning takes longer than the work; a table has the size of its files.
     """
-    path = f"{_folder(df)}/rounds-{uuid.uuid4().hex}"
-    _tables.append((df.sparkSession, path))
+    path = new_folder(df)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -12,6 +12,7 @@ from ..operators import graph as G
 from ..operators import intervals as IV
 from ..operators import model as M
 from ..operators import navigate as N
+from ..operators import pointers as PT
 from ..operators import ranking as K
 from ..operators import report as P
 from ..sources import golang as GO
@@ -403,7 +404,7 @@ def tree_depth(t: Tables) -> DataFrame:
 
 @query("WITH RECURSIVE r(id, top, n) AS (SELECT p_partkey, p_partkey, 0 FROM part WHERE p_partkey > 1 UNION ALL SELECT id, top // 2, n + 1 FROM r WHERE top > 1) SELECT 'p' || id AS id, 'p1' AS root, max(n)::INT + 1 AS length FROM r GROUP BY 1")
 def tree_owners(t: Tables) -> DataFrame:
-    return G.ownership(_tree(t)[1]).select("id", "root", F.size("chain").alias("length"))
+    return PT.owners(_tree(t)[1]).withColumn("length", F.col("length").cast("int"))
 
 
 @query("WITH RECURSIVE r(id, depth) AS (SELECT 1, 0 UNION ALL SELECT p_partkey, depth + 1 FROM r JOIN part ON p_partkey // 2 = id AND p_partkey > 1 WHERE depth < 9) SELECT 'p' || id AS id, depth::INT AS depth FROM r")

@@ -119,10 +119,11 @@ def event_hash(previous: Column, fields: list[str]) -> Column:
     return F.sha2(F.concat_ws(":", previous, *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]), 256)
 
 
-def chain(events: DataFrame, fields: list[str], log: str, order: list[str], genesis: str = "") -> DataFrame:
+def chain(events: DataFrame, fields: list[str], log: str, order: list[str], genesis: str = "", heads: DataFrame | None = None) -> DataFrame:
     """`events` with seq, prev_hash and hash: each log chained from its first event to its last (batch).
 
-    A hash needs the one before it, so a log is chained by one task, event by event; of a log only its last hash is held.
+    heads: (log, seq, hash) of the last event of logs that go on, one row a log.  A hash needs the one before it, so a
+    log is chained by one task, event by event; of a log only its last hash is held.
     """
     import hashlib
 
@@ -132,26 +133,71 @@ def chain(events: DataFrame, fields: list[str], log: str, order: list[str], gene
         last, seq, previous = (), 0, genesis
         for batch in batches:
             rows, before, after = [], [], []
-            for key, text in zip(batch.column(log).to_pylist(), batch.column("_text").to_pylist(), strict=True):
+            for key, text, n, head in zip(*(batch.column(c).to_pylist() for c in (log, "_text", "_seq", "_head")), strict=True):
                 if (key,) != last:
-                    last, seq, previous = (key,), 0, genesis
+                    last, seq, previous = (key,), n, head
                 seq += 1
                 rows.append(seq)
                 before.append(previous)
                 previous = hashlib.sha256(f"{previous}:{text}".encode()).hexdigest()
                 after.append(previous)
-            keep = [c for c in batch.schema.names if c != "_text"]
+            keep = [c for c in batch.schema.names if c not in ("_text", "_seq", "_head")]
             made = [pa.array(rows, pa.int64()), pa.array(before, pa.string()), pa.array(after, pa.string())]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *made], [*keep, "seq", "prev_hash", "hash"])
 
     text = F.concat_ws(":", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    dealt = events.withColumn("_text", text).repartition(log).sortWithinPartitions(log, *order)
+    dealt = events.withColumn("_text", text)
+    none = [F.lit(None).cast("long").alias("_seq"), F.lit(None).cast("string").alias("_head")]
+    if heads is None:
+        dealt = dealt.select("*", *none)
+    else:
+        ends = heads.select(F.col(log).alias("_log"), F.col("seq").cast("long").alias("_seq"), F.col("hash").alias("_head"))
+        dealt = dealt.join(ends, F.col(log).eqNullSafe(F.col("_log")), "left").drop("_log")
+    dealt = dealt.withColumns({"_seq": F.coalesce("_seq", F.lit(0)), "_head": F.coalesce("_head", F.lit(genesis))})
+    dealt = dealt.repartition(log).sortWithinPartitions(log, *order)
     schema = events.schema
     for name, kind in (("seq", "long"), ("prev_hash", "string"), ("hash", "string")):
         schema = T.StructType(schema.fields).add(name, kind)
     return dealt.mapInArrow(run, schema)
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def chain_heads(spark: SparkSession, folder: str, log: str, before: int | None = None) -> DataFrame | None:
+    """(log, seq, hash): the last event of each stored log, of batches below `before` if given; None where nothing is stored."""
+    if not _exists(spark, f"{folder}/heads"):
+        return None
+    heads = spark.read.parquet(f"{folder}/heads")
+    if before is not None:
+        heads = heads.where(F.col("batch") < before)
+    return heads.groupBy(log).agg(F.max_by(F.struct("seq", "hash"), "seq").alias("h")).select(log, "h.seq", "h.hash")
+
+
+def append_chain(batch: DataFrame, number: int, folder: str, fields: list[str], log: str, order: list[str], genesis: str = "") -> None:
+    """Chain a batch onto the stored logs of a folder: rows to events/batch=<number>, last hashes to heads/batch=<number>.
+
+    Batches are numbered upwards, and a folder has one writer at a time.  A batch written again, after a failure, starts
+    from the heads of batches below it and replaces what it wrote; so it fits `foreachBatch`.  Within a batch a
+    log is chained by `order`; an event that comes in a later batch comes later in its chain.
+    """
+    spark = batch.sparkSession
+    made = chain(batch, fields, log, order, genesis, chain_heads(spark, folder, log, number))
+    made.write.mode("overwrite").parquet(f"{folder}/events/batch={number}")
+    stored = spark.read.schema(made.schema).parquet(f"{folder}/events/batch={number}")
+    ends = stored.groupBy(log).agg(F.max_by(F.struct("seq", "hash"), "seq").alias("h")).select(log, "h.seq", "h.hash")
+    ends.write.mode("overwrite").parquet(f"{folder}/heads/batch={number}")
+
+
+def chain_sink(events: DataFrame, folder: str, checkpoint: str, fields: list[str], log: str, order: list[str], genesis: str = "", **trigger):
+    """Append a stream of events to the stored logs of a folder.  Returns the started query."""
+    write = lambda batch, number: append_chain(batch, number, folder, fields, log, order, genesis)
+    started = events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (started.trigger(**trigger) if trigger else started).start()
+
+
 def verify_chain(events: DataFrame, fields: list[str], log: str = "log", genesis: str = "") -> DataFrame:
     """(log, seq, problem) of a hash chain: sequence gaps, wrong previous hashes, changed events.
 
