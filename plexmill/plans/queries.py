@@ -19,6 +19,7 @@ from ..operators.rounds import new_folder
 from ..sinks import export as O
 from ..sources import scan as S
 from ..streaming import events as E
+from ..streaming import monitor as MO
 from .relations import Tables, entity_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -595,6 +596,16 @@ def recovery_actions(t: Tables) -> DataFrame:
     return E.recovery_states(t.events, "user_id", kind == "error", kind == "click", kind == "signup", (kind == "error") & (F.col("value") > 90)).select("event_id", "action")
 
 
+@query(
+    """WITH r AS (SELECT *, count(*) FILTER (event_type = 'error') OVER w AS c, count(*) FILTER (event_type = 'click') OVER w AS v, list(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 4 PRECEDING) AS l FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
+ SELECT event_id, CASE WHEN max(CASE WHEN c >= 40 OR (event_type = 'signup' AND value < 1) THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) = 1 THEN 'quarantine' WHEN v >= 9 THEN 'suspend' WHEN event_type = 'error' THEN 'warn' ELSE 'none' END AS action, c AS crashes, v AS violations, array_to_string(l, ',') AS recent FROM r"""
+)
+def monitor_decisions(t: Tables) -> DataFrame:
+    kind = F.col("event_type")
+    rows = MO.marked(t.events, "user_id", kind == "error", kind == "click", kind == "error", (kind == "signup") & (F.col("value") < 1))
+    return MO.decided(rows, 40, 9).select("event_id", "action", "crashes", "violations", F.array_join("recent", ",").alias("recent"))
+
+
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'state_differs' WHEN o_orderkey % 4 = 0 AND o_orderstatus <> 'O' THEN 'none' WHEN o_orderstatus = 'O' THEN 'not_installed' ELSE 'state_differs' END AS reason FROM orders WHERE o_orderstatus <> 'P'")
 def state_discrepancies(t: Tables) -> DataFrame:
     """Orders that aren't pending, as the SQL has them; state_discrepancies_all has all orders."""
