@@ -276,11 +276,11 @@ def dependency_impact(references: DataFrame, part: str) -> DataFrame:
 
 
 def plan_checks(plugins: DataFrame, dependencies: DataFrame) -> DataFrame:
-    """(id, dependency, problem): missing mandatory dependencies, versions that don't fit, and ids given twice.
+    """(id, dependency, problem): missing mandatory dependencies, versions that don't fit, and ids given twice.  Of an id given twice the greatest version counts.
 
     plugins: (id, version); dependencies: (id, dependency, constraint, optional).
     """
-    have = plugins.groupBy(F.col("id").alias("dependency")).agg(F.first("version").alias("version"))
+    have = plugins.groupBy(F.col("id").alias("dependency")).agg(F.max_by("version", F.struct(V.parse(F.col("version")), F.col("version"))).alias("version"))
     j = dependencies.join(have, "dependency", "left")
     problem = F.when(F.col("version").isNull(), F.when(~F.col("optional"), "missing")).when(
         ~F.coalesce(V.satisfies(F.col("constraint"), V.parse(F.col("version"))), F.lit(False)), "incompatible"

@@ -111,14 +111,16 @@ def go_to_definition(t: Tables) -> DataFrame:
     return N.definitions(asked.unionByName(t.spark.range(1).select(F.lit("no such thing").alias("request"))), s)
 
 
-_FIELDS = """fields AS (SELECT i.id AS interface_id, m.name AS field FROM symbols i JOIN symbols m ON m.kind = 'method' AND m.n % 97 = i.n % 97 WHERE i.kind = 'interface' AND m.n < 1000 AND i.n < 1000)"""
+_FIELDS = """fields AS (SELECT DISTINCT i.id AS interface_id, m.name AS field FROM (SELECT id, unnest([n // 6, n // 6 + 31, CASE WHEN n % 12 = 3 THEN n // 6 + 1 ELSE n // 6 END]) AS k FROM symbols WHERE kind = 'interface') i JOIN symbols m ON m.kind = 'method' AND m.n // 6 = k)"""
 
 
 def _fields(c: Code) -> DataFrame:
-    """(interface_id, field): interfaces ask for the methods whose numbers leave the same remainder."""
-    s = c.symbols().where("n < 1000")
-    m = s.where("kind = 'method'").select((F.col("n") % 97).alias("k"), F.col("name").alias("field"))
-    return s.where("kind = 'interface'").select((F.col("n") % 97).alias("k"), F.col("id").alias("interface_id")).join(m, "k").select("interface_id", "field")
+    """(interface_id, field): an interface asks for the next method, one of the same receiver further on, and some for another's."""
+    s = c.symbols().withColumn("k", F.floor(F.col("n") / 6).cast("long"))
+    m = s.where("kind = 'method'").select("k", F.col("name").alias("field"))
+    wanted = F.array(F.col("k"), F.col("k") + 31, F.when(F.col("n") % 12 == 3, F.col("k") + 1).otherwise(F.col("k")))
+    i = s.where("kind = 'interface'").select(F.col("id").alias("interface_id"), F.explode(F.array_distinct(wanted)).alias("k"))
+    return i.join(m, "k").select("interface_id", "field").distinct()
 
 
 @query(
@@ -130,7 +132,7 @@ def go_to_declaration(t: Tables) -> DataFrame:
     return N.declarations(c.symbols(), _fields(c))
 
 
-_IMPLEMENTS = f"""{_FIELDS}, need AS (SELECT DISTINCT interface_id, field FROM fields WHERE field IN (SELECT name FROM symbols WHERE n % 31 < 8)),
+_IMPLEMENTS = f"""{_FIELDS}, need AS (SELECT DISTINCT interface_id, field FROM fields),
  has AS (SELECT DISTINCT regexp_replace(receiver, '^\\*', '') AS type_name, name FROM symbols WHERE receiver <> ''),
  got AS (SELECT interface_id, type_name, count(*) AS n FROM has JOIN need ON field = name GROUP BY 1, 2),
  imp AS (SELECT got.interface_id, type_name, coalesce((SELECT max(id) FROM symbols WHERE name = type_name AND kind IN ('struct', 'type')), 'sym:' || type_name) AS type_id FROM got
@@ -138,9 +140,7 @@ _IMPLEMENTS = f"""{_FIELDS}, need AS (SELECT DISTINCT interface_id, field FROM f
 
 
 def _implements(c: Code) -> DataFrame:
-    s = c.symbols()
-    few = s.where("n % 31 < 8").select(F.col("name").alias("field")).distinct()
-    return N.implementations(s, _fields(c).join(few, "field", "left_semi"))
+    return N.implementations(c.symbols(), _fields(c))
 
 
 @query(f"WITH {SYMBOLS}, {_IMPLEMENTS} SELECT interface_id, type_name, type_id FROM imp")

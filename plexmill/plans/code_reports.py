@@ -431,11 +431,11 @@ def function_roles(t: Tables) -> DataFrame:
     return G.function_roles(c.symbols().where("kind in ('function', 'method')"), c.calls())
 
 
-@query("WITH x AS (SELECT count(DISTINCT p_name) FILTER (p_size % 2 = 0) AS symbols, count(DISTINCT p_brand) FILTER (p_size % 2 = 1) AS packages FROM part WHERE p_partkey < 60) SELECT symbols, packages, TRUE AS cross_module, CASE WHEN packages >= 5 OR symbols >= 20 THEN 'repository' ELSE 'module' END AS scope FROM x")
+@query("WITH x AS (SELECT count(DISTINCT p_name) FILTER (p_size % 2 = 0) AS symbols, count(DISTINCT p_brand) FILTER (p_size % 2 = 1) AS packages FROM part) SELECT symbols, packages, TRUE AS cross_module, CASE WHEN packages >= 5 OR symbols >= 20 THEN 'repository' ELSE 'module' END AS scope FROM x")
 def impact_scope(t: Tables) -> DataFrame:
-    """A change that touches the first sixty parts: even ones as symbols by name, odd ones as packages by brand."""
+    """A change that touches all parts: even ones as symbols by name, odd ones as packages by brand."""
     even = F.col("p_size") % 2 == 0
-    touched = t.part.where("p_partkey < 60").select(F.when(even, F.col("p_name")).otherwise(F.col("p_brand")).alias("id"), F.when(even, "symbol").otherwise("package").alias("type"), F.col("p_brand").alias("pkg"))
+    touched = t.part.select(F.when(even, F.col("p_name")).otherwise(F.col("p_brand")).alias("id"), F.when(even, "symbol").otherwise("package").alias("type"), F.col("p_brand").alias("pkg"))
     return G.impact_scope(touched, "elsewhere")
 
 

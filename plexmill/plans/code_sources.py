@@ -164,12 +164,13 @@ def package_scores(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {REFS}, g AS (SELECT pkg, greatest(0, 100 - 4 * count(*) FILTER (name LIKE 'init%') - 8 * count(*) FILTER (file LIKE '%_test.go' AND NOT exported) - 1 * count(*) FILTER (kind = 'constant'))::DOUBLE AS s FROM symbols WHERE n <= 240 GROUP BY 1)
+    f"""WITH {REFS}, g AS (SELECT pkg || '#' || (n // 240) AS pkg, greatest(0, 100 - 4 * count(*) FILTER (name LIKE 'init%') - 8 * count(*) FILTER (file LIKE '%_test.go' AND NOT exported) - 1 * count(*) FILTER (kind = 'constant'))::DOUBLE AS s FROM symbols GROUP BY 1)
  SELECT pkg, s AS score, CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D' ELSE 'F' END AS grade FROM g"""
 )
 def severity_scores(t: Tables) -> DataFrame:
-    """Of the first symbols: medium, high and low findings take their weights off each package's score."""
-    s = Code(t).symbols().where("n <= 240")
+    """Medium, high and low findings take their weights off the score of each package's symbols, 240 numbers at a time."""
+    share = F.floor(F.col("n") / 240).cast("string")
+    s = Code(t).symbols().withColumn("pkg", F.concat("pkg", F.lit("#"), share))
     f = F.col("file").endswith("_test.go") & ~F.col("exported")
     parts = [s.where(c).select("pkg", F.lit(w).alias("severity")) for c, w in ((F.col("name").startswith("init"), "medium"), (f, "high"), (F.col("kind") == "constant", "low"))]
     total = A._union(parts).groupBy("pkg").agg(F.sum(R.severity_weight(F.col("severity"))).alias("w"))
