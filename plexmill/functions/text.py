@@ -108,6 +108,17 @@ def dir_name(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", "")).otherwise(F.lit("."))
 
 
+def clean_path(path: Column) -> Column:
+    """A path without empty, "." and resolvable ".." segments; "." if nothing is left."""
+
+    def step(done, part):
+        up = (part == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+        return F.when(part.isin("", "."), done).when(up, F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, part))
+
+    kept = F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+    return F.when(path.startswith("/"), F.concat(F.lit("/"), kept)).when(kept == "", ".").otherwise(kept)
+
+
 def first_segment(path: Column) -> Column:
     return F.split_part(path, F.lit("/"), F.lit(1))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as X
+
 from .intervals import innermost
 
 #: Interfaces without methods that may be broadcast to all types.
@@ -107,6 +109,51 @@ def suffix_resolution(imports: DataFrame, packages: DataFrame) -> DataFrame:
     return hit.groupBy("import_id").agg(F.max_by("package", F.struct(F.length("package"), "package")).alias("package"))
 
 
+def _runs(parts: Column, first: int = 0) -> Column:
+    """All runs of consecutive segments from the segment `first` on, joined."""
+    n = F.size(parts)
+    at = F.when(n > first, F.sequence(F.lit(first + 1), n)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(at, lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(parts, i, k), "/"))))
+
+
+def import_targets(imports: DataFrame, packages: DataFrame) -> DataFrame:
+    """(import_id, package, form) of every import (import_id, source, target), source the package that it stands in.
+
+    A target is cleaned first.  It names the longest package (package) that it is (exact), or that stands in it
+    after a slash, up to its end or another slash (inside); else one with .. at the front is taken from its source
+    (relative); else package and form are null.  The package "." is no target of the first two.  Runs of segments are
+    keys of hash joins; each distinct target is looked up once.
+    """
+    p = packages.select("package").where("package is not null").distinct()
+    i = imports.withColumn("_c", X.clean_path(F.coalesce("target", F.lit(""))))
+    distinct = i.select("_c").distinct()
+    runs = distinct.select("_c", F.explode(F.array_distinct(F.array_append(_runs(F.split("_c", "/"), 1), F.col("_c")))).alias("package")).where("package <> '.'")
+    found = runs.join(p, "package").groupBy("_c").agg(F.max_by("package", F.struct(F.length("package"), "package")).alias("_found"))
+    joined = F.when(F.col("_c").startswith("../"), X.clean_path(F.concat_ws("/", "source", "_c")))
+    j = i.join(found, "_c", "left").withColumn("_joined", joined).join(p.select(F.col("package").alias("_joined"), F.lit(True).alias("_there")), "_joined", "left")
+    form = F.when(F.col("_found") == F.col("_c"), "exact").when(F.col("_found").isNotNull(), "inside").when(F.col("_there"), "relative")
+    return j.select("import_id", F.coalesce("_found", F.when(F.col("_there"), F.col("_joined"))).alias("package"), form.alias("form"))
+
+
+def entity_modules(entities: DataFrame, modules: DataFrame, default: str = "main") -> DataFrame:
+    """(id, module, how): the module of each entity (id), of modules (module, package), a package null for none.
+
+    The longest package that an id begins with, up to a slash, a dot or its end, tells the module (prefix); else the
+    longest module whose segments stand in the id (name); else it is `default`.  Of several the least counts.
+    """
+    ids = entities.select(F.trim("id").alias("id")).where("id <> ''").distinct()
+    parts = F.split("id", r"[/.]")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.substring("id", F.lit(1), F.length(F.array_join(F.slice(parts, F.lit(1), k), "/"))))
+    owner = modules.where("package is not null").groupBy("package").agg(F.min("module").alias("module"))
+    by_prefix = ids.select("id", F.explode(ends).alias("package")).join(owner, "package").groupBy("id").agg(F.max_by("module", F.length("package")).alias("_prefix"))
+    left = ids.join(by_prefix, "id", "left_anti")
+    names = modules.select("module").where("module <> ''").distinct()
+    runs = left.select("id", F.explode(F.array_distinct(_runs(F.split(F.translate("id", ".", "/"), "/")))).alias("_run"))
+    named = runs.join(names.withColumn("_run", F.translate("module", ".", "/")), "_run").groupBy("id").agg(F.min_by("module", F.struct(-F.length("module"), "module")).alias("_name"))
+    how = F.when(F.col("_prefix").isNotNull(), "prefix").when(F.col("_name").isNotNull(), "name").otherwise("default")
+    return ids.join(by_prefix, "id", "left").join(named, "id", "left").select("id", F.coalesce("_prefix", "_name", F.lit(default)).alias("module"), how.alias("how"))
+
+
 def outdated(installed: DataFrame, catalog: DataFrame, version) -> DataFrame:
     """Installed ids known to the catalog, and whether a later version is there; `version` parses a column."""
     joined = installed.join(catalog, "id")

@@ -15,6 +15,7 @@ from ..operators import lookup as L
 from ..operators import model as M
 from ..operators import navigate as N
 from ..operators import ranking as K
+from ..operators import resolve as J
 from ..operators import rules as R
 from ..sources import scan as S
 from . import code as S_
@@ -158,6 +159,34 @@ def go_to_module(t: Tables) -> DataFrame:
     return N.go_to_module(Code(t).symbols())
 
 
+@query(
+    f"""WITH {SYMBOLS}, pk AS (SELECT DISTINCT pkg AS p FROM symbols), i AS (SELECT n, regexp_replace(pkg, '/[^/]*$', '') || '/service' AS j, CASE n % 6 WHEN 0 THEN pkg WHEN 1 THEN 'example.org/x/' || pkg WHEN 2 THEN 'example.org/' || pkg || '/sub' || n WHEN 3 THEN '../service' WHEN 4 THEN 'fmt' || n ELSE pkg END AS c FROM symbols),
+ h AS (SELECT n, arg_max(p, (length(p), p)) AS p FROM i JOIN pk ON c = p OR suffix(c, '/' || p) OR contains(c, '/' || p || '/') GROUP BY 1)
+ SELECT i.n AS import_id, CASE WHEN h.p IS NOT NULL THEN h.p WHEN n_rel THEN j END AS package, CASE WHEN h.p = c THEN 'exact' WHEN h.p IS NOT NULL THEN 'inside' WHEN n_rel THEN 'relative' END AS form FROM (SELECT *, i.n % 6 = 3 AND j IN (SELECT p FROM pk) AS n_rel FROM i) i LEFT JOIN h ON h.n = i.n"""
+)
+def import_targets(t: Tables) -> DataFrame:
+    s = Code(t).symbols()
+    n, k = F.col("n").cast("string"), F.col("n") % 6
+    target = (
+        F.when(k == 0, F.col("pkg")).when(k == 1, F.concat(F.lit("example.org/x/"), "pkg")).when(k == 2, F.concat(F.lit("example.org//"), "pkg", F.lit("/sub"), n))
+        .when(k == 3, "../service").when(k == 4, F.concat(F.lit("fmt"), n)).otherwise(F.concat(F.lit("./x/../"), "pkg", F.lit("/")))
+    )
+    return J.import_targets(s.select(F.col("n").alias("import_id"), F.col("pkg").alias("source"), target.alias("target")), s.select(F.col("pkg").alias("package")))
+
+
+@query(
+    f"""WITH {SYMBOLS}, m AS (SELECT DISTINCT 'mod/' || split_part(pkg, '/', 1) AS module, pkg AS package FROM symbols WHERE NOT contains(pkg, 'vec') AND NOT contains(pkg, 'after') AND NOT contains(pkg, 'tools')),
+ h AS (SELECT id, arg_max(module, length(package)) AS module FROM (SELECT DISTINCT id FROM symbols) JOIN m ON id = package OR starts_with(id, package || '/') OR starts_with(id, package || '.') GROUP BY 1)
+ SELECT DISTINCT s.id, coalesce(h.module, CASE WHEN starts_with(s.id, 'tools/') THEN 'tools' ELSE 'main' END) AS module, CASE WHEN h.module IS NOT NULL THEN 'prefix' WHEN starts_with(s.id, 'tools/') THEN 'name' ELSE 'default' END AS how FROM symbols s LEFT JOIN h ON h.id = s.id"""
+)
+def entity_modules(t: Tables) -> DataFrame:
+    """Three packages belong to no module: one lies in another's folder, one is named like a module, one has none."""
+    s = Code(t).symbols()
+    owned = s.where(~F.col("pkg").rlike("vec|after|tools")).select(F.concat(F.lit("mod/"), F.split_part("pkg", F.lit("/"), F.lit(1))).alias("module"), F.col("pkg").alias("package")).distinct()
+    modules = owned.unionByName(t.spark.range(1).select(F.lit("tools").alias("module"), F.lit(None).cast("string").alias("package")))
+    return J.entity_modules(s, modules)
+
+
 @query(
     f"""WITH {REFS} SELECT r.dst AS symbol, r.id AS ref_id, r.src AS source, coalesce(s.name, r.src) AS source_name, coalesce(s.pkg, regexp_replace(r.file, '/[^/]*$', '')) AS package, r.kind
  FROM refs r LEFT JOIN symbols s ON s.id = r.src WHERE r.dst IN (SELECT id FROM symbols WHERE pkg = '{_HUB}')"""
