@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import version as V
 from . import graph as G
+from .rounds import dealt
 from .rules import finding
 
 #: Fixed values.
@@ -180,11 +181,11 @@ def recommendations(packages: DataFrame, edges: DataFrame, symbols: DataFrame, c
     wide = dep.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") >= fan_out)
     orphan = G.orphans(packages, edges).where((F.col("id") != "cmd") & ~F.col("id").startswith("cmd/"))
     inverted = edges.where(F.col("kind").isin("calls", "depends_on") & F.col("src").contains("storage") & F.col("dst").contains("service")).select(F.col("src").alias("id"))
-    hubs = calls.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n")).where(F.col("n") >= callers).join(symbols.select("id"), "id", "left_semi")
+    hubs = calls.groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("n")).where(F.col("n") >= callers).join(dealt(symbols.select("id")), "id", "left_semi")
     large = symbols.where("pkg <> ''").groupBy(F.col("pkg").alias("id")).agg(F.countDistinct("file").alias("n")).where(F.col("n") >= files)
     api = symbols.where(F.col("name").rlike(r"^\p{Lu}") & ~F.col("file").endswith("_test.go"))
-    undocumented = api.where("pkg <> ''").join(documented.select("id").distinct(), "id", "left_anti")
-    uncalled = api.where((F.col("pkg") != "main") & ~F.col("pkg").startswith("cmd")).join(calls.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
+    undocumented = api.where("pkg <> ''").join(dealt(documented.select("id").distinct()), "id", "left_anti")
+    uncalled = api.where((F.col("pkg") != "main") & ~F.col("pkg").startswith("cmd")).join(dealt(calls.select(F.col("dst").alias("id")).distinct()), "id", "left_anti")
     row = lambda df, rule, p: df.select(F.lit(rule).alias("rule"), F.lit(p).alias("priority"), "id").distinct()
     return _union(
         [

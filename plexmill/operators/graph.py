@@ -168,7 +168,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id")))
+    ends = edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
     return nodes.join(ends, "id", "left_anti")
 
 

@@ -33,6 +33,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """`df` as a side of a join that is dealt out by key, never broadcast.
+
+    Sizes are estimated by the bytes of compressed files, or of the plan that a checkpoint came from.  A file of 5 MB may
+    hold a million names, so a side that grows with the tables would be sent to the driver whole.
+    """
+    return df.hint("merge")
+
+
 #: Tables of this process, removed at its end.
 _tables: list[tuple] = []
 
