@@ -240,7 +240,7 @@ def impact_of_symbols(references: DataFrame, calls: DataFrame, targets: DataFram
     """(target, symbol, how): what a change of each target (target) reaches: direct (references and calls), then transitive (calls)."""
     r = references.where("dst <> '' and src <> '' and src <> '.' and src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("id"))
     c = calls.where("src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("id"))
-    direct = r.unionByName(c).join(targets.select("target").distinct(), "target", "left_semi").distinct()
+    direct = r.unionByName(c).join(dealt(targets.select("target").distinct()), "target", "left_semi").distinct()
     direct = G.cut(direct)
     reached = _upward(calls, direct)
     return direct.select("target", F.col("id").alias("symbol"), F.lit("direct").alias("how")).unionByName(
@@ -248,20 +248,38 @@ def impact_of_symbols(references: DataFrame, calls: DataFrame, targets: DataFram
     )
 
 
-def _upward(calls: DataFrame, direct: DataFrame) -> DataFrame:
-    """(target, id): callers of callers of what is direct, without the target and what is direct."""
-    up = G.cut(calls.select(F.col("dst").alias("id"), F.col("src").alias("up")).where("id <> up").distinct())
+def _upward(calls: DataFrame, direct: DataFrame, keys: bool = False) -> DataFrame:
+    """(target, id): callers of callers of what is direct, without the target (with `keys` targets are no ids) and what is direct."""
+    up = dealt(G.cut(calls.select(F.col("dst").alias("id"), F.col("src").alias("up")).where("id <> up").distinct()))
     seen = front = direct
     found = []
     while True:
-        step = front.join(up, "id").select("target", F.col("up").alias("id")).where("target <> id").distinct()
-        front = G.cut(step.join(seen, ["target", "id"], "left_anti"))
+        step = front.join(up, "id").select("target", F.col("up").alias("id"))
+        step = (step if keys else step.where("target <> id")).distinct()
+        front = G.cut(step.join(dealt(seen), ["target", "id"], "left_anti"))
         if front.isEmpty():
             return reduce(DataFrame.unionByName, found, direct.limit(0))
         found.append(front)
         seen = G.cut(seen.unionByName(front)) if len(found) % 16 == 0 else seen.unionByName(front)
 
 
+def impact_of_keys(references: DataFrame, calls: DataFrame, targets: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
+    """(key, symbols, packages): as `impact_by` of the impact of all targets, without listing it target by target.
+
+    What the targets (target) of a file or package reach together is what any of them reaches, so a symbol is listed
+    once for a key, however many targets of it reach the symbol.  An id of symbols stands once.
+    """
+    r = references.where("dst <> '' and src <> '' and src <> '.' and src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("id"))
+    c = calls.where("src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("id"))
+    of = symbols.select(F.col("id").alias("target"), F.col(key).alias("key")).join(dealt(targets.select("target").distinct()), "target", "left_semi")
+    direct = r.unionByName(c).join(dealt(of), "target").select(F.col("key").alias("target"), "id").where("target is not null").distinct()
+    direct = G.cut(direct)
+    reached = direct.unionByName(_upward(calls, direct, keys=True)).select(F.col("target").alias("key"), F.col("id").alias("symbol"))
+    s = symbols.select(F.col("id").alias("symbol"), F.col(key).alias("_k"), F.col("pkg").alias("_p"))
+    j = reached.join(dealt(s), "symbol").where("key <> _k")
+    return j.groupBy("key").agg(F.countDistinct("symbol").alias("symbols"), F.countDistinct("_p").alias("packages"))
+
+
 def impact_by(impact: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
     """(key, symbols, packages): what a change of each file or package reaches outside of it; impact: (target, symbol)."""
     t = symbols.select(F.col("id").alias("target"), F.col(key).alias("key"))

@@ -296,16 +296,18 @@ def _impact_sql(key: str) -> str:
  FROM imp2 JOIN symbols t ON t.id = target JOIN symbols s ON s.id = symbol WHERE t.{key} <> s.{key} GROUP BY 1"""
 
 
+def _impact_of_keys(c: Code, key: str) -> DataFrame:
+    return A.impact_of_keys(c.references(), c.calls(), _hub(c.symbols()).select(F.col("id").alias("target")), c.symbols(), key)
+
+
 @query(_impact_sql("file"))
 def file_impact(t: Tables) -> DataFrame:
-    c = Code(t)
-    return A.impact_by(_impact(c), c.symbols(), "file")
+    return _impact_of_keys(Code(t), "file")
 
 
 @query(_impact_sql("pkg"))
 def package_impact(t: Tables) -> DataFrame:
-    c = Code(t)
-    return A.impact_by(_impact(c), c.symbols(), "pkg")
+    return _impact_of_keys(Code(t), "pkg")
 
 
 @query(f"WITH {REFS} SELECT regexp_replace(src, '\\.[^.]*$', '') AS package, count(DISTINCT file) AS files FROM refs WHERE contains(dst, 'engine') GROUP BY 1")

@@ -2,6 +2,7 @@
 
 import pytest
 
+from plexmill.operators import audit as A
 from plexmill.plans import code_queries, code_reports, code_sources, queries  # noqa: F401 -- these register queries
 from plexmill.plans.code import Code
 from plexmill.plans.relations import Tables
@@ -18,6 +19,27 @@ def test_references_send_no_symbols(spark):
 
 
 #: What may be sent: pairs and names of packages.
-@pytest.mark.parametrize(("name", "most"), [("graph_recommendations", 2)])
+@pytest.mark.parametrize(("name", "most"), [(n, 0) for n in ("communications", "move_safety", "tree_levels", "tree_depth", "resolve_scopes", "alias_chains", "go_references", "go_calls", "file_impact", "package_impact")] + [("graph_recommendations", 2)])
 def test_queries_send_no_growing_side(spark, name, most):
     assert broadcasts(queries.QUERIES[name](spark, SF)) <= most
+
+
+@pytest.mark.parametrize("name", ["go_declarations", "version_rules"])
+def test_one_small_file_is_dealt_over_all_tasks(spark, name):
+    assert queries.QUERIES[name](spark, SF).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_sources_are_read_once_for_scopes(spark):
+    assert "MapInArrow" not in queries.QUERIES["go_scopes"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_impact_of_a_package_is_not_listed_target_by_target(spark):
+    """Two targets reached by the same callers: a row for a caller and a package, and the targets' own package left out."""
+    symbols = spark.createDataFrame([("a.X", "a", "a/x"), ("a.Y", "a", "a/y"), ("b.P", "b", "b/p"), ("b.Q", "b", "b/p"), ("c.R", "c", "c/r")], "id string, pkg string, file string")
+    calls = spark.createDataFrame([("b.P", "a.X"), ("b.P", "a.Y"), ("b.Q", "b.P"), ("c.R", "b.Q"), ("b.P", "c.R"), ("a.Y", "c.R")], "src string, dst string")
+    targets = symbols.where("pkg = 'a'").select(symbols.id.alias("target"))
+    for key in ("pkg", "file"):
+        got = A.impact_of_keys(calls, calls, targets, symbols, key)
+        assert sorted(got.collect()) == sorted(A.impact_by(A.impact_of_symbols(calls, calls, targets), symbols, key).collect())
+    front = A._upward(calls, calls.where("dst like 'a.%'").selectExpr("'a' as target", "src as id").distinct(), keys=True)
+    assert front.count() == front.distinct().count()
