@@ -204,11 +204,11 @@ def move_safety(symbols: DataFrame, calls: DataFrame, target: str) -> DataFrame:
     """
     there = symbols.where(F.col("pkg") == target).select("name").distinct().withColumn("_there", F.lit(True))
     p = symbols.select("id", "pkg")
-    s, t = p.select(F.col("id").alias("src"), F.col("pkg").alias("_ps")), p.select(F.col("id").alias("dst"), F.col("pkg").alias("_pt"))
+    s, t = dealt(p.select(F.col("id").alias("src"), F.col("pkg").alias("_ps"))), dealt(p.select(F.col("id").alias("dst"), F.col("pkg").alias("_pt")))
     c = calls.join(s, "src").join(t, "dst")
     into = c.where(F.col("_ps") != target).groupBy(F.col("dst").alias("id")).agg(F.countDistinct("src").alias("callers"))
     out = c.where(F.col("_pt") != target).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("callees"))
-    j = symbols.where(F.col("pkg") != target).select("id", "name").join(there, "name", "left").join(into, "id", "left").join(out, "id", "left")
+    j = symbols.where(F.col("pkg") != target).select("id", "name").join(dealt(there), "name", "left").join(dealt(into), "id", "left").join(dealt(out), "id", "left")
     z = lambda x: F.coalesce(x, F.lit(0))
     blocked = F.coalesce("_there", F.lit(False))
     verdict = F.when(blocked, "blocked").when((z("callers") > 0) | (z("callees") > 0), "unsafe").otherwise("safe")
