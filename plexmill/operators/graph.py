@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import longest_path, on_cycles
-from .rounds import cut
+from .rounds import cut, dealt
 
 MOST_DEPTH = 100
 DEFAULT_DEPTH = 10
@@ -164,7 +164,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     into = edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("in_degree"))
     out = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return nodes.select("id").join(into, "id", "left").join(out, "id", "left").select("id", zero("in_degree"), zero("out_degree"))
+    return nodes.select("id").join(dealt(into), "id", "left").join(dealt(out), "id", "left").select("id", zero("in_degree"), zero("out_degree"))
 
 
 def orphans(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -184,7 +184,7 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def _depths(edges: DataFrame, starts: DataFrame, direction: str, kinds: Sequence[str]) -> DataFrame:
     """(seed, id, depth): everything reached, in as many rounds as it takes; each round visits something new."""
-    walk = cut(directed(edges, direction, kinds).select("here", "there").distinct())
+    walk = dealt(cut(directed(edges, direction, kinds).select("here", "there").distinct()))
     frontier = cut(starts.select("seed", "id").distinct().withColumn("depth", F.lit(0)))
     visited, depth = frontier, 0
     while True:
@@ -193,7 +193,7 @@ def _depths(edges: DataFrame, starts: DataFrame, direction: str, kinds: Sequence
             frontier.join(walk, F.col("id") == F.col("here"))
             .select("seed", F.col("there").alias("id"))
             .distinct()
-            .join(visited, ["seed", "id"], "left_anti")
+            .join(dealt(visited), ["seed", "id"], "left_anti")
             .withColumn("depth", F.lit(depth))
         )
         if frontier.isEmpty():
@@ -254,16 +254,17 @@ def ownership(edges: DataFrame, kind: str = "belongs_to") -> DataFrame:
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): dependencies (dst) before dependents (src); nodes on cycles have level null."""
     left = nodes.select("id").distinct()
-    deps = edges.select("src", "dst").where("src <> dst").distinct()
-    loops = edges.where("src = dst").select(F.col("src").alias("id"))
+    deps = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    loops = cut(edges.where("src = dst").select(F.col("src").alias("id")).distinct())
     done = None
     for level in itertools.count():
-        blocked = deps.join(left.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id"))
-        ready = cut(left.join(blocked, "id", "left_anti").join(loops, "id", "left_anti").withColumn("level", F.lit(level)))
+        blocked = deps.join(dealt(left.select(F.col("id").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("id"))
+        blocked = dealt(blocked.unionByName(loops).distinct())
+        ready = cut(left.join(blocked, "id", "left_anti").withColumn("level", F.lit(level)))
         if ready.isEmpty():
             break
         done = ready if done is None else done.unionByName(ready)
-        left = cut(left.join(ready, "id", "left_anti"))
+        left = cut(left.join(dealt(ready), "id", "left_anti"))
     stuck = left.withColumn("level", F.lit(None).cast("int"))
     return stuck if done is None else done.unionByName(stuck)
 
