@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .pointers import chase
-from .rounds import cut
+from .rounds import cut, dealt
 
 #: Names that resolve without a declaration.
 BUILTIN_TYPES = [
@@ -118,7 +118,7 @@ def resolve_in_scope(uses: DataFrame, scopes: DataFrame, declarations: DataFrame
     scope_id, name).  Several there are ambiguous.
     """
     climb = scopes.select(F.col("scope_id").alias("start"), F.col("scope_id").alias("at"), F.lit(0).alias("level"))
-    up = scopes.where("parent_id is not null").select(F.col("scope_id").alias("_s"), F.col("parent_id").alias("_p"))
+    up = dealt(scopes.where("parent_id is not null").select(F.col("scope_id").alias("_s"), F.col("parent_id").alias("_p")))
     front = climb
     for level in itertools.count(1):
         if level > most_levels:
@@ -128,10 +128,10 @@ def resolve_in_scope(uses: DataFrame, scopes: DataFrame, declarations: DataFrame
             break
         climb = climb.unionByName(front)
     d = declarations.select(F.col("id").alias("declaration"), F.col("scope_id").alias("at"), "name")
-    hit = uses.withColumnRenamed("scope_id", "start").join(climb, "start").join(d, ["at", "name"])
+    hit = uses.withColumnRenamed("scope_id", "start").join(dealt(climb), "start").join(dealt(d), ["at", "name"])
     per = hit.groupBy("use_id", "level").agg(F.count("*").alias("n"), F.min("declaration").alias("declaration"))
     near = per.groupBy("use_id").agg(F.min_by(F.struct("n", "declaration"), "level").alias("r"))
-    return uses.select("use_id").join(near, "use_id", "left").select(
+    return uses.select("use_id").join(dealt(near), "use_id", "left").select(
         "use_id",
         F.when(F.col("r").isNull(), "unresolved").when(F.col("r.n") > 1, "ambiguous").otherwise("resolved").alias("state"),
         F.when(F.col("r.n") == 1, F.col("r.declaration")).alias("declaration"),
