@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 
 from .intervals import innermost
+from .rounds import dealt
 
 #: Interfaces without methods that may be broadcast to all types.
 MOST_EMPTY = 10_000
@@ -87,8 +88,8 @@ def diff(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame
 
 def package_communications(refs: DataFrame, symbols: DataFrame) -> DataFrame:
     """(src, tgt, n_refs, symbols_used) between packages that differ."""
-    s = symbols.select(F.col("id").alias("source"), F.col("package").alias("src"))
-    t = symbols.select(F.col("id").alias("target"), F.col("package").alias("tgt"), "name")
+    s = dealt(symbols.select(F.col("id").alias("source"), F.col("package").alias("src")))
+    t = dealt(symbols.select(F.col("id").alias("target"), F.col("package").alias("tgt"), "name"))
     joined = refs.join(s, "source").join(t, "target").where("src <> tgt")
     return joined.groupBy("src", "tgt").agg(F.count("*").alias("n_refs"), F.sort_array(F.collect_set("name")).alias("symbols_used"))
 
