@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .rounds import written as cut
+from .rounds import dealt, written
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written once, as a side that is dealt out by key."""
+    return dealt(written(df))
 
 
 def _doubled(links: DataFrame, most: int) -> DataFrame:

@@ -11,6 +11,7 @@ from ..operators import lookup as L
 from ..operators import model as M
 from ..operators import resolve as J
 from ..operators import rules as R
+from ..operators.rounds import dealt
 from ..sources import manifests as MF
 from . import code as S_
 from .code import COMMS, PATHS, REFS, SYMBOLS, Code
@@ -93,7 +94,7 @@ def alias_chains(t: Tables) -> DataFrame:
     n = F.col("p_partkey")
     target = F.when(n % 100 == 0, n + 1).when((n % 100 == 1) & (n > 1), n - 1).otherwise(F.floor(n / 2).cast("long"))
     aliases = t.part.where("p_partkey > 1").select(n.alias("id"), target.alias("target"))
-    got = M.alias_ends(aliases).join(aliases.select(F.col("id").alias("end"), F.lit(False).alias("_more")), "end", "left")
+    got = M.alias_ends(aliases).join(dealt(aliases.select(F.col("id").alias("end"), F.lit(False).alias("_more"))), "end", "left")
     return got.select("id", "is_cyclic", F.coalesce("_more", F.lit(True)).alias("ends"))
 
 
