@@ -17,6 +17,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def tasks(self) -> int:
+        """As many as shuffles have; for work that is much more than the bytes of the files that it comes from."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     def entities(self) -> DataFrame:
         """(id, type, name) of regions, nations, suppliers and customers."""
         part = lambda df, kind, key, name: df.select(entity_id(kind, F.col(key)).alias("id"), F.lit(kind).alias("type"), F.col(name).alias("name"))
