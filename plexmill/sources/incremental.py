@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 
 from ..functions import content as C
 from ..functions import text as X
-from ..operators.rounds import written as cut
+from ..operators.rounds import dealt, written
 from . import golang
 
 #: What one package can see of another, without places in files.
 _SEEN = ["what", "id", "name", "kind", "package_path", "receiver", "source", "candidate_id", "base_kind", "base", "path", "position"]
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """`df` written once, as a side that is dealt out by key."""
+    return dealt(written(df))
+
+
 class Snapshot(NamedTuple):
     files: DataFrame
     rows: DataFrame
@@ -34,7 +39,7 @@ def save(snapshot: Snapshot, folder: str) -> None:
 
 
 def load(spark: SparkSession, folder: str) -> Snapshot:
-    return Snapshot(*(spark.read.parquet(f"{folder}/{name}") for name in Snapshot._fields))
+    return Snapshot(*(dealt(spark.read.parquet(f"{folder}/{name}")) for name in Snapshot._fields))
 
 
 def hashed(files: DataFrame) -> DataFrame:
@@ -81,7 +86,7 @@ def affected_packages(before: DataFrame, after: DataFrame) -> DataFrame:
         return found
     names = F.explode(F.array("candidate_id", "method_id", "base", "source"))
     mention = before.unionByName(after).select(package_of(F.col("file_path")).alias("user"), names.alias("key")).where("key <> ''").distinct()
-    uses = cut(mention.join(_keys(old.unionByName(new)), "key").where("user <> package").select("user", "package").distinct())
+    uses = cut(dealt(mention).join(_keys(old.unionByName(new)), "key").where("user <> package").select("user", "package").distinct())
     while True:
         front = cut(front.join(uses, "package").select(F.col("user").alias("package")).distinct().join(found, "package", "left_anti"))
         if front.isEmpty():
