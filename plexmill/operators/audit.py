@@ -236,11 +236,16 @@ def illegal_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(s, "src").join(t, "dst").where(~allowed).select("id")
 
 
+def _uses(references: DataFrame, calls: DataFrame) -> DataFrame:
+    """(target, id) of references and calls.  Ids are names, or numbers that stand for them."""
+    src, dst = F.col("src").cast("string"), F.col("dst").cast("string")
+    r = references.where((dst != "") & (src != "") & (src != ".") & (F.col("src") != F.col("dst")))
+    return r.select(F.col("dst").alias("target"), F.col("src").alias("id")).unionByName(calls.where("src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("id")))
+
+
 def impact_of_symbols(references: DataFrame, calls: DataFrame, targets: DataFrame) -> DataFrame:
     """(target, symbol, how): what a change of each target (target) reaches: direct (references and calls), then transitive (calls)."""
-    r = references.where("dst <> '' and src <> '' and src <> '.' and src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("id"))
-    c = calls.where("src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("id"))
-    direct = r.unionByName(c).join(dealt(targets.select("target").distinct()), "target", "left_semi").distinct()
+    direct = _uses(references, calls).join(dealt(targets.select("target").distinct()), "target", "left_semi").distinct()
     direct = G.cut(direct)
     reached = _upward(calls, direct)
     return direct.select("target", F.col("id").alias("symbol"), F.lit("direct").alias("how")).unionByName(
@@ -248,19 +253,32 @@ def impact_of_symbols(references: DataFrame, calls: DataFrame, targets: DataFram
     )
 
 
-def _upward(calls: DataFrame, direct: DataFrame, keys: bool = False) -> DataFrame:
-    """(target, id): callers of callers of what is direct, without the target (with `keys` targets are no ids) and what is direct."""
-    up = dealt(G.cut(calls.select(F.col("dst").alias("id"), F.col("src").alias("up")).where("id <> up").distinct()))
-    seen = front = direct
-    found = []
+def _called(calls: DataFrame, direct: DataFrame, keys: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(id, up): callers, each once; and (target, id): what is reached and called itself, so that it has callers to reach.
+
+    Rounds go over calls between symbols that are called themselves; most callers are called by nothing, and no round sees them.
+    """
+    up = G.cut(calls.select(F.col("dst").alias("id"), F.col("src").alias("up")).where("id <> up").distinct())
+    called = G.cut(up.select("id").distinct())
+    inner = dealt(G.cut(up.join(dealt(called.select(F.col("id").alias("up"))), "up", "left_semi").select("id", "up")))
+    seen = front = G.cut(direct.select("target", "id").join(dealt(called), "id", "left_semi").select("target", "id"))
+    rounds = 0
     while True:
-        step = front.join(up, "id").select("target", F.col("up").alias("id"))
+        step = front.join(inner, "id").select("target", F.col("up").alias("id"))
         step = (step if keys else step.where("target <> id")).distinct()
         front = G.cut(step.join(dealt(seen), ["target", "id"], "left_anti"))
         if front.isEmpty():
-            return reduce(DataFrame.unionByName, found, direct.limit(0))
-        found.append(front)
-        seen = G.cut(seen.unionByName(front)) if len(found) % 16 == 0 else seen.unionByName(front)
+            return up, seen
+        rounds += 1
+        seen = G.cut(seen.unionByName(front)) if rounds % 16 == 0 else seen.unionByName(front)
+
+
+def _upward(calls: DataFrame, direct: DataFrame, keys: bool = False) -> DataFrame:
+    """(target, id): callers of callers of what is direct, without the target (with `keys` targets are no ids) and what is direct."""
+    up, seen = _called(calls, direct, keys)
+    step = seen.join(dealt(up), "id").select("target", F.col("up").alias("id"))
+    step = (step if keys else step.where("target <> id")).distinct()
+    return step.join(dealt(direct.select("target", "id")), ["target", "id"], "left_anti")
 
 
 def impact_of_keys(references: DataFrame, calls: DataFrame, targets: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
@@ -269,10 +287,8 @@ def impact_of_keys(references: DataFrame, calls: DataFrame, targets: DataFrame,
     What the targets (target) of a file or package reach together is what any of them reaches, so a symbol is listed
     once for a key, however many targets of it reach the symbol.  An id of symbols stands once.
     """
-    r = references.where("dst <> '' and src <> '' and src <> '.' and src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("id"))
-    c = calls.where("src <> dst").select(F.col("dst").alias("target"), F.col("src").alias("id"))
     of = symbols.select(F.col("id").alias("target"), F.col(key).alias("key")).join(dealt(targets.select("target").distinct()), "target", "left_semi")
-    direct = r.unionByName(c).join(dealt(of), "target").select(F.col("key").alias("target"), "id").where("target is not null").distinct()
+    direct = _uses(references, calls).join(dealt(of), "target").select(F.col("key").alias("target"), "id").where("target is not null").distinct()
     direct = G.cut(direct)
     reached = direct.unionByName(_upward(calls, direct, keys=True)).select(F.col("target").alias("key"), F.col("id").alias("symbol"))
     s = symbols.select(F.col("id").alias("symbol"), F.col(key).alias("_k"), F.col("pkg").alias("_p"))

@@ -297,7 +297,11 @@ def _impact_sql(key: str) -> str:
 
 
 def _impact_of_keys(c: Code, key: str) -> DataFrame:
-    return A.impact_of_keys(c.references(), c.calls(), _hub(c.symbols()).select(F.col("id").alias("target")), c.symbols(), key)
+    """Over numbers instead of names, and references joined once."""
+    s = c.numbered()
+    r = c.numbered_references(s, _HUB)
+    symbols = s.select(F.col("number").alias("id"), "pkg", "file")
+    return A.impact_of_keys(r.where("asked"), r.where("called"), _hub(symbols).select(F.col("id").alias("target")), symbols, key)
 
 
 @query(_impact_sql("file"))

@@ -43,3 +43,28 @@ def test_impact_of_a_package_is_not_listed_target_by_target(spark):
         assert sorted(got.collect()) == sorted(A.impact_by(A.impact_of_symbols(calls, calls, targets), symbols, key).collect())
     front = A._upward(calls, calls.where("dst like 'a.%'").selectExpr("'a' as target", "src as id").distinct(), keys=True)
     assert front.count() == front.distinct().count()
+
+
+def test_impact_reads_references_once_and_walks_only_what_is_called(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(Tables, "lineitem", property(lambda t: read.append(t) or t.spark.read.parquet(f"{t.folder}/lineitem.parquet")), raising=False)
+    for name in ("package_impact", "file_impact"):
+        read.clear()
+        queries.QUERIES[name](spark, SF)
+        assert len(read) == 1
+    calls = spark.createDataFrame([("b", "a"), ("c", "b"), ("x", "b"), ("y", "c"), ("a", "c"), ("c", "c")], "src string, dst string")
+    direct = spark.createDataFrame([("a", "b"), ("a", "z")], "target string, id string")
+    assert sorted(map(tuple, A._called(calls, direct)[1].collect())) == [("a", "b"), ("a", "c")]
+    assert sorted(map(tuple, A._upward(calls, direct).collect())) == [("a", "c"), ("a", "x"), ("a", "y")]
+
+
+def test_numbers_stand_for_references(spark):
+    c = Code(Tables(spark, SF))
+    s = c.numbered()
+    ids = [r.id for r in s.orderBy("number").collect()]
+    assert ids == sorted(r.id for r in c.symbols().collect())
+    r = c.numbered_references(s, "pkg/math")
+    named = lambda df: df.join(s.selectExpr("number src", "id s"), "src").join(s.selectExpr("number dst", "id d"), "dst").select("s", "d")
+    assert sorted(set(named(r.where("called")).collect())) == sorted(c.calls().select("src", "dst").collect())
+    asked = c.references().where("dst_pkg = 'pkg/math' and dst <> ''").select("src", "dst")
+    assert sorted(named(r.where("asked")).collect()) == sorted(asked.collect())
