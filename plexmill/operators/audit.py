@@ -9,7 +9,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -281,6 +283,77 @@ def _upward(calls: DataFrame, direct: DataFrame, keys: bool = False) -> DataFram
     return step.join(dealt(direct.select("target", "id")), ["target", "id"], "left_anti")
 
 
+def _block_counts(block: pa.Table) -> pa.Table:
+    """(target, n, first) of one block of `impact_counts`: a bit for each symbol and target, a few thousand symbols at a time."""
+    x, word = block.column("x").to_numpy(), block.column("word").to_numpy()
+    named = block.column("y").is_valid().to_numpy()
+    y = block.column("y").fill_null(0).to_numpy()
+    is_edge, is_bits, is_direct, is_target = word == -1, named & (word >= 0), ~named & (word >= 0), word < -1
+    slots = -2 - word[is_target]
+    target = np.empty(len(slots), np.int64)
+    target[slots] = x[is_target]
+    order = np.lexsort((y[is_edge], x[is_edge]))
+    ex, (ys, at) = x[is_edge][order], np.unique(y[is_edge][order], return_inverse=True)
+    reach = np.zeros((len(ys), -(-len(slots) // 64)), "<u8")
+    reach[np.searchsorted(ys, y[is_bits]), word[is_bits]] = x[is_bits].view(np.uint64)
+    xs, starts = np.unique(ex, return_index=True)
+    # What is direct, or the target itself, isn't transitive.
+    dx, ds = np.concatenate([x[is_direct], target]), np.concatenate([word[is_direct], np.arange(len(slots))])
+    order = np.argsort(dx, kind="stable")
+    dx, ds = dx[order], ds[order]
+    n, first = np.zeros(len(slots), np.int64), np.zeros(len(slots), np.int64)
+    bounds = np.append(starts, len(ex))
+    lo = 0
+    while lo < len(xs):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + (1 << 15), "right")) - 1)
+        rows = np.bitwise_or.reduceat(reach[at[bounds[lo] : bounds[hi]]], bounds[lo:hi] - bounds[lo], axis=0)
+        a, b = np.searchsorted(dx, xs[lo]), np.searchsorted(dx, xs[hi - 1], "right")
+        row = np.minimum(np.searchsorted(xs[lo:hi], dx[a:b]), hi - lo - 1)
+        same = xs[lo:hi][row] == dx[a:b]
+        slot = ds[a:b][same].astype(np.uint64)
+        np.bitwise_and.at(rows, (row[same], slot >> np.uint64(6)), ~(np.uint64(1) << (slot & np.uint64(63))))
+        bits = np.unpackbits(rows.view(np.uint8), axis=1, bitorder="little")[:, : len(slots)]
+        more = bits.sum(axis=0, dtype=np.int64)
+        fresh = (n == 0) & (more > 0)
+        first[fresh] = xs[lo + bits[:, fresh].argmax(axis=0)]
+        n += more
+        lo = hi
+    some = n > 0
+    return pa.table({"target": target[some], "n": n[some], "first": first[some]})
+
+
+def impact_counts(references: DataFrame, calls: DataFrame, targets: DataFrame, wide: int = 2048, edges: int = 1_000_000) -> DataFrame:
+    """(target, how, n, first): of the impact of each target (`impact_of_symbols`) how many symbols, and the least; ids are longs.
+
+    Pairs are listed of targets and symbols that are called themselves only.  What calls these is counted in blocks of some
+    `wide` targets and `edges` calls, in which a pair is a bit: the work stays the product of targets and what reaches them,
+    the rows that are dealt out don't.
+    """
+    direct = G.cut(_uses(references, calls).join(dealt(targets.select("target").distinct()), "target", "left_semi").distinct())
+    up, reached = _called(calls, direct)
+    some = direct.select("target").distinct()
+    groups, blocks = -(-max(1, some.count()) // wide), -(-max(1, up.count()) // edges)
+    group = some.withColumn("a", F.pmod(F.xxhash64("target"), F.lit(groups)).cast("int"))
+    slots = dealt(G.cut(group.withColumn("slot", F.row_number().over(Window.partitionBy("a").orderBy("target")) - 1)))
+    word, bit = F.floor(F.col("slot") / 64).cast("int"), F.expr("shiftleft(1L, slot % 64)")
+    bits = G.cut(reached.join(slots, "target").groupBy("a", "id", word.alias("word")).agg(F.bit_or(bit).alias("bits")))
+    called = bits.select("a", "id").distinct()
+    block = lambda x: (F.col("a") * blocks + F.pmod(F.xxhash64(x), F.lit(blocks))).cast("int").alias("block")
+    calling = G.cut(dealt(up).join(called, "id").select("a", block("up"), F.col("up").alias("x"), F.col("id").alias("y")))
+    none = F.lit(None).cast("long").alias("y")
+    every = F.explode(F.sequence(F.col("a") * blocks, F.col("a") * blocks + (blocks - 1))).alias("block")
+    rows = [
+        calling.select("block", "x", "y", F.lit(-1).alias("word")),
+        calling.select("a", "block", F.col("y").alias("id")).distinct().join(dealt(bits), ["a", "id"]).select("block", F.col("bits").alias("x"), F.col("id").alias("y"), "word"),
+        direct.join(slots, "target").select(block("id"), F.col("id").alias("x"), none, F.col("slot").alias("word")),
+        slots.select(every, F.col("target").alias("x"), none, (-2 - F.col("slot")).alias("word")),
+    ]
+    counted = _union(rows).groupBy("block").applyInArrow(_block_counts, "target long, n long, first long")
+    transitive = counted.groupBy("target").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    row = lambda df, how: df.select("target", F.lit(how).alias("how"), "n", "first")
+    return row(direct.groupBy("target").agg(F.count("*").alias("n"), F.min("id").alias("first")), "direct").unionByName(row(transitive, "transitive"))
+
+
 def impact_of_keys(references: DataFrame, calls: DataFrame, targets: DataFrame, symbols: DataFrame, key: str) -> DataFrame:
     """(key, symbols, packages): as `impact_by` of the impact of all targets, without listing it target by target.
 

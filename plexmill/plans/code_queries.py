@@ -17,6 +17,7 @@ from ..operators import navigate as N
 from ..operators import ranking as K
 from ..operators import resolve as J
 from ..operators import rules as R
+from ..operators.rounds import dealt
 from ..sources import scan as S
 from . import code as S_
 from .code import CALLS, COMMS, ENTRIES, PATHS, REFS, SYMBOLS, Code
@@ -282,13 +283,15 @@ _IMPACT = f"""tg AS (SELECT id AS target FROM symbols WHERE pkg = '{_HUB}'), dir
  imp2 AS (SELECT target, id AS symbol, 'direct' AS how FROM direct UNION ALL SELECT target, id, 'transitive' FROM (SELECT * FROM up EXCEPT SELECT * FROM direct))"""
 
 
-def _impact(c: Code) -> DataFrame:
-    return A.impact_of_symbols(c.references(), c.calls(), _hub(c.symbols()).select(F.col("id").alias("target")))
-
-
 @query(f"WITH RECURSIVE {CALLS}, {_IMPACT} SELECT target, how, count(*) AS n, min(symbol) AS first FROM imp2 GROUP BY 1, 2")
 def symbol_impact(t: Tables) -> DataFrame:
-    return _impact(Code(t)).groupBy("target", "how").agg(F.count("*").alias("n"), F.min("symbol").alias("first"))
+    """Over numbers in the order of ids, whose least is the least id's."""
+    c = Code(t)
+    s = c.numbered()
+    r = c.numbered_references(s, _HUB)
+    counts = A.impact_counts(r.where("asked"), r.where("called"), _hub(s).select(F.col("number").alias("target")))
+    name = lambda of: dealt(s.select(F.col("number").alias(of), F.col("id").alias(f"_{of}")))
+    return counts.join(name("target"), "target").join(name("first"), "first").select(F.col("_target").alias("target"), "how", "n", F.col("_first").alias("first"))
 
 
 def _impact_sql(key: str) -> str:

@@ -1,6 +1,9 @@
 """Sides of joins that grow with the tables are dealt out by key, not sent to the driver."""
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from plexmill.operators import audit as A
 from plexmill.plans import code_queries, code_reports, code_sources, queries  # noqa: F401 -- these register queries
@@ -68,3 +71,29 @@ def test_numbers_stand_for_references(spark):
     assert sorted(set(named(r.where("called")).collect())) == sorted(c.calls().select("src", "dst").collect())
     asked = c.references().where("dst_pkg = 'pkg/math' and dst <> ''").select("src", "dst")
     assert sorted(named(r.where("asked")).collect()) == sorted(asked.collect())
+
+
+@pytest.mark.parametrize(("wide", "edges"), [(2048, 1_000_000), (70, 300), (3, 40)])
+def test_counted_impact_equals_listed_pairs(spark, wide, edges):
+    """In one block and in many; targets that call each other or themselves, more than a word of them, references that are no calls."""
+    r = random.Random(4)
+    called = [(r.randrange(400), r.randrange(200) if k % 3 else r.randrange(12)) for k in range(900)]
+    called = spark.createDataFrame([(a << 33, b << 33) for a, b in called], "src long, dst long")
+    other = spark.createDataFrame([(r.randrange(400) << 33, r.randrange(200) << 33) for _ in range(200)], "src long, dst long")
+    targets = spark.range(150).selectExpr("shiftleft(id, 33) target")
+    uses = called.unionByName(other)
+    got = A.impact_counts(uses, called, targets, wide, edges)
+    listed = A.impact_of_symbols(uses, called, targets).groupBy("target", "how").agg(F.count("*").alias("n"), F.min("symbol").alias("first"))
+    assert sorted(got.collect()) == sorted(listed.collect())
+    assert {x.how for x in got.collect()} == {"direct", "transitive"}
+
+
+def test_counted_impact_of_nothing(spark):
+    none = spark.createDataFrame([], "src long, dst long")
+    assert A.impact_counts(none, none, spark.range(3).selectExpr("id target")).collect() == []
+
+
+def test_symbol_impact_counts_in_blocks_and_sends_no_side(spark):
+    counts = queries.QUERIES["symbol_impact"](spark, SF)
+    assert "FlatMapGroupsInArrow" in counts._jdf.queryExecution().executedPlan().toString()
+    assert broadcasts(counts) == 0
