@@ -156,11 +156,32 @@ def _shortened(classes: DataFrame) -> DataFrame:
     return classes.mapInArrow(run, "node long, check long, doc_id long, sig binary, short binary")
 
 
+#: Bits of a filter of ids at most: 8 MB, whatever the number of ids.
+_MOST_BITS = 1 << 26
+
+
+def _id_filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each hash of an id (doc_id), 16 bits for each id as far as `_MOST_BITS` go; other ids may share a bit."""
+    size = min(_MOST_BITS, 1 << max(15, (16 * ids.count()).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(size))
+    parts = ids.select(F.floor(place / 32768).cast("int").alias("part"), (place % 32768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for r in parts.collect():
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.reshape(-1)
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, cfg: MinHashConfig) -> DataFrame:
-    """(node, shingles) for the documents whose ids are in `wanted` (doc_id, node, check)."""
+    """(node, shingles) for the documents whose ids are in `wanted` (doc_id, node, check).
+
+    A filter of ids of bounded size leaves out most other documents where they are read, so no texts are dealt out.
+    """
+    bits = _id_filter(wanted.select("doc_id"))
 
     def run(it):
         for batch in it:
+            place = batch.column("place").to_numpy()
+            batch = batch.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1))
             for _, _, _, bounds, h, k1, k2 in _sets(batch, cfg.shingle):
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -171,13 +192,14 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, cfg: MinHashConfig) -> DataFr
                     ["node", "check", "shingles"],
                 )
 
-    ids = wanted.select("doc_id").distinct()
     found = (
-        docs.join(ids, "doc_id", "left_semi")
+        docs.where("doc_id is not null")
+        .select(F.pmod(F.xxhash64("doc_id"), F.lit(8 * len(bits))).alias("place"), "text")
         .mapInArrow(run, "node long, check long, shingles binary")
     )
-    # A repeated doc_id may bring other texts along: the join keeps the wanted sets, once each.
-    return found.join(wanted.select("node", "check"), ["node", "check"], "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    # Ids that share a bit, and a repeated doc_id, bring other texts along: the join keeps the wanted sets, once each.
+    key = ["node", "check"]
+    return found.join(wanted.select(*key), key, "left_semi").groupBy(*key).agg(F.first("shingles").alias("shingles")).select("node", "shingles")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, cfg: MinHashConfig) -> DataFrame:

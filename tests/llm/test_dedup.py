@@ -203,3 +203,22 @@ print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, n)
 """
     used, n = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
     assert used < 150 and 10_000 < n < 400_000
+
+
+@pytest.mark.parametrize("most", [1 << 26, 1 << 15])
+def test_sets_are_made_where_texts_are_read(spark, monkeypatch, most):
+    """No texts are dealt out, and ids that share a bit of the filter bring no other sets."""
+    monkeypatch.setattr(minhash, "_MOST_BITS", most)
+    cfg = minhash.MinHashConfig(3, 85, 24, 6)
+    docs = documents(spark, texts()).select("doc_id", "text")
+    wanted = minhash.signatures(docs, cfg).where("doc_id in (1, 4, 13, 20) and n_shingles > 0").select("doc_id", "node", "check")
+    many = spark.range(1000, 41000).selectExpr("id doc_id", "id node", "id check")
+    monkeypatch.setattr(minhash, "_id_filter", lambda ids, made=minhash._id_filter: made(ids.unionByName(many.select("doc_id"))))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sets = minhash._full_sets(docs, wanted, cfg)
+        under = sets._jdf.queryExecution().executedPlan().toString().split("MapInArrow", 1)[1].split("Scan", 1)[0]
+        assert "Exchange" not in under
+        assert sorted(r.node for r in sets.collect()) == sorted({r.node for r in wanted.collect()})
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
