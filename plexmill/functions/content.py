@@ -59,11 +59,14 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(text, r"\n\z", ""), "\n"))
 
 
-def line_counts(text: Column) -> Column:
-    """struct(total, blank, comment, in_block): // and # lines and /* */ blocks are comments; a blank line is blank in a block too."""
+def line_counts(text: Column, blanks: str = BLANKS) -> Column:
+    """struct(total, blank, comment, in_block): // and # lines and /* */ blocks are comments; a blank line is blank in a block too.
+
+    `blanks` are the characters that a blank line may hold, and that may stand before a mark of a comment.
+    """
 
     def step(a: Column, line: Column) -> Column:
-        t = F.btrim(line, F.lit(BLANKS))
+        t = F.btrim(line, F.lit(blanks))
         opens = t.startswith("/*")
         inside = a["in_block"]
         comment = inside | opens | t.startswith("//") | t.startswith("#")
