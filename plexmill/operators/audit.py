@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import version as V
 from . import graph as G
-from .rounds import dealt
+from .rounds import dealt, written
 from .rules import finding
 
 #: Fixed values.
@@ -255,14 +255,19 @@ def impact_of_symbols(references: DataFrame, calls: DataFrame, targets: DataFram
     )
 
 
+def _calling(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, up): callers, each once; (id): what is called; and (id, up): callers that are called themselves."""
+    up = G.cut(calls.select(F.col("dst").alias("id"), F.col("src").alias("up")).where("id <> up").distinct())
+    called = G.cut(up.select("id").distinct())
+    return up, called, dealt(G.cut(up.join(dealt(called.select(F.col("id").alias("up"))), "up", "left_semi").select("id", "up")))
+
+
 def _called(calls: DataFrame, direct: DataFrame, keys: bool = False) -> tuple[DataFrame, DataFrame]:
     """(id, up): callers, each once; and (target, id): what is reached and called itself, so that it has callers to reach.
 
     Rounds go over calls between symbols that are called themselves; most callers are called by nothing, and no round sees them.
     """
-    up = G.cut(calls.select(F.col("dst").alias("id"), F.col("src").alias("up")).where("id <> up").distinct())
-    called = G.cut(up.select("id").distinct())
-    inner = dealt(G.cut(up.join(dealt(called.select(F.col("id").alias("up"))), "up", "left_semi").select("id", "up")))
+    up, called, inner = _calling(calls)
     seen = front = G.cut(direct.select("target", "id").join(dealt(called), "id", "left_semi").select("target", "id"))
     rounds = 0
     while True:
@@ -322,21 +327,63 @@ def _block_counts(block: pa.Table) -> pa.Table:
     return pa.table({"target": target[some], "n": n[some], "first": first[some]})
 
 
+#: Columns of 64 targets in a row of `_reached_bits`.
+_WORDS = [f"w{k}" for k in range(8)]
+
+
+def _or(df: DataFrame) -> DataFrame:
+    """A row for each symbol, group and part, with the bits of all its rows."""
+    return df.groupBy("id", "a", "part").agg(*(F.bit_or(w).alias(w) for w in _WORDS))
+
+
+def _any(df: DataFrame) -> DataFrame:
+    return df.where(reduce(lambda x, y: x | y, (F.col(w) != 0 for w in _WORDS)))
+
+
+def _reached_bits(first: DataFrame, inner: DataFrame) -> DataFrame:
+    """(id, a, part, w0 to w7): the targets that reach each symbol that is called itself, by rounds over `inner` from what is direct.
+
+    A target is a bit: a row holds 512 of them, so where many targets reach the same symbols, rounds deal out a row instead of 512.
+    A round is written as a table, as it is joined with what was made of itself.
+    """
+    seen = front = written(_or(first))
+    rounds = 0
+    while True:
+        step = _or(front.join(inner, "id").select(F.col("up").alias("id"), "a", "part", *_WORDS))
+        old = _or(seen).withColumnsRenamed({w: f"_{w}" for w in _WORDS})
+        fresh = [F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"_{w}", F.lit(0).cast("long")))).alias(w) for w in _WORDS]
+        front = written(_any(step.join(dealt(old), ["id", "a", "part"], "left").select("id", "a", "part", *fresh)))
+        if front.isEmpty():
+            return _or(seen)
+        rounds += 1
+        seen = seen.unionByName(front)
+        seen = written(_or(seen)) if rounds % 16 == 0 else seen
+
+
 def impact_counts(references: DataFrame, calls: DataFrame, targets: DataFrame, wide: int = 2048, edges: int = 1_000_000) -> DataFrame:
     """(target, how, n, first): of the impact of each target (`impact_of_symbols`) how many symbols, and the least; ids are longs.
 
-    Pairs are listed of targets and symbols that are called themselves only.  What calls these is counted in blocks of some
-    `wide` targets and `edges` calls, in which a pair is a bit: the work stays the product of targets and what reaches them,
-    the rows that are dealt out don't.
+    A target is a bit, in rounds over what is called itself (`_reached_bits`) and where its callers are counted: in blocks of some
+    `wide` targets and `edges` calls.  The work stays the product of targets and what reaches them, the rows that are dealt out don't.
+
+    targets: (target) and, if known, (near): those that stand near each other by it are reached by much the same symbols, and share rows.
     """
     direct = G.cut(_uses(references, calls).join(dealt(targets.select("target").distinct()), "target", "left_semi").distinct())
-    up, reached = _called(calls, direct)
-    some = direct.select("target").distinct()
-    groups, blocks = -(-max(1, some.count()) // wide), -(-max(1, up.count()) // edges)
-    group = some.withColumn("a", F.pmod(F.xxhash64("target"), F.lit(groups)).cast("int"))
-    slots = dealt(G.cut(group.withColumn("slot", F.row_number().over(Window.partitionBy("a").orderBy("target")) - 1)))
-    word, bit = F.floor(F.col("slot") / 64).cast("int"), F.expr("shiftleft(1L, slot % 64)")
-    bits = G.cut(reached.join(slots, "target").groupBy("a", "id", word.alias("word")).agg(F.bit_or(bit).alias("bits")))
+    up, called, inner = _calling(calls)
+    near = F.min("near" if "near" in targets.columns else "target").alias("near")
+    some = targets.groupBy("target").agg(near).join(dealt(direct.select("target").distinct()), "target", "left_semi")
+    # Ranges are of unequal size, so they are of three quarters of what a group holds, and cut where they are longer.
+    groups, blocks = -(-max(1, some.count()) * 4 // (3 * wide)), -(-max(1, up.count()) // edges)
+    ranges = G.cut(some.repartitionByRange(groups, "near", "target").select("target", "near", F.spark_partition_id().alias("_range")))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("near", "target")) - 1
+    slots = ranges.select("target", "_range", place.alias("_place"))
+    slots = dealt(G.cut(slots.select("target", (F.col("_range") * groups + F.floor(F.col("_place") / wide)).cast("int").alias("a"), (F.col("_place") % wide).alias("slot"))))
+    bit, n = F.expr("shiftleft(1L, slot % 64)"), len(_WORDS)
+    word = [F.when(F.floor(F.col("slot") / 64) % n == k, bit).otherwise(F.lit(0).cast("long")).alias(w) for k, w in enumerate(_WORDS)]
+    part = F.floor(F.col("slot") / (64 * n)).cast("int").alias("part")
+    reached = _reached_bits(direct.join(dealt(called), "id", "left_semi").join(slots, "target").select("id", "a", part, *word), inner)
+    bits = reached.select("a", "id", "part", F.posexplode(F.array(*_WORDS)).alias("word", "bits")).where("bits <> 0")
+    bits = written(bits.select("a", "id", (F.col("part") * n + F.col("word")).cast("int").alias("word"), "bits"))
     called = bits.select("a", "id").distinct()
     block = lambda x: (F.col("a") * blocks + F.pmod(F.xxhash64(x), F.lit(blocks))).cast("int").alias("block")
     calling = G.cut(dealt(up).join(called, "id").select("a", block("up"), F.col("up").alias("x"), F.col("id").alias("y")))

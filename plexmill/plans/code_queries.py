@@ -285,11 +285,11 @@ _IMPACT = f"""tg AS (SELECT id AS target FROM symbols WHERE pkg = '{_HUB}'), dir
 
 @query(f"WITH RECURSIVE {CALLS}, {_IMPACT} SELECT target, how, count(*) AS n, min(symbol) AS first FROM imp2 GROUP BY 1, 2")
 def symbol_impact(t: Tables) -> DataFrame:
-    """Over numbers in the order of ids, whose least is the least id's."""
+    """Over numbers in the order of ids, whose least is the least id's; symbols of near part numbers are called by much the same."""
     c = Code(t)
     s = c.numbered()
     r = c.numbered_references(s, _HUB)
-    counts = A.impact_counts(r.where("asked"), r.where("called"), _hub(s).select(F.col("number").alias("target")))
+    counts = A.impact_counts(r.where("asked"), r.where("called"), _hub(s).select(F.col("number").alias("target"), F.col("n").alias("near")))
     name = lambda of: dealt(s.select(F.col("number").alias(of), F.col("id").alias(f"_{of}")))
     return counts.join(name("target"), "target").join(name("first"), "first").select(F.col("_target").alias("target"), "how", "n", F.col("_first").alias("first"))
 

@@ -88,6 +88,20 @@ def test_counted_impact_equals_listed_pairs(spark, wide, edges):
     assert {x.how for x in got.collect()} == {"direct", "transitive"}
 
 
+def test_rounds_of_counted_impact_list_no_pairs(spark, monkeypatch):
+    """150 targets reached by the same 42 called symbols, 6,300 pairs: what is kept has a row for some hundred targets."""
+    edges = [(1000, t) for t in range(150)] + [(1001 + k, 1000) for k in range(40)] + [(2000, 1001 + k) for k in range(40)] + [(2001, 2000), (2002, 2001)]
+    called = spark.createDataFrame(edges, "src long, dst long")
+    targets = spark.range(150).selectExpr("id target", "149 - id near")
+    listed = A.impact_of_symbols(called, called, targets).groupBy("target", "how").agg(F.count("*").alias("n"), F.min("symbol").alias("first")).collect()
+    kept = []
+    for where, name in ((A.G, "cut"), (A, "written")):
+        keep = getattr(where, name, None)
+        monkeypatch.setattr(where, name, lambda df, keep=keep: kept.append(keep(df)) or kept[-1], raising=False)
+    assert sorted(A.impact_counts(called, called, targets).collect()) == sorted(listed)
+    assert max(df.count() for df in kept) <= len(edges)
+
+
 def test_counted_impact_of_nothing(spark):
     none = spark.createDataFrame([], "src long, dst long")
     assert A.impact_counts(none, none, spark.range(3).selectExpr("id target")).collect() == []
