@@ -1,6 +1,7 @@
 """Sides of joins that grow with the tables are dealt out by key, not sent to the driver."""
 
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -111,3 +112,11 @@ def test_symbol_impact_counts_in_blocks_and_sends_no_side(spark):
     counts = queries.QUERIES["symbol_impact"](spark, SF)
     assert "FlatMapGroupsInArrow" in counts._jdf.queryExecution().executedPlan().toString()
     assert broadcasts(counts) == 0
+
+
+def test_go_sources_are_kept_in_columns(spark):
+    """What is kept of 200 sources and the rounds over them: 0.3 MB in columns, 1.2 MB row by row."""
+    size = lambda: sum(f.stat().st_size for f in Path(spark.conf.get("spark.checkpoint.dir")).rglob("*") if f.is_file() and f.suffix != ".crc")
+    before = size()
+    queries.QUERIES["go_receiver_calls"](spark, SF)
+    assert 0 < size() - before < 600_000
